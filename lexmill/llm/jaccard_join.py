@@ -31,8 +31,11 @@ SKETCH_BITS, SKETCH_TOKENS, SKETCH_LEAST = 22, 2_000_000, 3
 FILTER_BITS = 25
 #: Shingles that a block of a group holds about; a block of members is held in memory at once.
 BLOCK_TOKENS = 1_500_000
-#: Values of the min-hash keys: pairs of minima under these multipliers.
-_MULT = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A min-hash key joins this many minima; there are six keys.
+KEY_MINIMA = 4
+_MULT = np.random.default_rng(7).integers(1, 2**63, 6 * KEY_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Parity bits of a set, and those that sets of so many tokens have besides.
+COARSE, FINE, FINE_FROM = 1024, 8192, 1200
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -88,38 +91,181 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _features(k: int, percent: int, sketch):
-    """Per document: class, set size, min-hash keys, and for the first row of a class in a task its prefix."""
+def _features(k: int):
+    """Per document: class and set size, and for the first row of a class in a task its min-hash keys and parity bits."""
 
     def run(batches):
-        order, seen = sketch.value, set()
+        seen = set()
         for ids, sets in _sets(batches, k):
-            cls, size, keys, prefix = [], [], [], []
+            cls, size, keys, bits = [], [], [], []
             for s in sets:
                 size.append(len(s))
-                if not len(s):
-                    cls.append(None), keys.append(None), prefix.append(None)
-                    continue
-                c = fingerprint(s)
+                c = fingerprint(s) if len(s) else None
                 cls.append(c)
-                if c in seen:
-                    keys.append(None), prefix.append(None)
+                if c is None or c in seen:
+                    keys.append(None), bits.append(None)
                     continue
                 if len(seen) < 500_000:
                     seen.add(c)
-                low = [int((s * m).min()) for m in _MULT]
-                keys.append([((low[i] * 31 + low[i + 1]) * 8 + i) % 2**64 - 2**63 for i in range(0, 8, 2)])
-                p = prefix_length(len(s), percent)
-                ranked = (order[_cell(s)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-                prefix.append(np.sort(np.partition(ranked, p - 1)[:p] if p < len(ranked) else ranked).view(np.int64))
+                low = np.array([(s * m).min() for m in _MULT], dtype=np.uint64).reshape(-1, KEY_MINIMA)
+                key = np.arange(len(low), dtype=np.uint64)
+                for j in range(KEY_MINIMA):
+                    key = mix(key + low[:, j])
+                keys.append(key.view(np.int64)), bits.append(parity_bits(s))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "c", "n", "keys", "prefix"],
+                [ids.cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["doc_id", "c", "n", "keys", "bits"],
             )
 
     return run
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """Bit i is the parity of the tokens that fall on i: two sets differ in at least as many tokens as in bits."""
+    out = []
+    for size in (COARSE, FINE) if len(s) >= FINE_FROM else (COARSE,):
+        odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return b"".join(out)
+
+
+def _token_blocks(k: int, percent: int, sketch, parts: int):
+    """Prefix tokens dealt to parts by hash, packed: a row for each part and stretch of documents."""
+
+    def run(batches):
+        order, seen, tokens, owners, n = sketch.value, set(), [], [], 0
+
+        def flush():
+            t, c = np.concatenate(tokens), np.concatenate(owners)
+            h = mix(t)
+            part = (h % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            t, c, part = (h[by] >> np.uint64(32)).astype(np.uint32), c[by], part[by]
+            cut = np.flatnonzero(np.diff(part)) + 1
+            ends = list(zip([0, *cut.tolist()], [*cut.tolist(), len(t)], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(part[[a for a, _ in ends]]), pa.array([t[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([c[a:b].tobytes() for a, b in ends], pa.binary())], names=["part", "t", "c"])
+
+        for _, sets in _sets(batches, k):
+            for s in sets:
+                if not len(s) or (c := fingerprint(s)) in seen:
+                    continue
+                if len(seen) < 500_000:
+                    seen.add(c)
+                p = prefix_length(len(s), percent)
+                ranked = (order[_cell(s)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                tokens.append(np.partition(ranked, p - 1)[:p] if p < len(ranked) else ranked)
+                owners.append(np.full(len(tokens[-1]), c, dtype=np.int64))
+                n += len(tokens[-1])
+            if n > 500_000:
+                yield flush()
+                tokens, owners, n = [], [], 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def _shared_tokens(batches):
+    """(token, c) of the tokens of a part that more than one class has. Rows come sorted by part; memory holds one part."""
+    now, held = None, []
+
+    def found():
+        t = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x, _ in held])
+        c = np.concatenate([np.frombuffer(y, dtype=np.int64) for _, y in held])
+        by = np.lexsort((c, t))
+        t, c = t[by], c[by]
+        new = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
+        t, c = t[new], c[new]
+        same = t[1:] == t[:-1]
+        more = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        return pa.RecordBatch.from_arrays([pa.array((np.int64(now) << 32) + t[more].astype(np.int64)), pa.array(c[more])], names=["token", "c"])
+
+    for batch in batches:
+        for part, t, c in zip(batch.column("part").to_pylist(), batch.column("t").to_pylist(), batch.column("c").to_pylist(), strict=True):
+            if part != now and held:
+                yield found()
+                held = []
+            now = part
+            held.append((t, c))
+    if held:
+        yield found()
+
+
+class _Screen:
+    """Which members and queries of a group can have a link at all, from parity bits alone."""
+
+    def __init__(self, percent: int):
+        self.percent, self.rows, self.ready = percent, [], False
+
+    def close(self) -> None:
+        self.ready, self.keep = True, np.zeros(len(self.rows), dtype=bool)
+        self.n = np.array([n for _, n, _ in self.rows], dtype=np.int64)
+        self.coarse = np.array([np.frombuffer(b[: COARSE // 8], dtype=np.uint64) for *_, b in self.rows])
+        self.is_fine = self.n >= FINE_FROM
+        self.at = np.cumsum(self.is_fine) - 1
+        fine = [np.frombuffer(b[COARSE // 8 :], dtype=np.uint64) for *_, b in self.rows if len(b) > COARSE // 8]
+        self.fine = np.array(fine) if fine else np.zeros((0, FINE // 64), dtype=np.uint64)
+
+    def may_link(self, n: int, bits: bytes, after: int = -1) -> np.ndarray:
+        """Members that the bits don't rule out: |difference| <= (a + b)(1 - t) / (1 + t) where sets reach t."""
+        i = np.flatnonzero((100 * np.minimum(self.n, n) >= self.percent * np.maximum(self.n, n)) & (np.arange(len(self.n)) > after))
+        most = (100 - self.percent) * (self.n[i] + n) // (100 + self.percent)
+        i = i[np.bitwise_count(self.coarse[i] ^ np.frombuffer(bits[: COARSE // 8], dtype=np.uint64)).sum(axis=1) <= most]
+        if n >= FINE_FROM and len(i):
+            fine = i[self.is_fine[i]]
+            most = (100 - self.percent) * (self.n[fine] + n) // (100 + self.percent)
+            out = np.bitwise_count(self.fine[self.at[fine]] ^ np.frombuffer(bits[COARSE // 8 :], dtype=np.uint64)).sum(axis=1) > most
+            i = np.setdiff1d(i, fine[out], assume_unique=True)
+        return i
+
+    def finish(self) -> list[int]:
+        for j, (_, n, b) in enumerate(self.rows if len(self.rows) > 1 else ()):
+            i = self.may_link(n, b, j)
+            if len(i):
+                self.keep[i] = self.keep[j] = True
+        return [self.rows[i][0] for i in np.flatnonzero(self.keep).tolist()]
+
+
+def _screened(percent: int):
+    """Rows sorted by group, members first; leaves those that can have a link."""
+
+    def run(batches):
+        names = ["c", "label", "block", "query"]
+        screen, key, out = None, None, []
+
+        def ended():
+            if screen:
+                if not screen.ready:
+                    screen.close()
+                out.extend((c, *key, 0) for c in screen.finish())
+
+        def flush():
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            b = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=names)
+            out.clear()
+            return b
+
+        for batch in batches:
+            for label, block, query, c, n, bits in zip(*(batch.column(x).to_pylist() for x in ("label", "block", "query", "c", "n", "bits")), strict=True):
+                if (label, block) != key:
+                    ended()
+                    screen, key = _Screen(percent), (label, block)
+                if not query:
+                    screen.rows.append((c, n, bits))
+                    continue
+                if not screen.ready:
+                    screen.close()
+                i = screen.may_link(n, bits)
+                if len(i):
+                    screen.keep[i] = True
+                    out.append((c, *key, 1))
+            yield flush()
+        ended()
+        yield flush()
+
+    return run
+
+
 def _bit(c: np.ndarray) -> np.ndarray:
     return (mix(c.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -261,42 +407,44 @@ def jaccard_join(spark: SparkSession, documents: DataFrame, percent: int = 80, k
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sc = spark.sparkContext
 
-    order = sc.broadcast(_sketch(docs, k))
-    feats = scratch.save(docs.mapInArrow(_features(k, percent, order), "doc_id long, c long, n long, keys array<long>, prefix array<long>"), "features")
-    order.unpersist()
-    cls = scratch.save(feats.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"), F.count("*").alias("w"), F.min("n").alias("n")), "classes")
+    feats = scratch.save(docs.mapInArrow(_features(k), "doc_id long, c long, n long, keys array<long>, bits binary"), "features")
+    cls = feats.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"), F.count("*").alias("w"), F.min("n").alias("n"), F.max("bits").alias("bits"))
+    cls = scratch.save(cls, "classes")
 
+    # groups of similar classes, in blocks of bounded size
     keys = scratch.save(_shared_keys(feats), "keys")
     labels = keys.select("c", F.col("c").alias("label")).distinct()
     for i in range(3):
         low = keys.join(labels, "c").groupBy("key").agg(F.min("label").alias("label"))
         labels = scratch.save(keys.join(low, "key").groupBy("c").agg(F.min("label").alias("label")), f"labels-{i}")
-    members = cls.join(labels, "c", "left").select("c", "w", "n", F.coalesce("label", "c").alias("label"))
-    blocks = members.groupBy("label").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    members = members.join(blocks, "label").withColumn("block", F.expr("cast(pmod(xxhash64(c), blocks) as int)"))
+    members = cls.select("c", "w", "n").join(labels, "c", "left").select("c", "w", "n", F.coalesce("label", "c").alias("label"))
+    blocks = members.groupBy("label").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    members = members.join(blocks, "label").withColumn("block", F.expr("cast(pmod(xxhash64(c), blocks) as long)"))
     members = scratch.save(members, "members")
 
-    # the matrix: (token, group) for tokens that more than one group has
-    rows = feats.where("prefix is not null").select("c", F.explode("prefix").alias("token")).join(members.where("m > 1").select("c", "label"), "c", "left")
-    rows = rows.select("token", "c", F.coalesce("label", "c").alias("label")).repartition("token")
-    many = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-    hits = scratch.save(rows.join(many, "token", "left_semi").distinct(), "hits")
-    hits = hits.join(members.drop("label"), "c")
+    # the matrix: (token, group) of prefix tokens that more than one group has
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = sc.broadcast(_sketch(docs, k))
+    dealt = docs.mapInArrow(_token_blocks(k, percent, order, 2 * parts), "part long, t binary, c binary").repartition(parts, "part").sortWithinPartitions("part")
+    hits = scratch.save(dealt.mapInArrow(_shared_tokens, "token long, c long"), "hits").join(members, "c")
+    order.unpersist()
     matrix = hits.groupBy("token", "label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    q = hits.select("token", "c", "w", "n", F.col("label").alias("own"))
-    far = q.join(matrix, "token").where(f"own < label and 100 * n >= {percent} * lo and 100 * hi >= {percent} * n").select("c", "w", "label", "block").distinct()
-    near = members.where("blocks > 1").select("c", "w", "label", F.expr("explode(sequence(0, blocks - 1)) as block2"), "block").where("block2 > block").select("c", "w", "label", F.col("block2").alias("block"))
+    q = hits.select("token", "c", "n", F.col("label").alias("own"))
+    far = q.join(matrix, "token").where(f"own < label and 100 * n >= {percent} * lo and 100 * hi >= {percent} * n").select("c", "label", "block").distinct()
+    near = members.where("blocks > 1").select("c", "label", F.expr("explode(sequence(0, blocks - 1)) as block2"), "block").where("block2 > block").select("c", "label", F.col("block2").alias("block"))
     queries = scratch.save(far.union(near), "queries")
 
     asked = queries.select("label", "block").distinct().withColumn("asked", F.lit(True))
-    opened = members.join(asked, ["label", "block"], "left").where("m > 1 or asked").select("c", "w", "label", "block", F.lit(0).alias("query"))
-    roles = scratch.save(opened.union(queries.select("c", "w", "label", "block", F.lit(1).alias("query"))), "roles")
+    opened = members.join(asked, ["label", "block"], "left").where("m > 1 or asked").select("c", "label", "block", F.lit(0).cast("long").alias("query"))
+    roles = opened.union(queries.select("c", "label", "block", F.lit(1).cast("long").alias("query")))
+    by_group = lambda df: df.repartition(parts, "label", "block").sortWithinPartitions("label", "block", "query")
+    screened = by_group(roles.join(cls.select("c", "n", "bits"), "c")).mapInArrow(_screened(percent), "c long, label long, block long, query long")
+    roles = scratch.save(screened, "roles").join(cls.select("c", "w"), "c")
 
     wanted = sc.broadcast(_filter(roles.select("c").distinct()))
     sets = docs.mapInArrow(_needed_sets(k, wanted), "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = roles.join(sets, "c").repartition(parts, "label", "block").sortWithinPartitions("label", "block", "query")
-    found = scratch.save(dealt.mapInArrow(_open_groups(percent), "c long, other long, links long"), "links")
+    found = scratch.save(by_group(roles.join(sets, "c")).mapInArrow(_open_groups(percent), "c long, other long, links long"), "links")
+    wanted.unpersist()
 
     roots = components(found.select(F.col("c").alias("u"), F.col("other").alias("v")), scratch)
     per_class = cls.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
