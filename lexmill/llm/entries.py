@@ -7,12 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.jaccard_join import jaccard_join
+from lexmill.llm.piece_codec import piece_digests
+from lexmill.llm.scratch import Scratch
+from lexmill.llm.token_orc import token_positions, write_token_orc
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("piece_bpe_32k.model"))
+
+
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "token-orc")
+    write_token_orc(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("word_bpe_49k.json"), scratch.path("ids"))
+    return token_positions(spark, scratch.path("ids"), scratch)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
