@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmill.llm.jaccard_join import jaccard_join
 from lexmill.llm.piece_codec import piece_digests
 from lexmill.llm.scratch import Scratch
+from lexmill.llm.secret_scan import secret_scan
+from lexmill.llm.sharding import shard
 from lexmill.llm.token_orc import token_positions, write_token_orc
 
 
@@ -27,6 +29,14 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-orc")
     write_token_orc(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("word_bpe_49k.json"), scratch.path("ids"))
