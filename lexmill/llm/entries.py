@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.llm.chat_format import chat_format
 from lexmill.llm.jaccard_join import jaccard_join
 from lexmill.llm.piece_codec import piece_digests
+from lexmill.llm.quality_rules import quality_rules
 from lexmill.llm.scratch import Scratch
 from lexmill.llm.secret_scan import secret_scan
 from lexmill.llm.sharding import shard
@@ -37,12 +39,22 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-orc")
     write_token_orc(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("word_bpe_49k.json"), scratch.path("ids"))
     return token_positions(spark, scratch.path("ids"), scratch)
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat_format(spark, rows.unionByName(own), tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

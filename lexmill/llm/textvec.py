@@ -1,6 +1,6 @@
 """Vectorised words and shingles of Arrow string batches.
 
-Words are maximal runs of bytes other than space and \\t\\n\\v\\f\\r, with A-Z lower-cased. A word's 64-bit hash is a
+Words are maximal runs of bytes other than space and \\t\\n\\v\\f\\r, with A-Z lower-cased unless asked otherwise. A word's 64-bit hash is a
 polynomial over per-byte random values modulo 2**64, taken from one running sum over the whole buffer, so no Python code
 runs per word or per byte.
 """
@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TABLE[65:91] = _TABLE[97:123]
+_TABLE_FOLD = _TABLE.copy()
+_TABLE_FOLD[65:91] = _TABLE[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
 SPACE = np.zeros(256, dtype=bool)
@@ -104,9 +105,13 @@ def _spans(data: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.nda
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def words(texts: pa.Array, space: np.ndarray = SPACE) -> Words:
-    """The words of ``texts`` (see ``slices`` for bounding memory). ``space`` tells which bytes separate words."""
+def words(texts: pa.Array, space: np.ndarray = SPACE, fold: bool = True) -> Words:
+    """The words of ``texts`` (see ``slices`` for bounding memory).
+
+    ``space`` tells which bytes separate words; without ``fold`` A-Z keep their case.
+    """
     data, off = buffer_of(texts)
+    table = _TABLE_FOLD if fold else _TABLE
     starts, ends, hashes = [], [], []
     a = 0
     while a < len(data):
@@ -123,7 +128,7 @@ def words(texts: pa.Array, space: np.ndarray = SPACE) -> Words:
         up, down = _power(len(part) + 1)
         run = np.empty(len(part) + 1, dtype=np.uint64)
         run[0] = 0
-        np.cumsum(_TABLE[part] * up[: len(part)], out=run[1:])
+        np.cumsum(table[part] * up[: len(part)], out=run[1:])
         hashes.append(mix((run[e] - run[s]) * down[s]))
         starts.append(s + a)
         ends.append(e + a)
