@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.chat_format import chat_format
+from lexmill.llm.cotraining import classify
+from lexmill.llm.decontaminate import contamination
 from lexmill.llm.jaccard_join import jaccard_join
 from lexmill.llm.piece_codec import piece_digests
 from lexmill.llm.quality_rules import quality_rules
@@ -27,6 +29,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("piece_bpe_32k.model"))
 
@@ -43,6 +49,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-orc")
     write_token_orc(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("word_bpe_49k.json"), scratch.path("ids"))
