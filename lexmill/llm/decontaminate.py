@@ -11,7 +11,8 @@ Passages are windows of twice the longest item's words, by half their length, so
 ``ITEM_WORDS`` words are indexed in pieces. The index of ``SHARD_ITEMS`` items is broadcast at a time; more items mean more
 passes, never a larger broadcast.
 
-Edge cases: null or empty texts and items match nothing; an item under three words is compared by its words; equal items are
+Edge cases: null or empty texts and items match nothing; a question or answer under three words is
+replaced by the whole item, an item under three words is compared by its words; equal items are
 all reported; repeated rows are judged each on its own; extra columns are ignored; empty tables give no hits.
 """
 
@@ -77,6 +78,7 @@ class Index:
     essential: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    short: list[bool]  # under three words: compared by words
     step: int  # words of half a passage
 
 
@@ -91,9 +93,11 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
             part = h[x : x + ITEM_WORDS]
             pieces.append(part), ids.append(i)
             if len(h) <= ITEM_WORDS:
-                qa.append(tuple(_grams(y) for y in _hashes([q, a])))
+                sides = _hashes([q, a])
+                qa.append(tuple(_grams(y) for y in (sides if min(map(len, sides)) >= 3 else [h, h])))
             else:
-                qa.append((_grams(part[: len(part) // 2]), _grams(part[len(part) // 2 :])))
+                sides = (part[: len(part) // 2], part[len(part) // 2 :])
+                qa.append(tuple(_grams(y) for y in (sides if len(part) >= 6 else [part, part])))
     if not pieces:
         return None
     by = sorted(range(len(pieces)), key=lambda j: (len(pieces[j]), ids[j]))  # items of like length share a block
@@ -121,7 +125,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     np.maximum.at(block_max, (term, item // BLOCK), np.where(essential[term], impact, 0).astype(np.float32))
     common = np.zeros(blocks)
     np.maximum.at(common, np.arange(n) // BLOCK, reach)
-    return Index(ids, terms, at, item, impact, block_max, common, essential, [q for q, _ in qa], [a for _, a in qa], int(length.max()))
+    return Index(ids, terms, at, item, impact, block_max, common, essential, [q for q, _ in qa], [a for _, a in qa], [len(p) < 3 for p in pieces], int(length.max()))
 
 
 def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
@@ -162,7 +166,8 @@ def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float, float,
             continue
         have3, have1 = _grams(w.hash[a:b]), np.unique(w.hash[a:b])
         for j in found.tolist():
-            share = [np.isin(x, have3 if len(x) and len(index.question[j]) + len(index.answer[j]) > 2 else have1).mean() if len(x) else 1.0 for x in (index.question[j], index.answer[j])]
+            have = have1 if index.short[j] else have3
+            share = [np.isin(x, have).mean() for x in (index.question[j], index.answer[j])]
             if min(share) >= OVERLAP:
                 now = (float(score[j]), float(share[0]), float(share[1]))
                 out[d, index.item_id[j]] = max(out.get((d, index.item_id[j]), now), now)

@@ -10,6 +10,7 @@ from lexmill.llm.chat_format import chat_format
 from lexmill.llm.cotraining import classify
 from lexmill.llm.decontaminate import contamination
 from lexmill.llm.jaccard_join import jaccard_join
+from lexmill.llm.language_model import language_model_scores
 from lexmill.llm.piece_codec import piece_digests
 from lexmill.llm.quality_rules import quality_rules
 from lexmill.llm.scratch import Scratch
@@ -29,6 +30,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
