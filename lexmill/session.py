@@ -20,6 +20,7 @@ def get_spark(app: str = "lexmill", master: str | None = None, partitions: int =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
