@@ -14,6 +14,7 @@ in the order of their texts; extra columns are ignored; an empty table gives emp
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from lexmill.llm.scratch import Scratch
 from lexmill.llm.textvec import slices
 
-#: Words that a worker keeps.
-TABLE_LIMIT = 500_000
+#: Words that a worker's table holds; it keeps the last table too, so words in use stay.
+TABLE_LIMIT = 400_000
+#: A full stop or comma after a letter at a word's end is a pre-token of its own.
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
 #: ORC layout: bytes of a stripe, rows between index entries.
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 _loaded: dict[str, WordCodec] = {}
@@ -40,6 +43,7 @@ class WordCodec:
 
         self.tok = Tokenizer.from_file(path)
         self.table: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # the table before, when the present one has begun anew
 
     @classmethod
     def load(cls, path: str) -> WordCodec:
@@ -48,38 +52,37 @@ class WordCodec:
         return _loaded[path]
 
     def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.tok.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.table[w] = np.array(e.ids, dtype="<u4").tobytes()
+        """Encode new words together, a line each, and deal the ids out by where their tokens begin."""
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            text = [w.decode() for w in part]
+            found = self.tok.encode("\n".join(text), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            begin = np.cumsum([0, *(len(t) + 1 for t in text)])
+            at = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(ids))
+            cut = np.searchsorted(at, begin).tolist()
+            for w, a, b in zip(part, cut[:-1], cut[1:], strict=True):
+                self.table[w] = ids[a:b].tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         raw = (text or "").encode()
         if b"<|" not in raw:  # else a case change could make or break a special token
             raw = raw.lower()
-        for mark in (b".", b","):
-            if mark in raw:
-                raw = raw.replace(mark, b" " + mark) if self._plain(raw, mark) else raw
-        words = raw.split()
+        words = _MARK.sub(rb" \1", raw).split()
         table = self.table
         new = [w for w in set(words) if w not in table]
         if new:
             if len(table) + len(new) > TABLE_LIMIT:
-                table.clear()
-                new = list(set(words))
+                self.old, self.table = table, {}
+                table, new = self.table, list(set(words))
+            if self.old:
+                keep = self.old
+                table.update((w, keep[w]) for w in new if w in keep)
+                new = [w for w in new if w not in table]
             self._learn(new)
         return b"".join([table[w] for w in words])
 
-    @staticmethod
-    def _plain(raw: bytes, mark: bytes) -> bool:
-        """Every such mark stands between an ASCII letter and white space or the end, so it is a pre-token of its own."""
-        x = np.frombuffer(raw, dtype=np.uint8)
-        at = np.flatnonzero(x == mark[0])
-        before = x[at - 1]
-        after = np.append(x, 32)[at + 1]
-        return bool(at[0] > 0 and ((before >= 97) & (before <= 122)).all() and np.isin(after, [32, 9, 10, 11, 12, 13]).all())
-
 
 def _encode(path: str, end_id: int):
     end = int(end_id).to_bytes(4, "little")
