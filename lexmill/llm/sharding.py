@@ -80,7 +80,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     order = _Order(total)
     bottom = max(-(-total // shards), largest)
     least, most = bottom, bottom + largest  # greedy filling never leaves more than one group's room
-    for _ in range(64):
+    narrow = False
+    while True:  # of two passes one at least cuts an open slice
         a, b = least, most  # smallest capacity that surely works
         while a < b:
             m = (a + b) // 2
@@ -96,11 +97,16 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         for lo, hi in zip(lows[:-1], highs[:-1], strict=True):
             i, j = bisect_right(order.sum, lo) - 1, bisect_right(order.sum, min(hi, total - 1))
             open_ = [x for x in range(i, j) if order.sum[x] not in order.whole and order.at[x + 1] - order.at[x] > 1 and order.sum[x] != order.sum[x + 1]]
-            if open_:
+            if open_ and narrow:  # one slice alone is sure to fall apart
+                x = max(open_, key=lambda x: order.at[x + 1] - order.at[x])
+                spans[order.at[x]] = order.at[x + 1]
+            elif open_:
                 spans[order.at[open_[0]]] = max(order.at[open_[-1] + 1], spans.get(order.at[open_[0]], 0))
         if least == most and _fill(order, most, shards)[0] == _fill(order, most, shards)[1] or not spans:
             break
+        known = len(order.at)
         order.refine(_sums(groups, order, _disjoint(spans)))
+        narrow = len(order.at) == known
     ends = _fill(order, most, shards)[0]
     return [order.at[bisect_right(order.sum, e) - 1] for e in ends[:-1]], most
 
@@ -133,6 +139,7 @@ def _sums(groups: DataFrame, order: _Order, spans: list[tuple[int, int]]) -> dic
         for r in sorted(own, key=lambda r: r["lo"]):
             found[r["lo"]] = (at, r["lo"] == r["hi"])
             at += r["s"]
+            found.setdefault(r["hi"] + 1, (at, False))  # keys crowd at times: the empty stretch after them is cut off
     return found
 
 
