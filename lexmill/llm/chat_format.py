@@ -33,7 +33,7 @@ from lexmill.llm.token_orc import WordCodec
 #: Tokens of a window, and of the turns repeated in it.
 BUDGET, HISTORY = 2048, 512
 #: What follows the first character of a control string of this or another common template.
-_TAIL = r"(?=\||/?s>|/?INST\]|/?SYS>|<SYS>)"
+_TAIL = r"(?=\||/?s>|/?INST\]|/?SYS>)"
 _ESCAPE, _UNESCAPE = re.compile(r"([<\[])(\\*)" + _TAIL), re.compile(r"([<\[])\\(\\*)" + _TAIL)
 _TURN = re.compile(r"<\|([^|]*)\|>\n(.*?)<\|end\|>\n", re.DOTALL)
 WINDOW = "conv_id long, window long, n_turns int, n_repeated int, n_tokens long, over_budget boolean, text string, mask array<struct<start:int,end:int>>"
