@@ -200,7 +200,7 @@ class _Screen:
     def close(self) -> None:
         self.ready, self.keep = True, np.zeros(len(self.rows), dtype=bool)
         self.n = np.array([n for _, n, _ in self.rows], dtype=np.int64)
-        self.coarse = np.array([np.frombuffer(b[: COARSE // 8], dtype=np.uint64) for *_, b in self.rows])
+        self.coarse = np.array([np.frombuffer(b[: COARSE // 8], dtype=np.uint64) for *_, b in self.rows], dtype=np.uint64).reshape(-1, COARSE // 64)
         self.is_fine = self.n >= FINE_FROM
         self.at = np.cumsum(self.is_fine) - 1
         fine = [np.frombuffer(b[COARSE // 8 :], dtype=np.uint64) for *_, b in self.rows if len(b) > COARSE // 8]
