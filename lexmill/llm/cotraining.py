@@ -94,22 +94,36 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+class View:
+    """Features of the sampled rows: 0/1 words as (row, column) pairs, then dense columns, then the constant."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, n_words: int, dense: np.ndarray):
+        self.row, self.column, self.n_words, self.dense = row.astype(np.int32), column.astype(np.int32), n_words, dense
+        self.width = n_words + dense.shape[1] + 1
+
+    def logit(self, b: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=b[self.column], minlength=len(self.dense)) + self.dense @ b[self.n_words : -1] + b[-1]
+
+    def gather(self, r: np.ndarray) -> np.ndarray:
+        """The transpose times r."""
+        return np.concatenate((np.bincount(self.column, weights=r[self.row], minlength=self.n_words), self.dense.T @ r, [r.sum()]))
+
+
+def _logistic(x: View, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights and bias (last) of a ridge-penalised logistic model, by Newton steps with a conjugate-gradient solver."""
-    x = np.concatenate((x, np.ones((len(x), 1), dtype=x.dtype)), axis=1)
-    b = np.zeros(x.shape[1])
+    b = np.zeros(x.width)
     penalty = np.full(len(b), ridge)
     penalty[-1] = 1e-3
     for _ in range(steps):
-        p = _sigmoid(x @ b)
-        grad = x.T @ (weight * (p - y)) + penalty * b
+        p = _sigmoid(x.logit(b))
+        grad = x.gather(weight * (p - y)) + penalty * b
         curve = weight * np.maximum(p * (1 - p), 1e-6)
         step, r = np.zeros(len(b)), -grad
         d, rr = r.copy(), float(r @ r)
         for _ in range(60):
             if rr < 1e-8:
                 break
-            q = x.T @ (curve * (x @ d)) + penalty * d
+            q = x.gather(curve * x.logit(d)) + penalty * d
             alpha = rr / float(d @ q)
             step += alpha * d
             r -= alpha * q
@@ -128,7 +142,7 @@ def fit(rows: pa.Table) -> Model:
     y = np.array([-1 if g is None else g for g in good])
     if not ((y == 0).any() and (y == 1).any()):
         return model
-    cells, lens = rows.column("cells").combine_chunks(), None
+    cells = rows.column("cells").combine_chunks()
     lens = np.diff(cells.offsets.to_numpy())
     flat, owner = cells.values.to_numpy(), np.repeat(np.arange(len(y)), lens)
     shape = np.array(rows.column("shape").to_pylist(), dtype=np.float64)
@@ -145,19 +159,17 @@ def fit(rows: pa.Table) -> Model:
     kept = np.argsort(-z)[:WORDS]
     kept = kept[z[kept] > 3]
     model.column[kept] = np.arange(len(kept))
-    word = np.zeros((len(y), len(kept)), dtype=np.float64)
     col = model.column[flat]
-    word[owner[col >= 0], col[col >= 0]] = 1
     meta = np.zeros((len(y), META))
     np.add.at(meta, (np.repeat(np.arange(len(y)), meta_at.shape[1]), meta_at.ravel()), 1)
-    text = np.concatenate((word, shape), axis=1)
+    none = np.zeros(0, dtype=np.int32)
 
-    views = [text, meta]
+    views = [View(owner[col >= 0], col[col >= 0], len(kept), shape), View(none, none, 0, meta)]
     target = [np.where(train, y, -1).astype(np.float64) for _ in views]
     free = y < 0
     for r in range(ROUNDS + 1):
-        weights = [_logistic(v[t >= 0], t[t >= 0], np.where(train[t >= 0], 1.0, 0.5)) for v, t in zip(views, target, strict=True)]
-        logit = [v @ b[:-1] + b[-1] for v, b in zip(views, weights, strict=True)]
+        weights = [_logistic(v, np.maximum(t, 0), np.where(t >= 0, np.where(train, 1.0, 0.5), 0.0)) for v, t in zip(views, target, strict=True)]
+        logit = [v.logit(b) for v, b in zip(views, weights, strict=True)]
         if r == ROUNDS:
             break
         for own, other in ((0, 1), (1, 0)):
@@ -168,7 +180,7 @@ def fit(rows: pa.Table) -> Model:
     model.meta, model.meta_bias = weights[1][:-1], float(weights[1][-1])
     if (y[held] == 1).any() and (y[held] == 0).any():
         both = np.stack(logit, axis=1)
-        b = _logistic(both[held], y[held].astype(np.float64), np.ones(held.sum()), ridge=0.1)
+        b = _logistic(View(none, none, 0, both[held]), y[held].astype(np.float64), np.ones(held.sum()), ridge=0.1)
         model.mix = (max(0.0, float(b[0])), max(0.0, float(b[1])), float(b[2]))
         p = _sigmoid(model.mix[0] * both[:, 0] + model.mix[1] * both[:, 1] + model.mix[2])
         ok = np.sort(p[held & (y == 1)])
