@@ -3,7 +3,7 @@
 No piece of the model crosses from other characters into the white-space marker (checked when a worker loads the model), so
 a text falls apart before every run of markers into chunks that are segmented independently. Each distinct chunk is
 segmented once per worker and kept with its ids and its decoded bytes; texts are then joined back by position. The table is
-bounded: when full it is emptied, which costs repeated work and nothing else.
+bounded: when full it begins anew and the one before it is kept for look-ups, which costs repeated work and nothing else.
 
 Edge cases: a null or empty text is encoded as the begin and end ids alone and decodes to the empty string; ties and
 repeated rows are independent; texts of any length are cut only at chunk boundaries; extra columns are ignored.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,11 @@ class PieceCodec:
             raise ValueError(f"pieces cross the white-space marker: {crossing[:3]}")
         self.bos, self.eos = self.sp.bos_id(), self.sp.eos_id()
         self.lone = self.sp.piece_to_id(MARK)
+        # what a plain piece decodes to; None for bytes, unknown and control pieces, which the library decodes
+        special = (self.sp.is_byte, self.sp.is_unknown, self.sp.is_control, self.sp.is_unused)
+        self.surface = [None if any(f(i) for f in special) else x.replace(MARK, " ").encode() for i, x in enumerate(pieces)]
         self.table: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}  # the table before, when the present one has begun anew
 
     @classmethod
     def load(cls, path: str) -> PieceCodec:
@@ -54,24 +59,35 @@ class PieceCodec:
     def _learn(self, chunks: list[str]) -> None:
         # every chunk begins with a marker, which the library itself puts before what it is given
         rest = [c[1:] for c in chunks]
-        for c, r, ids in zip(chunks, rest, self.sp.encode(rest, num_threads=1), strict=True):
-            if not r:
-                ids = [self.lone]
-            # with a chunk of its own in front, the decoder drops the space of that chunk and keeps this one's
-            self.table[c] = (np.array(ids, dtype="<u4").tobytes(), self.sp.decode([self.lone, *ids]).encode())
+        every = [ids or [self.lone] for ids in self.sp.encode(rest, num_threads=1)]
+        flat = np.fromiter(chain.from_iterable(every), dtype="<u4").tobytes()
+        surface, at = self.surface.__getitem__, 0
+        for c, ids in zip(chunks, every, strict=True):
+            end = at + 4 * len(ids)
+            try:
+                decoded = b"".join(map(surface, ids))
+            except TypeError:
+                # with a chunk of its own in front, the decoder drops the space of that chunk and keeps this one's
+                decoded = self.sp.decode([self.lone, *ids]).encode()
+            self.table[c] = (flat[at:end], decoded)
+            at = end
 
     def _rows(self, text: str) -> list[tuple[bytes, bytes]]:
         if not text:
             return []
         chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
-        new = [c for c in set(chunks) if c not in self.table]
+        table = self.table
+        new = set(chunks).difference(table)
         if new:
-            if len(self.table) + len(new) > TABLE_LIMIT:
-                self.table.clear()
-                new = list(set(chunks))
-            self._learn(new)
-        get = self.table.__getitem__
-        return [get(c) for c in chunks]
+            if len(table) + len(new) > TABLE_LIMIT:
+                self.old, self.table = table, {}
+                table, new = self.table, set(chunks)
+            if self.old:
+                keep = self.old
+                table.update((c, keep[c]) for c in new if c in keep)
+                new = new.difference(table)
+            self._learn(list(new))
+        return list(map(table.__getitem__, chunks))
 
     def encode(self, text: str | None) -> bytes:
         """Begin id, ids and end id as little-endian unsigned 32-bit integers."""

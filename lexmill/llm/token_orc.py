@@ -5,8 +5,8 @@ stripes and row groups hold disjoint doc_id ranges: a reader prunes them from me
 place of a document in the whole sequence (``start``) follows from the counts of the ranges before it.
 
 Words are encoded once per worker and kept in a bounded table: white space separates words for this tokenizer before
-anything else happens, so a text's ids are those of its words one after the other. A word's trailing full stops and commas
-after a letter are separate pre-tokens and are kept separately.
+anything else happens, so a text's ids are those of its words one after the other. A word's trailing punctuation after a
+letter is a pre-token of its own and is kept separately.
 
 Edge cases: a null or empty text has the end id alone; rows with a null doc_id come first, equal doc_ids follow one another
 in the order of their texts; extra columns are ignored; an empty table gives empty files and an empty result.
@@ -27,8 +27,8 @@ from lexmill.llm.textvec import slices
 
 #: Words that a worker's table holds; it keeps the last table too, so words in use stay.
 TABLE_LIMIT = 400_000
-#: A full stop or comma after a letter at a word's end is a pre-token of its own.
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
+#: Punctuation after a letter (a-z, or one of U+00C0 to U+00FF) and up to a word's end is one pre-token.
+_MARK = re.compile(rb"([.,;:!?&*$#%](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?&*$#%]*)(?=\s|$)")
 #: ORC layout: bytes of a stripe, rows between index entries.
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 _loaded: dict[str, WordCodec] = {}
@@ -71,17 +71,17 @@ class WordCodec:
             raw = raw.lower()
         words = _MARK.sub(rb" \1", raw).split()
         table = self.table
-        new = [w for w in set(words) if w not in table]
+        new = set(words).difference(table)
         if new:
             if len(table) + len(new) > TABLE_LIMIT:
                 self.old, self.table = table, {}
-                table, new = self.table, list(set(words))
+                table, new = self.table, set(words)
             if self.old:
                 keep = self.old
                 table.update((w, keep[w]) for w in new if w in keep)
-                new = [w for w in new if w not in table]
-            self._learn(new)
-        return b"".join([table[w] for w in words])
+                new = new.difference(table)
+            self._learn(list(new))
+        return b"".join(map(table.__getitem__, words))
 
 
 def _encode(path: str, end_id: int):
