@@ -109,9 +109,9 @@ class View:
         return np.concatenate((np.bincount(self.column, weights=r[self.row], minlength=self.n_words), self.dense.T @ r, [r.sum()]))
 
 
-def _logistic(x: View, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+def _logistic(x: View, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25, start: np.ndarray | None = None) -> np.ndarray:
     """Weights and bias (last) of a ridge-penalised logistic model, by Newton steps with a conjugate-gradient solver."""
-    b = np.zeros(x.width)
+    b = np.zeros(x.width) if start is None else start.copy()
     penalty = np.full(len(b), ridge)
     penalty[-1] = 1e-3
     for _ in range(steps):
@@ -120,8 +120,9 @@ def _logistic(x: View, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, st
         curve = weight * np.maximum(p * (1 - p), 1e-6)
         step, r = np.zeros(len(b)), -grad
         d, rr = r.copy(), float(r @ r)
+        enough = max(1e-8, 1e-4 * rr)  # each Newton step begins anew, so it need not be solved to the end
         for _ in range(60):
-            if rr < 1e-8:
+            if rr < enough:
                 break
             q = x.gather(curve * x.logit(d)) + penalty * d
             alpha = rr / float(d @ q)
@@ -167,8 +168,9 @@ def fit(rows: pa.Table) -> Model:
     views = [View(owner[col >= 0], col[col >= 0], len(kept), shape), View(none, none, 0, meta)]
     target = [np.where(train, y, -1).astype(np.float64) for _ in views]
     free = y < 0
+    weights: list[np.ndarray | None] = [None, None]
     for r in range(ROUNDS + 1):
-        weights = [_logistic(v, np.maximum(t, 0), np.where(t >= 0, np.where(train, 1.0, 0.5), 0.0)) for v, t in zip(views, target, strict=True)]
+        weights = [_logistic(v, np.maximum(t, 0), np.where(t >= 0, np.where(train, 1.0, 0.5), 0.0), start=b) for v, t, b in zip(views, target, weights, strict=True)]
         logit = [v.logit(b) for v, b in zip(views, weights, strict=True)]
         if r == ROUNDS:
             break
