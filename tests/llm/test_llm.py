@@ -355,3 +355,19 @@ def test_pipeline(spark, docs, tmp_path):
         for b in stay[:x]:
             o = len(sets[a] & sets[b])
             assert not o or 100 * o < 80 * (len(sets[a]) + len(sets[b]) - o)
+
+
+def test_codecs_on_odd_characters():
+    import numpy as np
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tok, sp = Tokenizer.from_file(tokenizer("word_bpe_49k.json")), sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    word, piece, rng = WordCodec.load(tokenizer("word_bpe_49k.json")), PieceCodec.load(tokenizer("piece_bpe_32k.model")), random.Random(9)
+    some = ["a", "é", "ß", "×", "÷", "é", "«", "…", "&&&", ".", ",", ";", "'s", "'", "<|endoftext|>", "<|", ">", "<unk>", "</s>", " ", "  ", "\n", "\t", " ", " ", "̸", "9", "½", "漢", "😀", "\x00", "İ", "Σ", "ﬁ", "▁", "\x1c", "#", "!?", "$", "%", "<0x41>"]
+    for _ in range(1500):
+        t = "".join(rng.choice(some) for _ in range(rng.randrange(30)))
+        assert np.frombuffer(word.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+        ids, decoded = piece.encode_decode(t)
+        want = sp.encode(t, add_bos=True, add_eos=True)
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == sp.decode(want)
