@@ -9,9 +9,9 @@ probabilities sum to one.
 Scoring cuts a text's ids into blocks; a window is a block and the block before it as context, windows overlap by that block,
 and each id is scored once, in batched masked attention over all windows of a stretch of texts.
 
-What is learned from the corpus: counts of words and of ids in all training texts (those whose crc32 of the id, as text, modulo
-10 is not 0), by Spark aggregation; the attention weights by data-parallel passes over a fixed share of all training windows,
-each partition training from the same weights and all results averaged.
+What is learned from the corpus: counts of words, ids and pairs of classes in all training texts (those whose crc32 of the id,
+as text, modulo 10 is not 0), by Spark aggregation; the attention weights by data-parallel passes over all training windows,
+each partition training from the same weights and all results averaged, a few times in each pass. Nothing is sampled.
 
 The word base is exact: word counts are joined by word hash to the words of each bucket of documents, and come back to the
 bucket's texts in one co-group; memory holds one bucket.
@@ -22,6 +22,7 @@ counted and scored each; extra columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
+import ctypes
 import math
 from zlib import crc32
 
@@ -37,8 +38,8 @@ from lexmill.llm.textvec import SPACE, buffer_of, slices, words
 BLOCK, CLASSES, WIDTH, SMOOTH = 16, 64, 16, 0.1
 #: Classes that rare ids share, by frequency.
 SHARED = 16
-#: One in so many training texts is trained on, or more until their bytes reach a least; rounds; windows of a gradient step.
-TRAIN_EVERY, TRAIN_LEAST, ROUNDS, STEP = 32, 8_000_000, 3, 64
+#: Passes over all training texts; averages in each pass; windows of a gradient step; bytes of texts in a row of ids.
+ROUNDS, PHASES, STEP, ROW = 3, 4, 64, 1 << 20
 #: Weight of the class's own distribution against what the class before says.
 BACKOFF = 4.0
 #: Words whose ids a worker keeps.
@@ -200,7 +201,7 @@ class Attention:
         dz[i, j, y[real]] -= 1
         dz *= real[..., None] / np.float32(n)
         g = Attention(np.zeros_like(self.flat))
-        np.add.at(g.p["g"], x[:, BLOCK:].ravel(), dz.reshape(-1, CLASSES))
+        g.p["g"][:] = _sums(x[:, BLOCK:].ravel(), dz.reshape(-1, CLASSES))
         g.p["u"][:] = h.reshape(-1, WIDTH).T @ dz.reshape(-1, CLASSES)
         dh = dz @ p["u"].T
         ds = dh @ v.transpose(0, 2, 1)
@@ -214,10 +215,17 @@ class Attention:
         g.p["v"][:] = flat(e).T @ flat(dv)
         de = dk @ p["k"].T + dv @ p["v"].T
         de[:, BLOCK:] += dh + dq @ p["q"].T
-        np.add.at(g.p["e"], x.ravel(), flat(de))
+        g.p["e"][:] = _sums(x.ravel(), flat(de))
         return g.flat, loss
 
 
+def _sums(cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each class."""
+    one = np.zeros((CLASSES + 1, len(cls)), dtype=np.float32)
+    one[cls, np.arange(len(cls))] = 1
+    return one @ rows
+
+
 def windows(cls: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(inputs, place of the target) of all windows: class CLASSES and place -1 where there is none."""
     n = np.diff(begin)
@@ -308,29 +316,48 @@ def _packed(n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
 
 
-def _id_counts(ranks: str):
+def _encode(ranks: str):
+    """Rows (phase, ids, begin) of the training texts, packed: every text's ids, for all that is learned from ids."""
+
     def run(batches):
-        sub = Subwords.load(ranks)
-        n = np.zeros(sub.size, dtype=np.int64)
+        sub, n = Subwords.load(ranks), 0
         for batch in batches:
-            for _, texts in slices(batch.column("text")):
-                n += np.bincount(sub.sequences(texts)[0], minlength=sub.size)
+            for _, texts in slices(batch.column("text"), ROW):
+                ids, begin = sub.sequences(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([n % PHASES], pa.int32()), pa.array([ids.astype(_small(sub.size)).tobytes()], pa.binary()), pa.array([begin.astype("<i8").tobytes()], pa.binary())], names=["phase", "ids", "begin"])
+                n += 1
+
+    return run
+
+
+def _small(size: int):
+    return np.min_scalar_type(size - 1)
+
+
+def _encoded(batches, size: int):
+    for batch in batches:
+        for ids, begin in zip(batch.column("ids").to_pylist(), batch.column("begin").to_pylist(), strict=True):
+            yield np.frombuffer(ids, dtype=_small(size)).astype(np.int64), np.frombuffer(begin, dtype="<i8")
+
+
+def _id_counts(size: int):
+    def run(batches):
+        n = np.zeros(size, dtype=np.int64)
+        for ids, _ in _encoded(batches, size):
+            n += np.bincount(ids, minlength=size)
         yield _packed(n)
 
     return run
 
 
-def _pair_counts(ranks: str, classes):
+def _pair_counts(size: int, classes):
     """Counts of (class before, id) over the training texts."""
 
     def run(batches):
-        sub, cls = Subwords.load(ranks), classes.value
-        n = np.zeros((CLASSES + 1) * sub.size, dtype=np.int64)
-        for batch in batches:
-            rows = batch.filter(pa.array(~_is_held(batch.column("doc_id"))))
-            for _, texts in slices(rows.column("text"), 4 << 20):
-                ids, begin = sub.sequences(texts)
-                n += np.bincount(before(cls[ids], begin) * sub.size + ids, minlength=len(n))
+        cls = classes.value
+        n = np.zeros((CLASSES + 1) * size, dtype=np.int64)
+        for ids, begin in _encoded(batches, size):
+            np.add.at(n, before(cls[ids], begin) * size + ids, 1)
         yield _packed(n)
 
     return run
@@ -363,42 +390,48 @@ class Vocabulary:
         self.cls = cls
         alone = pairs.sum(axis=0) + SMOOTH
         alone /= np.bincount(cls, weights=alone, minlength=CLASSES)[cls]
-        in_class = np.stack([np.bincount(cls, weights=row, minlength=CLASSES) for row in pairs])
-        self.table = np.log((pairs + BACKOFF * alone) / (in_class[:, cls] + BACKOFF)).astype(np.float32)
+        self.in_class = np.stack([np.bincount(cls, weights=row, minlength=CLASSES) for row in pairs])
+        self.table = np.log((pairs + BACKOFF * alone) / (self.in_class[:, cls] + BACKOFF)).astype(np.float32)
 
     def logp(self, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
         return self.table[before(self.cls[ids], begin), ids].astype(np.float64)
 
 
-def _train(ranks: str, vocabulary, weights, first: bool):
-    """One pass of a partition over its training texts; a row of new weights (or bigram counts, at first)."""
+def _keep_freed_memory() -> None:
+    """Small steps allocate and free the same arrays all the time: let the C library keep up to 64 MB of them."""
+    if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):
+        mallopt(-3, 64 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
+def _train(size: int, classes, weights):
+    """A partition's training on its rows: a row of new weights and the number of windows they were trained on."""
 
     def run(batches):
-        sub, vocab = Subwords.load(ranks), vocabulary.value
+        _keep_freed_memory()
         model = Attention(weights.value.copy())
-        square, rng, held, seen = np.zeros_like(model.flat), np.random.default_rng(5), [], 0
-        pairs = np.zeros((CLASSES + 1, CLASSES))
-        for batch in batches:
-            for _, texts in slices(batch.column("text")):
-                ids, begin = sub.sequences(texts)
-                cls = vocab.cls[ids]
-                x, at = windows(cls, begin)
-                y = np.where(at >= 0, cls[at], -1)
-                if first:
-                    np.add.at(pairs, (x[:, BLOCK:][y >= 0], y[y >= 0]), 1)
-                    continue
-                for i in np.array_split(rng.permutation(len(x)), max(1, len(x) // STEP)):
-                    g, _ = model.gradient(x[i], y[i])
-                    square *= 0.98
-                    square += 0.02 * g * g
-                    seen += 1
-                    model.flat -= np.float32(0.01 / math.sqrt(1 + seen / 300)) * g / (np.sqrt(square / (1 - 0.98**seen)) + 1e-6)
-        out = pairs.astype(np.float32).ravel() if first else model.flat
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([1 if first else seen], pa.int64())], names=["w", "n"])
+        square, rng, seen, total = np.zeros_like(model.flat), np.random.default_rng(5), 0, 0
+        for ids, begin in _encoded(batches, size):
+            cls = classes.value[ids]
+            x, at = windows(cls, begin)
+            y = np.where(at >= 0, cls[at], -1)
+            total += len(x)
+            for i in np.array_split(rng.permutation(len(x)), max(1, len(x) // STEP)):
+                g, _ = model.gradient(x[i], y[i])
+                square *= 0.98
+                square += 0.02 * g * g
+                seen += 1
+                model.flat -= np.float32(0.01 / math.sqrt(1 + seen / 300)) * g / (np.sqrt(square / (1 - 0.98**seen)) + 1e-6)
+        yield pa.RecordBatch.from_arrays([pa.array([model.flat.tobytes()], pa.binary()), pa.array([total], pa.int64())], names=["w", "n"])
 
     return run
 
 
+def averaged(rows: list[tuple[np.ndarray, int]]) -> Attention:
+    """The model of averaged weights, each by the number of windows it was trained on."""
+    return Attention(sum(w * np.float32(n) for w, n in rows) / np.float32(sum(n for _, n in rows)))
+
+
 def _score(ranks: str, vocabulary, weights, n_tokens: int, n_distinct: int, n_ends: int):
     schema = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_subwords", pa.int64())]
 
@@ -454,10 +487,7 @@ def language_model_scores(spark: SparkSession, documents: DataFrame, ranks_path:
     ends = docs.where(~is_held).count()
     total, distinct = total + ends, distinct + (ends > 0)
 
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    every = max(1, min(TRAIN_EVERY, size // TRAIN_LEAST))
-    sample = docs.where(~is_held & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)).select("text")
-    sample = scratch.save(sample.repartition(16), "sample")
+    ids = scratch.save(docs.where(~is_held).select("text").mapInArrow(_encode(ranks_path), "phase int, ids binary, begin binary"), "ids")
 
     def counted_ids(df: DataFrame, run, n: int) -> np.ndarray:
         found = df.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
@@ -465,21 +495,19 @@ def language_model_scores(spark: SparkSession, documents: DataFrame, ranks_path:
         out[found.column("id").to_numpy()] = found.column("n").to_numpy()
         return out
 
-    ids = Subwords.load(ranks_path).size
-    cls = classes_of(counted_ids(sample, _id_counts(ranks_path), ids))
+    size = Subwords.load(ranks_path).size
+    cls = classes_of(counted_ids(ids, _id_counts(size), size))
     known = sc.broadcast(cls)
-    pairs = counted_ids(docs, _pair_counts(ranks_path, known), (CLASSES + 1) * ids).reshape(-1, ids)
-    vocabulary = sc.broadcast(Vocabulary(cls, pairs))
+    vocabulary = Vocabulary(cls, counted_ids(ids, _pair_counts(size, known), (CLASSES + 1) * size).reshape(-1, size))
     model = Attention()
-    for r in range(ROUNDS + 1):
+    pairs = vocabulary.in_class + SMOOTH
+    model.p["g"][:] = np.log(pairs / pairs.sum(axis=1, keepdims=True))
+    vocabulary = sc.broadcast(vocabulary)
+    for r in range(ROUNDS * PHASES):
         now = sc.broadcast(model.flat)
-        rows = [(np.frombuffer(x["w"], dtype=np.float32), x["n"]) for x in sample.mapInArrow(_train(ranks_path, vocabulary, now, r == 0), "w binary, n long").collect()]
-        rows = [x for x in rows if x[1]]
-        if r == 0 and rows:
-            pairs = sum(w for w, _ in rows).reshape(CLASSES + 1, CLASSES) + SMOOTH
-            model.p["g"][:] = np.log(pairs / pairs.sum(axis=1, keepdims=True))
-        elif rows:
-            model = Attention(sum(w * np.float32(n) for w, n in rows) / np.float32(sum(n for _, n in rows)))
+        trained = ids.where(F.col("phase") == r % PHASES).mapInArrow(_train(size, known, now), "w binary, n long").collect()
+        if rows := [(np.frombuffer(x["w"], dtype=np.float32), x["n"]) for x in trained if x["n"]]:
+            model = averaged(rows)
         now.unpersist()
     score = _score(ranks_path, vocabulary, sc.broadcast(model.flat), int(total), int(distinct), int(ends))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_subwords long"

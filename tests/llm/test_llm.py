@@ -132,6 +132,18 @@ def test_language_model(spark, docs, empty):
     assert LM.language_model_scores(spark, empty, tokenizer("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_language_model_learns_from_all_training_texts(spark, docs, monkeypatch):
+    counts, trained = [], []
+    classes_of, averaged = LM.classes_of, LM.averaged
+    monkeypatch.setattr(LM, "TRAIN_LEAST", 1, raising=False)  # a large input, where texts were once sampled
+    monkeypatch.setattr(LM, "classes_of", lambda n: (counts.append(n.sum()), classes_of(n))[1])
+    monkeypatch.setattr(LM, "averaged", lambda rows: (trained.append(sum(n for _, n in rows)), averaged(rows))[1])
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = [r for r in LM.language_model_scores(spark, rows, tokenizer("byte_bpe_50k.tiktoken")).collect() if not r["held_out"]]
+    assert counts == [sum(r["n_subwords"] for r in got)]
+    assert sum(trained) == LM.ROUNDS * sum(-(-r["n_subwords"] // LM.BLOCK) for r in got)
+
+
 def test_attention_gradient_and_mass():
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, LM.CLASSES + 1, (3, 2 * LM.BLOCK)), rng.integers(-1, LM.CLASSES, (3, LM.BLOCK))
