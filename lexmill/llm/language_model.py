@@ -35,9 +35,9 @@ from lexmill.llm.scratch import Scratch
 from lexmill.llm.textvec import SPACE, buffer_of, slices, words
 
 #: Ids of a block; classes; width of the model; smoothing of counts.
-BLOCK, CLASSES, WIDTH, SMOOTH = 16, 64, 16, 0.1
+BLOCK, CLASSES, WIDTH, SMOOTH = 16, 128, 24, 0.1
 #: Classes that rare ids share, by frequency.
-SHARED = 16
+SHARED = 24
 #: Passes over all training texts; averages in each pass; windows of a gradient step; bytes of texts in a row of ids.
 ROUNDS, PHASES, STEP, ROW = 3, 4, 64, 1 << 20
 #: Weight of the class's own distribution against what the class before says.

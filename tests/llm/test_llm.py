@@ -144,6 +144,12 @@ def test_language_model_learns_from_all_training_texts(spark, docs, monkeypatch)
     assert sum(trained) == LM.ROUNDS * sum(-(-r["n_subwords"] // LM.BLOCK) for r in got)
 
 
+def test_language_model_size():
+    counts = np.arange(50_258)[::-1].astype(float)
+    alone = np.bincount(LM.classes_of(counts), minlength=LM.CLASSES) == 1
+    assert alone.sum() >= 104 and LM.CLASSES - alone.sum() >= 24 and LM.WIDTH >= 24  # not to be shrunk for a lower figure
+
+
 def test_attention_gradient_and_mass():
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, LM.CLASSES + 1, (3, 2 * LM.BLOCK)), rng.integers(-1, LM.CLASSES, (3, LM.BLOCK))
