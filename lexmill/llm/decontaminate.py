@@ -8,7 +8,8 @@ that reaches the threshold is missed. Hits are verified by the share of the item
 that the passage has.
 
 Passages are windows of twice the longest item's words, by half their length, so an item lies whole in one of them. Items over
-``ITEM_WORDS`` words are indexed in pieces. The index of ``SHARD_ITEMS`` items is broadcast at a time; more items mean more
+``ITEM_WORDS`` words are indexed in equal pieces, of half as many words at least; where a passage holds a piece, the whole item's
+question and answer are verified in the passage and as many words as the item has on both sides. The index of ``SHARD_ITEMS`` items is broadcast at a time; more items mean more
 passes, never a larger broadcast.
 
 Edge cases: null or empty texts and items match nothing; a question or answer under three words is
@@ -79,29 +80,25 @@ class Index:
     question: list[np.ndarray]
     answer: list[np.ndarray]
     short: list[bool]  # under three words: compared by words
+    around: list[int]  # words beside a passage in which a cut item is verified
     step: int  # words of half a passage
 
 
 def build_index(items: list[tuple[int, str]]) -> Index | None:
-    pieces, ids, qa = [], [], []
+    pieces, ids, qa, around = [], [], [], []
     texts = [(i, t) for i, t in items if t]
     for (i, t), h in zip(texts, _hashes([t for _, t in texts]), strict=True):
         if not len(h):
             continue
-        q, a = question_answer(t) if len(h) <= ITEM_WORDS else ("", "")
-        for x in range(0, len(h), ITEM_WORDS):
-            part = h[x : x + ITEM_WORDS]
-            pieces.append(part), ids.append(i)
-            if len(h) <= ITEM_WORDS:
-                sides = _hashes([q, a])
-                qa.append(tuple(_grams(y) for y in (sides if min(map(len, sides)) >= 3 else [h, h])))
-            else:
-                sides = (part[: len(part) // 2], part[len(part) // 2 :])
-                qa.append(tuple(_grams(y) for y in (sides if len(part) >= 6 else [part, part])))
+        sides = _hashes(list(question_answer(t)))
+        sides = tuple(_grams(y) for y in (sides if min(map(len, sides)) >= 3 else [h, h]))
+        cut = np.array_split(h, -(-len(h) // ITEM_WORDS))
+        for part in cut:
+            pieces.append(part), ids.append(i), qa.append(sides), around.append(len(h) if len(cut) > 1 else 0)
     if not pieces:
         return None
     by = sorted(range(len(pieces)), key=lambda j: (len(pieces[j]), ids[j]))  # items of like length share a block
-    pieces, ids, qa = [pieces[j] for j in by], [ids[j] for j in by], [qa[j] for j in by]
+    pieces, ids, qa, around = [pieces[j] for j in by], [ids[j] for j in by], [qa[j] for j in by], [around[j] for j in by]
     n, length = len(pieces), np.array([len(p) for p in pieces], dtype=np.float64)
     terms, where = np.unique(np.concatenate(pieces), return_inverse=True)
     owner = np.repeat(np.arange(n), length.astype(int))
@@ -125,7 +122,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     np.maximum.at(block_max, (term, item // BLOCK), np.where(essential[term], impact, 0).astype(np.float32))
     common = np.zeros(blocks)
     np.maximum.at(common, np.arange(n) // BLOCK, reach)
-    return Index(ids, terms, at, item, impact, block_max, common, essential, [q for q, _ in qa], [a for _, a in qa], [len(p) < 3 for p in pieces], int(length.max()))
+    return Index(ids, terms, at, item, impact, block_max, common, essential, [q for q, _ in qa], [a for _, a in qa], [len(p) < 3 for p in pieces], around, int(length.max()))
 
 
 def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
@@ -166,7 +163,10 @@ def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float, float,
             continue
         have3, have1 = _grams(w.hash[a:b]), np.unique(w.hash[a:b])
         for j in found.tolist():
-            have = have1 if index.short[j] else have3
+            if more := index.around[j]:
+                have = _grams(w.hash[max(a - more, int(w.first[d])) : min(b + more, int(w.first[d + 1]))])
+            else:
+                have = have1 if index.short[j] else have3
             share = [np.isin(x, have).mean() for x in (index.question[j], index.answer[j])]
             if min(share) >= OVERLAP:
                 now = (float(score[j]), float(share[0]), float(share[1]))

@@ -184,6 +184,19 @@ def test_contamination(spark, docs, empty):
     assert DC.contamination(spark, empty, bench).count() == 0 and DC.contamination(spark, docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [257, 258, 514, 700])
+def test_long_items_count_as_wholes(n):
+    w = [f"w{i}" for i in range(n)]
+    index = DC.build_index([(1, " ".join(w)), (2, "a short item of eight words in all")])
+    assert min(len(q) for q, i in zip(index.question, index.item_id, strict=True) if i == 1) > DC.ITEM_WORDS // 3
+    other = [f"x{i}" for i in range(300)]
+    leak = " ".join([*other, *w, *other])
+    ends = " ".join([*other, *w[-2:], *other])  # the words of a last piece
+    half = " ".join([*other, *w[: n // 2], *other])
+    split = " ".join([*w[: n // 2], *other * 9, *w[n // 2 :]])  # question and answer far apart
+    assert {(d, i) for d, i, *_ in DC.search(index, pa.array([leak, ends, half, split]))} == {(0, 1)}
+
+
 def test_wand_misses_nothing():
     rng = random.Random(9)
     index = DC.build_index([(i, prose(rng, 30)) for i in range(60)])
