@@ -4,7 +4,9 @@ Each rule is a number that is high for bad texts. In each stratum (language) its
 for which labelled good documents show, by an exact binomial (Clopper-Pearson) upper bound, that the rule rejects at most
 its share of the allowed false rejections. Cutoffs are tested from the loosest on and the first failure ends the sequence, so
 a sequence costs no correction for its length; over rules and strata the confidence is Bonferroni-corrected. Without enough
-labels nothing can be shown and the rule rejects nothing. Strata with few labels are judged together.
+labels nothing can be shown and the rule rejects nothing. A language is a stratum of its own only where its labels can show a
+cutoff; the labels of all others are pooled, and the smallest languages that could stand alone join them while the pool cannot
+show one. What is shown of the pool holds for the pool as a whole. A stratum is never judged by cutoffs of another.
 
 Edge cases: a null text has no words and fails the base rule, as every text under 50 words; a null or rare language belongs to
 the pooled stratum; repeated labels count once per document, as good only if all agree; null labels are left out; repeated
@@ -25,8 +27,8 @@ from lexmill.llm.textvec import SPACE, grams, slices, words
 
 #: Share of good documents that all rules together may reject in a stratum, and the chance of being wrong about any of it.
 FALSE_REJECTION, MISTAKE = 0.02, 0.05
-#: Labelled good documents below which a stratum is pooled; strata that are kept apart at most.
-STRATUM_LEAST, STRATA_MOST = 300, 50
+#: Strata that are kept apart at most.
+STRATA_MOST = 50
 GRID = 200
 RULES = ["symbols", "dup_lines", "repeats", "capitals", "short_words"]
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -143,18 +145,27 @@ def strictest_cutoff(rejected: np.ndarray, n: int, allowed: float, mistake: floa
     return best
 
 
+def kept_apart(sizes: list[tuple[str, int]], total: int) -> list[str]:
+    """Languages that are strata of their own. ``sizes``: labelled good documents, largest first; ``total``: with all others."""
+    for k in range(len(sizes), 0, -1):
+        rest = total - sum(n for _, n in sizes[:k])
+        if all(upper_bound(0, n, MISTAKE / (len(RULES) * (k + 1))) <= FALSE_REJECTION / len(RULES) for n in (sizes[k - 1][1], rest or total)):
+            return sorted(s for s, _ in sizes[:k])
+    return []
+
+
 def fit_cutoffs(measured: DataFrame, labels: DataFrame) -> dict[str | None, dict[str, float]]:
-    """Cutoffs by stratum (None: pooled) from labelled good documents that pass the base rule."""
+    """Cutoffs by stratum (None: pooled; every stratum that is kept apart has an entry) from labelled good documents that pass the base rule."""
     good = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("good")).where("good = 1")
     rows = measured.where(_base_failed() == F.lit(False)).join(good, "doc_id").select("lang", *[F.floor(v * GRID).cast("int").alias(k) for k, v in _rule_columns().items()])
-    sizes = rows.groupBy("lang").count().where(f"count >= {STRATUM_LEAST} and lang is not null").orderBy(F.desc("count"), "lang").limit(STRATA_MOST)
-    kept = sorted(r["lang"] for r in sizes.collect())
+    sizes = rows.groupBy("lang").count().where("lang is not null").orderBy(F.desc("count"), "lang").limit(STRATA_MOST)
+    kept = kept_apart([(r["lang"], r["count"]) for r in sizes.collect()], rows.count())
     stratum = F.when(F.col("lang").isin(kept), F.col("lang")) if kept else F.lit(None).cast("string")
     long = rows.select(stratum.alias("stratum"), F.explode(F.create_map(*[x for k in RULES for x in (F.lit(k), F.col(k))])).alias("rule", "bin"))
     bins: dict[tuple, np.ndarray] = {}
     for r in long.groupBy("stratum", "rule", "bin").count().collect():  # strata x rules x grid at most
         bins.setdefault((r["stratum"], r["rule"]), np.zeros(GRID + 2, dtype=np.int64))[min(r["bin"], GRID) + 1] += r["count"]
-    out: dict[str | None, dict[str, float]] = {}
+    out: dict[str | None, dict[str, float]] = {s: {} for s in kept}
     tests = len(RULES) * (len(kept) + 1)
     for (s, rule), h in bins.items():
         above = h.sum() - np.cumsum(h)[1:]  # good documents whose bin is above i

@@ -294,6 +294,21 @@ def test_quality_rules(spark, docs, empty):
     assert QR.quality_rules(spark, docs, labels.limit(0)).where("kept").count() > 0  # nothing shown, nothing rejected
 
 
+def test_strata_that_show_nothing_are_pooled(spark):
+    def cutoffs(sizes, bad=()):
+        rows, at = [], 0
+        for lang, n in sizes:
+            rows += [(at + i, lang, 100, 600, 600 if lang in bad and i % 50 == 0 else 0, 0, 0, 1, 0) for i in range(n)]
+            at += n
+        return QR.fit_cutoffs(spark.createDataFrame(rows, QR.MEASURES), spark.createDataFrame([(i, 1) for i in range(at)], "doc_id long, quality int"))
+
+    small = cutoffs([("en", 1973), ("fr", 488), ("de", 475), ("es", 307)])
+    assert set(small) == {None} and set(small[None]) == set(QR.RULES)  # rules act on all four
+    large = cutoffs([("en", 1700), ("fr", 400), (None, 1700)], bad=["fr"])
+    assert set(large) == {"en", None} and large["en"]["symbols"] < 1 < large[None]["symbols"]  # fr's labels count in the pool
+    assert QR.kept_apart([("en", 1000)], 1000) == [] and QR.kept_apart([("en", 5000)], 5000) == ["en"]
+
+
 def test_exact_bounds():
     assert abs(QR.upper_bound(0, 100, 0.05) - (1 - 0.05 ** (1 / 100))) < 1e-9
     k, n, m = 3, 50, 0.01
