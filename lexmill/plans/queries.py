@@ -310,9 +310,9 @@ def multi_variant_fusion(spark, d):
 def full_pipeline(spark, d):
     docs = D.documents(spark, d)
     emb = D.embeddings(spark, d)
-    ids = emb.select(F.count("*").alias("n"))
-    vec = emb.crossJoin(ids).select("embedding_id", "embedding", "n")  # one row
-    embed = lambda q: q.withColumn("v", F.pmod(F.xxhash64("query"), F.lit(20))).join(vec.withColumnRenamed("embedding_id", "v"), "v").select("query_id", "embedding")
+    ids = emb.select(F.expr("max(embedding_id) div 20 + 1").alias("n"))  # one row
+    vec = emb.select("embedding_id", "embedding")
+    embed = lambda q: q.crossJoin(ids).withColumn("v", 20 * F.pmod(F.xxhash64("query"), F.col("n"))).join(vec.withColumnRenamed("embedding_id", "v"), "v").select("query_id", "embedding")
     out = S.search(spark, docs, _worded(spark, d), embeddings=emb, contexts=D.contexts(spark, d), embed=embed)
     return out.select("query_id", "document_id", r6("score").alias("score"), "rank", "snippet", "context_description")
 

@@ -216,3 +216,17 @@ def test_pipeline(spark, docs):
     assert {r["query_id"] for r in out} == {0, 1} and all(r["snippet"] for r in out)
     with pytest.raises(ValueError):
         S.SearchOptions(limit=0)
+
+
+def test_full_pipeline_asks_all_query_vectors(spark, monkeypatch):
+    from lexmill.plans import queries as Q
+    from lexmill.plans import tables as D
+
+    kept, d = [], "/root/testdata/sf0.001"
+    search = Q.S.search
+    monkeypatch.setattr(Q.S, "search", lambda *a, embed, **k: (kept.append(embed), search(*a, embed=embed, **k))[1])
+    Q.full_pipeline(spark, d)
+    asked = kept[0](spark.range(2000).selectExpr("id AS query_id", "concat('q', id) AS query"))
+    emb = {tuple(r["embedding"]): r["embedding_id"] for r in D.embeddings(spark, d).collect()}
+    got = [emb[tuple(r["embedding"])] for r in asked.collect()]
+    assert len(got) == 2000 and set(got) == {i for i in emb.values() if i % 20 == 0}
