@@ -115,12 +115,12 @@ def words(texts: pa.Array, space: np.ndarray = SPACE, fold: bool = True) -> Word
     starts, ends, hashes = [], [], []
     a = 0
     while a < len(data):
-        b = min(len(data), a + 4 * PIECE)
+        b = min(len(data), a + PIECE)
         if b < len(data):
-            gap = np.flatnonzero(space[data[b : b + 4 * PIECE]])
+            gap = np.flatnonzero(space[data[b : b + PIECE]])
             while not len(gap) and b < len(data):
-                b += 4 * PIECE
-                gap = np.flatnonzero(space[data[b : b + 4 * PIECE]])
+                b += PIECE
+                gap = np.flatnonzero(space[data[b : b + PIECE]])
             b = min(len(data), b + (int(gap[0]) if len(gap) else 0))
         part = data[a:b]
         lo, hi = np.searchsorted(off, [a, b])
