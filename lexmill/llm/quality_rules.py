@@ -1,16 +1,19 @@
 """Quality rules whose cutoffs are risk-controlled.
 
-Each rule is a number that is high for bad texts. In each stratum (language) its cutoff is the strictest one of a fixed grid
-for which labelled good documents show, by an exact binomial (Clopper-Pearson) upper bound, that the rule rejects at most
-its share of the allowed false rejections. Cutoffs are tested from the loosest on and the first failure ends the sequence, so
-a sequence costs no correction for its length; over rules and strata the confidence is Bonferroni-corrected. Without enough
-labels nothing can be shown and the rule rejects nothing. A language is a stratum of its own only where its labels can show a
-cutoff; the labels of all others are pooled, and the smallest languages that could stand alone join them while the pool cannot
-show one. What is shown of the pool holds for the pool as a whole. A stratum is never judged by cutoffs of another.
-
-Edge cases: a null text has no words and fails the base rule, as every text under 50 words; a null or rare language belongs to
-the pooled stratum; repeated labels count once per document, as good only if all agree; null labels are left out; repeated
-rows are kept; extra columns are ignored; empty tables give an empty result.
+Each rule is a number that is high for bad texts. A stratum is a language. The labelled good documents of a stratum are dealt into
+a fitting part (one in ``FITTING`` by a hash of the id) and a holdout. The fitting part proposes a ladder of ``LEVELS`` sets of
+cutoffs, one for each rule, from those that reject nothing of it to stricter ones, each set rejecting all that the sets before it
+reject. The holdout judges the sets in this order, by an exact binomial (Clopper-Pearson) upper bound of the share of good documents
+that all rules together reject; the first set whose bound exceeds ``FALSE_REJECTION`` ends the sequence, and the last one that
+held is used. Testing in a fixed order costs no correction for the number of sets; over strata the confidence is Bonferroni-corrected.
+
+A stratum is tested only if its holdout is large enough to show anything (none rejected gives a bound within the allowed share, at
+the confidence that the number of tested strata leaves); all others, rare languages among them, are judged by the base rule alone.
+No stratum is ever judged by the cutoffs of another or of a pool, so the bound holds for each of them.
+
+Edge cases: a null text has no words and fails the base rule, as every text under 50 words; a null language is the language "";
+repeated labels count once per document, as good only if all agree; null labels are left out; equal rows of a labelled document
+count once in a fit, and all are judged; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +30,8 @@ from lexmill.llm.textvec import SPACE, grams, slices, words
 
 #: Share of good documents that all rules together may reject in a stratum, and the chance of being wrong about any of it.
 FALSE_REJECTION, MISTAKE = 0.02, 0.05
-#: Strata that are kept apart at most.
-STRATA_MOST = 50
-GRID = 200
+#: Bins of a rule's values; one labelled document in this many proposes cutoffs; sets of cutoffs; share rejected by the strictest.
+GRID, FITTING, LEVELS, STRICTEST = 200, 4, 40, 0.1
 RULES = ["symbols", "dup_lines", "repeats", "capitals", "short_words"]
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -129,52 +131,77 @@ def upper_bound(k: int, n: int, mistake: float) -> float:
     return hi
 
 
-def strictest_cutoff(rejected: np.ndarray, n: int, allowed: float, mistake: float) -> int | None:
-    """Index of the strictest cutoff shown to be safe. ``rejected[i]``: good documents above cutoff i, ascending cutoffs."""
-    if n == 0 or upper_bound(0, n, mistake) > allowed:
-        return None
-    a, b = 0, n  # most rejections that still pass; the bound grows with them
-    while a < b:
-        m = (a + b + 1) // 2
-        a, b = (m, b) if upper_bound(m, n, mistake) <= allowed else (a, m - 1)
-    best = None
-    for i in range(len(rejected) - 1, -1, -1):
-        if rejected[i] > a:
-            break
-        best = i
+def tested(sizes: list[int]) -> int:
+    """How many of the strata, by size of the holdout, largest first, can be tested so that each could show something."""
+    for k in range(len(sizes), 0, -1):
+        if upper_bound(0, sizes[k - 1], MISTAKE / k) <= FALSE_REJECTION:
+            return k
+    return 0
+
+
+def ladder(bins: np.ndarray) -> np.ndarray:
+    """Cutoffs (as bins) of one rule by level, loosest first. ``bins``: good fitting documents by bin (``GRID`` + 1).
+
+    Level i rejects at most i / ``LEVELS`` * ``STRICTEST`` of them, and no document of bin 0.
+    """
+    from_bin = np.append(np.cumsum(bins[::-1])[::-1], 0)  # documents at or above each bin
+    allowed = np.arange(LEVELS) / LEVELS * STRICTEST * bins.sum()
+    return np.maximum(1, [int(np.flatnonzero(from_bin <= x)[0]) for x in allowed])
+
+
+def last_safe(rejected: np.ndarray, n: int, mistake: float) -> int | None:
+    """The last level before the first one that is not shown to be safe. ``rejected``: good holdout documents by level, ascending."""
+    best, most = None, -1
+    for level, k in enumerate(rejected.tolist()):
+        if k > most:
+            if upper_bound(k, n, mistake) > FALSE_REJECTION:
+                break
+            most = k
+        best = level
     return best
 
 
-def kept_apart(sizes: list[tuple[str, int]], total: int) -> list[str]:
-    """Languages that are strata of their own. ``sizes``: labelled good documents, largest first; ``total``: with all others."""
-    for k in range(len(sizes), 0, -1):
-        rest = total - sum(n for _, n in sizes[:k])
-        if all(upper_bound(0, n, MISTAKE / (len(RULES) * (k + 1))) <= FALSE_REJECTION / len(RULES) for n in (sizes[k - 1][1], rest or total)):
-            return sorted(s for s, _ in sizes[:k])
-    return []
+def _bins() -> list[F.Column]:
+    return [F.least(F.floor(v * GRID).cast("int"), F.lit(GRID)).alias(k) for k, v in _rule_columns().items()]
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame) -> dict[str | None, dict[str, float]]:
-    """Cutoffs by stratum (None: pooled; every stratum that is kept apart has an entry) from labelled good documents that pass the base rule."""
+def fit_cutoffs(spark: SparkSession, measured: DataFrame, labels: DataFrame) -> dict[str, dict[str, int]]:
+    """Cutoffs (as bins) by tested stratum and rule."""
     good = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("good")).where("good = 1")
-    rows = measured.where(_base_failed() == F.lit(False)).join(good, "doc_id").select("lang", *[F.floor(v * GRID).cast("int").alias(k) for k, v in _rule_columns().items()])
-    sizes = rows.groupBy("lang").count().where("lang is not null").orderBy(F.desc("count"), "lang").limit(STRATA_MOST)
-    kept = kept_apart([(r["lang"], r["count"]) for r in sizes.collect()], rows.count())
-    stratum = F.when(F.col("lang").isin(kept), F.col("lang")) if kept else F.lit(None).cast("string")
-    long = rows.select(stratum.alias("stratum"), F.explode(F.create_map(*[x for k in RULES for x in (F.lit(k), F.col(k))])).alias("rule", "bin"))
-    bins: dict[tuple, np.ndarray] = {}
+    fitting = (F.pmod(F.xxhash64("doc_id"), F.lit(FITTING)) == 0).alias("fitting")
+    rows = measured.where(~_base_failed()).join(good, "doc_id").select("doc_id", _stratum(), fitting, *_bins()).distinct()
+    counted = rows.groupBy("stratum", "fitting").count().collect()  # a row or two for each language of the labels
+    held = {r["stratum"]: r["count"] for r in counted if not r["fitting"]}
+    strata = sorted(held, key=lambda s: (-held[s], s))
+    strata = strata[: tested([held[s] for s in strata])]
+    if not strata:
+        return {}
+    chosen = spark.createDataFrame([(s,) for s in strata], "stratum string")
+    rows = rows.join(F.broadcast(chosen), "stratum")
+    long = rows.where("fitting").select("stratum", F.explode(F.create_map(*[x for k in RULES for x in (F.lit(k), F.col(k))])).alias("rule", "bin"))
+    bins = {(s, k): np.zeros(GRID + 1, dtype=np.int64) for s in strata for k in RULES}
     for r in long.groupBy("stratum", "rule", "bin").count().collect():  # strata x rules x grid at most
-        bins.setdefault((r["stratum"], r["rule"]), np.zeros(GRID + 2, dtype=np.int64))[min(r["bin"], GRID) + 1] += r["count"]
-    out: dict[str | None, dict[str, float]] = {s: {} for s in kept}
-    tests = len(RULES) * (len(kept) + 1)
-    for (s, rule), h in bins.items():
-        above = h.sum() - np.cumsum(h)[1:]  # good documents whose bin is above i
-        i = strictest_cutoff(above, int(h.sum()), FALSE_REJECTION / len(RULES), MISTAKE / tests)
+        bins[r["stratum"], r["rule"]][r["bin"]] += r["count"]
+    steps = {k: ladder(v) for k, v in bins.items()}
+    # the level that first rejects a document, by bin
+    first = [(s, *[np.searchsorted(-steps[s, k], -np.arange(GRID + 1), side="left").tolist() for k in RULES]) for s in strata]
+    table = spark.createDataFrame(first, "stratum string, " + ", ".join(f"first_{k} array<int>" for k in RULES))
+    level = F.least(*[F.col(f"first_{k}")[F.col(k)] for k in RULES]).alias("level")
+    at = {s: np.zeros(LEVELS + 1, dtype=np.int64) for s in strata}
+    for r in rows.where("not fitting").join(F.broadcast(table), "stratum").select("stratum", level).groupBy("stratum", "level").count().collect():  # strata x levels
+        at[r["stratum"]][r["level"]] += r["count"]
+    out = {}
+    for s in strata:
+        i = last_safe(np.cumsum(at[s][:LEVELS]), held[s], MISTAKE / len(strata))
         if i is not None:
-            out.setdefault(s, {})[rule] = (i + 1) / GRID
+            out[s] = {k: int(steps[s, k][i]) for k in RULES}
     return out
 
 
+def _stratum() -> F.Column:
+    return F.coalesce(F.col("lang"), F.lit("")).alias("stratum")
+
+
 def _base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -182,19 +209,11 @@ def _base_failed() -> F.Column:
 def quality_rules(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed, kept, and the rule that rejected first."""
     measured = Scratch(spark, "rules").save(measures(documents), "measures")
-    cutoffs = fit_cutoffs(measured, labels)
-    named = [s for s in cutoffs if s is not None]
-    rules = _rule_columns()
-
-    def fails(s: str | None) -> F.Column:
-        out = F.lit(None).cast("string")
-        for k in reversed(RULES):
-            if k in cutoffs.get(s, {}):
-                out = F.when(rules[k] >= cutoffs[s][k], F.lit(k)).otherwise(out)
-        return out
-
-    verdict = F.when(F.col("lang").isNull() | ~F.col("lang").isin(named) if named else F.lit(True), fails(None))
-    for s in named:
-        verdict = verdict.when(F.col("lang") == s, fails(s))
-    rows = measured.withColumn("base_failed", _base_failed()).withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict))
+    cutoffs = fit_cutoffs(spark, measured, labels)
+    table = spark.createDataFrame([(s, *[c[k] for k in RULES]) for s, c in cutoffs.items()], "stratum string, " + ", ".join(f"cut_{k} int" for k in RULES))
+    verdict = F.when(_base_failed(), F.lit("base"))
+    for k, b in zip(RULES, _bins(), strict=True):
+        verdict = verdict.when(b >= F.col(f"cut_{k}"), F.lit(k))
+    rows = measured.withColumn("stratum", _stratum()).join(F.broadcast(table), "stratum", "left")
+    rows = rows.withColumn("base_failed", _base_failed()).withColumn("rejected_by", verdict)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
