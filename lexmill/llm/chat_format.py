@@ -2,8 +2,10 @@
 
 A conversation becomes windows of whole turns. Running sums of turn tokens choose the spans: a window holds the leading
 system turn again, then as many of the last turns before it as fit the history budget, then new turns while the window's
-budget lasts. Only assistant turns that are new in a window are targets; repeated ones are masked, so over all windows every
-assistant text is a target once. A turn above the budget has a window of its own, marked ``over_budget``.
+budget lasts. Tokens are those of the turn as it is written, marks and escapes included. Only assistant turns that are new in a
+window are targets; repeated ones are masked, so over all windows every assistant text is a target once. Where a turn is large, the
+history gives way from its oldest turn on; the system turn stays. A window that the system turn and one new turn alone bring above
+the budget is marked ``over_budget``. Only a system turn that fills the whole budget itself is not repeated: no turn fits beside it.
 
 Turns are marked by ``<|role|>`` and ``<|end|>``. Control strings inside texts are escaped by one more backslash after their
 first character, which can be undone exactly.
@@ -35,7 +37,7 @@ BUDGET, HISTORY = 2048, 512
 #: What follows the first character of a control string of this or another common template.
 _TAIL = r"(?=\||/?s>|/?INST\]|/?SYS>)"
 _ESCAPE, _UNESCAPE = re.compile(r"([<\[])(\\*)" + _TAIL), re.compile(r"([<\[])\\(\\*)" + _TAIL)
-_TURN = re.compile(r"<\|([^|]*)\|>\n(.*?)<\|end\|>\n", re.DOTALL)
+_TURN, _END = re.compile(r"<\|([^|]*)\|>\n(.*?)<\|end\|>\n", re.DOTALL), "<|end|>\n"
 WINDOW = "conv_id long, window long, n_turns int, n_repeated int, n_tokens long, over_budget boolean, text string, mask array<struct<start:int,end:int>>"
 
 
@@ -48,7 +50,8 @@ def unescape(text: str) -> str:
 
 
 def _write(role: str, text: str) -> tuple[str, str]:
-    return f"<|{quote(role, safe='') or '-'}|>\n", escape(text)
+    name = quote(role, safe="").replace("-", "%2D")  # "-" alone is the empty role
+    return f"<|{name or '-'}|>\n", escape(text)
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
@@ -70,7 +73,7 @@ class _Windows:
         if self.new and self.sum + tokens - self.base > self.budget - self._carried():
             out = self.close()
         turn = (role, text, tokens)
-        if not self.seen and role == "system" and tokens <= self.budget // 2:
+        if not self.seen and role == "system" and tokens < self.budget:
             self.system = turn
         self.new.append(turn)
         self.sum += tokens
@@ -87,16 +90,17 @@ class _Windows:
         if not self.new:
             return None
         old = self._repeated()
-        if old and sum(t for *_, t in [*old, *self.new]) > self.budget:  # a large turn: less history
-            old = [self.system] if self.system and self.n and self.system[2] + sum(t for *_, t in self.new) <= self.budget else []
+        fixed = len(old) - len(self.recent)  # the system turn
+        while len(old) > fixed and sum(t for *_, t in [*old, *self.new]) > self.budget:  # a large turn: less history, oldest first
+            del old[fixed]
         parts, mask, at = [], [], 0
         for i, (role, text, _) in enumerate([*old, *self.new]):
             head, body = _write(role, text)
             start = at + len(head)
             if role == "assistant" and i >= len(old):
                 mask.append({"start": start, "end": start + len(body)})
-            parts += [head, body, "<|end|>\n"]
-            at = start + len(body) + len("<|end|>\n")
+            parts += [head, body, _END]
+            at = start + len(body) + len(_END)
         tokens = sum(t for *_, t in [*old, *self.new])
         out = {"conv_id": self.conv_id, "window": self.n, "n_turns": len(old) + len(self.new), "n_repeated": len(old), "n_tokens": tokens, "over_budget": tokens > self.budget, "text": "".join(parts), "mask": mask}
         for turn in self.new:
@@ -124,7 +128,7 @@ def _format(tokenizer_path: str, budget: int, history: int):
             if now is None or conv_id != now.conv_id:
                 out += [now.close()] if now and now.new else []
                 now = _Windows(conv_id, budget, history)
-            if (w := now.add(role, text, len(codec.encode(text)) // 4 + 4)) is not None:  # 4: the turn's own marks
+            if (w := now.add(role, text, len(codec.encode("".join((*_write(role, text), _END)))) // 4)) is not None:
                 out.append(w)
             size += len(text)
             if len(out) > 2000 or size > 4 << 20:
