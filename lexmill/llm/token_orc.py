@@ -137,9 +137,9 @@ def token_positions(spark: SparkSession, path: str, scratch: Scratch) -> DataFra
     rows = read_token_orc(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids").withColumn("at", F.monotonically_increasing_id())
     rows = rows.select("file", "doc_id", "at", "ids").mapInArrow(_summary, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
     rows = scratch.save(rows, "summary")
-    # a row for each file, so the window's single task holds as many rows as there are files; names ascend with doc_id
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    # a row for each file, so the window's single task holds as many rows as there are files; their numbers ascend with doc_id
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("number", F.regexp_extract("file", "^part-([0-9]+)-", 1).cast("long"))
+    before = files.select("file", (F.sum("n").over(Window.orderBy("number")) - F.col("n")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("at")) - F.col("n_tokens")
     rows = rows.withColumn("within", within).join(before, "file")
     return rows.select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
