@@ -12,7 +12,8 @@ def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame
     """(node, root): for every node of ``edges`` (u, v long) the smallest node id that it can reach.
 
     Alternates large-star and small-star steps; each halves the distance to the root, so the number of rounds is
-    logarithmic in the longest chain. Every round is written to the shared folder. An edge table without rows gives none.
+    logarithmic in the longest chain. Every round is written to the shared folder. An edge table without rows gives none. Beyond
+    ``limit`` rounds it raises: a result that isn't final is never returned.
     """
     e = edges.where("u is not null and v is not null and u <> v")
     e = scratch.save(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges-0")
@@ -29,4 +30,6 @@ def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame
         e = new
         if x[1] <= 1 and not hanging:
             break
+    else:
+        raise RuntimeError(f"no end after {limit - 1} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -8,7 +8,8 @@ member. Prefixes follow one global token order, frequent tokens last, so two set
 prefix token: no link is lost. The order comes from a frequency sketch of fixed size; it only steers cost, never results.
 
 Edge cases: null or empty texts have an empty set and no links; texts under ``k`` words are one shingle; equal texts link
-by their class and are never expanded into pairs; a null doc_id gets a null component; repeated doc_ids count as rows of
+by their class and are never expanded into pairs; shingles and sets are told apart by 64 bits, so that a wrong link needs a collision
+(likely only beyond some 10^9 distinct sets); a null doc_id gets a null component; repeated doc_ids count as rows of
 one document each with its own text; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,6 +32,8 @@ SKETCH_BITS, SKETCH_TOKENS, SKETCH_LEAST = 22, 2_000_000, 3
 FILTER_BITS = 25
 #: Shingles that a block of a group holds about; a block of members is held in memory at once.
 BLOCK_TOKENS = 1_500_000
+#: Prefix tokens of a part of the matrix about; a part is held in memory at once.
+PART_TOKENS = 4_000_000
 #: A min-hash key joins this many minima; there are six keys.
 KEY_MINIMA = 4
 _MULT = np.random.default_rng(7).integers(1, 2**63, 6 * KEY_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -424,8 +427,10 @@ def jaccard_join(spark: SparkSession, documents: DataFrame, percent: int = 80, k
 
     # the matrix: (token, group) of prefix tokens that more than one group has
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefixes = cls.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), F.lit(0)).cast("long")).first()[0]
+    pieces = max(2 * parts, -(-prefixes // PART_TOKENS))
     order = sc.broadcast(_sketch(docs, k))
-    dealt = docs.mapInArrow(_token_blocks(k, percent, order, 2 * parts), "part long, t binary, c binary").repartition(parts, "part").sortWithinPartitions("part")
+    dealt = docs.mapInArrow(_token_blocks(k, percent, order, pieces), "part long, t binary, c binary").repartition(max(parts, pieces // 2), "part").sortWithinPartitions("part")
     hits = scratch.save(dealt.mapInArrow(_shared_tokens, "token long, c long"), "hits").join(members, "c")
     order.unpersist()
     matrix = hits.groupBy("token", "label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
