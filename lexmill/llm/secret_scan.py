@@ -136,17 +136,18 @@ def secret_scan(spark: SparkSession, documents: DataFrame) -> DataFrame:
 def redact(spark: SparkSession, documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with strong and linked secrets replaced; all columns stay."""
     scratch = Scratch(spark, "redact")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = documents.withColumn("lexmill_uid", F.monotonically_increasing_id())
-    docs = scratch.save(docs.withColumns({"lexmill_base": strong_spans(text), "lexmill_weak": weak_spans(text)}), "documents")
-    linked = _link(docs.where("size(lexmill_weak) > 0").select(F.col("lexmill_uid").alias("uid"), F.col("lexmill_base").alias("base"), F.col("lexmill_weak").alias("weak")))
-    rows = docs.join(linked.select(F.col("uid").alias("lexmill_uid"), F.col("linked").alias("lexmill_linked")), "lexmill_uid", "left")
-    every = F.array_sort(F.concat("lexmill_base", F.coalesce("lexmill_linked", F.array().cast(_SPAN))))
+    text = F.coalesce(F.col("d.text").cast("string"), F.lit(""))
+    docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.struct(*documents.columns).alias("d"))  # their own names stay inside
+    docs = scratch.save(docs.withColumns({"base": strong_spans(text), "weak": weak_spans(text)}), "documents")
+    rows = docs.join(_link(docs.where("size(weak) > 0").select("uid", "base", "weak")), "uid", "left")
+    every = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(_SPAN))))
+    text = F.col("d.text")
     # overlapping spans melt together: the text between what is covered so far and the next start is kept
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
     )
-    clean = F.aggregate(every, state, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    return rows.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(F.col("text"))).select(*documents.columns)
+    clean = F.aggregate(every, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    rows = rows.withColumn("d", F.col("d").withField("text", F.when(F.size(every) > 0, clean).otherwise(text)))
+    return rows.select(*[F.col("d")[c].alias(c) for c in documents.columns])
