@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 #: Suffix -> replacement of steps 2 and 3, suffixes of step 4.
 STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
@@ -85,10 +85,7 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
-_TOKEN = re.compile(r"[^\W_]+")
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def stemmed_tokens(texts: pd.Series) -> pd.Series:
-    """Folded, stemmed tokens of each text."""
-    return texts.map(lambda t: [stem(x) for x in _TOKEN.findall(fold(t or ""))])
+@F.pandas_udf(StringType())
+def stemmed(tokens: pd.Series) -> pd.Series:
+    """Folded and stemmed form of each token; a vocabulary's distinct tokens are what it is for."""
+    return tokens.map(lambda t: None if t is None else stem(fold(t)))

@@ -10,11 +10,32 @@ from pyspark.sql import functions as F
 TOKEN = r"([\p{L}\p{N}]+)"
 #: Extension -> language.
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".java": "java",
-    ".cpp": "cpp", ".c": "c", ".h": "c", ".hpp": "cpp", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php",
-    ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".r": "r", ".sh": "bash", ".sql": "sql", ".html": "html",
-    ".css": "css", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".xml": "xml",
-}
+    ".py": "python",
+    ".js": "javascript",
+    ".ts": "typescript",
+    ".jsx": "jsx",
+    ".tsx": "tsx",
+    ".rs": "rust",
+    ".go": "go",
+    ".java": "java",
+    ".cpp": "cpp",
+    ".c": "c",
+    ".h": "c",
+    ".hpp": "cpp",
+    ".rb": "ruby",
+    ".php": "php",
+    ".swift": "swift",
+    ".kt": "kotlin",
+    ".scala": "scala",
+    ".r": "r",
+    ".sh": "bash",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".json": "json",
+    ".toml": "toml",
+    ".xml": "xml",
+    ".sql": "sql",
+}
 MARKDOWN, PLAIN = [".md", ".markdown", ".mdx"], [".txt", ".rst", ".adoc"]
 
 
@@ -22,6 +43,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -46,7 +72,7 @@ def code_blocks(text: Column) -> Column:
 
 
 def remove_code_blocks(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "(?s)```.*?```", ""))
+    return strip(F.regexp_replace(text, "(?s)```.*?```", ""))
 
 
 def slugify(text: Column) -> Column:
@@ -77,7 +103,7 @@ def suffix(path: Column) -> Column:
 
 def text_title(text: Column, path: Column) -> Column:
     """The first line that is not blank and under 100 characters, else the file's stem."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(text, "\n"), strip)
     return F.coalesce(F.try_element_at(F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) < 100)), F.lit(1)), stem(path))
 
 
@@ -103,8 +129,8 @@ def code_language(path: Column) -> Column:
 
 
 def code_title(text: Column, path: Column) -> Column:
-    """A Python file's first docstring line, else the file's stem."""
-    doc = F.trim(F.element_at(F.split(F.trim(F.regexp_extract(text, r"(?s)(?:\"{3}|'{3})(.+?)(?:\"{3}|'{3})", 1), F.lit(" \n")), "\n"), 1))
+    """The first line of a Python file's first docstring that begins a line, else the file's stem."""
+    doc = strip(F.element_at(F.split(strip(F.regexp_extract(text, r"(?ms)^['\"]{3}(.+?)['\"]{3}", 1)), "\n"), 1))
     return F.when((code_language(path) == "python") & (doc != ""), F.substring(doc, 1, 100)).otherwise(stem(path))
 
 
@@ -137,10 +163,12 @@ def glob_match(path: Column, pattern: str) -> Column:
 
 
 def truncate_bytes(text: Column, most: int, mark: str = "\n... [truncated]") -> Column:
-    """Cut to ``most`` UTF-8 bytes without splitting a character."""
-    raw = F.encode(text, "UTF-8")
+    """At most ``most`` UTF-8 bytes, the mark included, without splitting a character. A longer text ends in the mark."""
+    raw, whole, most = F.encode(text, "UTF-8"), F.octet_length(text) <= most, most - len(mark.encode())
+    if most < 0:
+        raise ValueError("the mark is longer than the limit")
     # steps back over continuation bytes at the cut
     next_bytes = [F.hex(F.substring(raw, most + 1 - i, 1)) for i in range(4)]
     inside = lambda h: h.between("80", "BF")
     back = F.when(~inside(next_bytes[0]), 0).when(~inside(next_bytes[1]), 1).when(~inside(next_bytes[2]), 2).otherwise(3)
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), F.lit(most) - back), "UTF-8"), F.lit(mark)))
+    return F.when(whole, text).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), F.lit(most) - back), "UTF-8"), F.lit(mark)))

@@ -28,7 +28,7 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))))
 
 
-def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
+def cosine(a: Column, b: Column, epsilon: float = 1e-8) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b) + epsilon), F.lit(0.0))
 
 

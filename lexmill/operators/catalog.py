@@ -40,10 +40,12 @@ def add_missing_columns(df: DataFrame, schema: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The next snapshot: new rows replace old ones of the same key."""
-    rows = old.withColumn("prio", F.lit(0)).unionByName(new.withColumn("prio", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc("prio"))
-    return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth", "prio")
+    """The next snapshot: new rows replace old ones of the same key. Of several new rows of a key the last by ``updated_at``, then by
+    the text of the row, stays."""
+    rows = old.select("*", F.lit(0).alias("prio")).unionByName(new.select("*", F.lit(1).alias("prio")))
+    last = [F.desc("updated_at")] if "updated_at" in old.columns else []
+    w = Window.partitionBy(*keys).orderBy(F.desc("prio"), *last, F.to_json(F.struct(*old.columns)).desc())
+    return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(*old.columns)
 
 
 def insert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -145,6 +147,43 @@ def list_prefix(documents: DataFrame, prefix: str = "") -> DataFrame:
     return rows.groupBy("entry", "is_dir").agg(F.count("*").alias("n_documents"))
 
 
+def path_tree(documents: DataFrame) -> DataFrame:
+    """(level, folder, n_documents): every folder of the documents' paths, with all documents below it; level 1 is the top."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(n.alias("level"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder")))
+    rows = documents.select(F.explode(F.when(F.size(parts) > 1, above)).alias("x"))
+    return rows.groupBy("x.level", "x.folder").agg(F.count("*").alias("n_documents"))
+
+
+def list_collections(collections: DataFrame, enabled: bool = False) -> DataFrame:
+    """In order of names; only those that a search covers by default, if ``enabled``."""
+    return (collections.where("include_by_default") if enabled else collections).orderBy("name")
+
+
+def list_documents(documents: DataFrame, collection_id: str) -> DataFrame:
+    """A collection's documents in order of file names."""
+    return documents.where(F.col("collection_id") == collection_id).orderBy("filename", "document_id")
+
+
+def list_chunks(chunks: DataFrame, document_id) -> DataFrame:
+    return chunks.where(F.col("document_id") == document_id).orderBy("sequence")
+
+
+def list_contexts(contexts: DataFrame, context_type: str | None = None, target_id: str | None = None) -> DataFrame:
+    """In order of type and target; only those of a type or a target, if given."""
+    if context_type is not None:
+        if context_type not in CONTEXT_TYPES:
+            raise ValueError(f"unknown context type {context_type}")
+        contexts = contexts.where(F.col("context_type") == context_type)
+    if target_id is not None:
+        contexts = contexts.where(F.col("target_id") == target_id)
+    return contexts.orderBy("context_type", "target_id", "context_id")
+
+
+def remove_context(contexts: DataFrame, context_id: str) -> DataFrame:
+    return contexts.where(F.col("context_id") != context_id)
+
+
 # status and maintenance
 
 
@@ -177,6 +216,13 @@ def index_diff(files: DataFrame, existing: DataFrame, force: bool = False) -> Da
     return f.join(e, "path", "full_outer").select("path", kind.alias("status"))
 
 
+def index_report(diff: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row: files processed, added, updated, skipped, failed. ``failed`` (path, error): files that could not be read."""
+    n = lambda *s: F.count(F.when(F.col("status").isin(*s), 1))
+    rows = diff if failed is None else diff.join(failed.select("path"), "path", "left_anti").unionByName(failed.select("path", F.lit("failed").alias("status")))
+    return rows.agg(n("new", "changed", "unchanged").alias("processed"), n("new").alias("added"), n("changed").alias("updated"), n("unchanged").alias("skipped"), n("failed").alias("failed"))
+
+
 def index_apply(files: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
     """The next snapshot of a collection's documents; unchanged rows stay as they are."""
     diff = index_diff(files, existing, force)
@@ -227,6 +273,21 @@ def cache_get(cache: DataFrame, prompts: DataFrame, now: datetime | Column) -> D
     return keyed.join(live(cache, now).select("model_name", "prompt_hash", "response"), ["model_name", "prompt_hash"], "left")
 
 
+def cache_set(cache: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("model_name", "prompt_hash")) -> DataFrame:
+    """The next snapshot of a cache: new entries replace those of the same key."""
+    return upsert(cache, new, list(keys))
+
+
+def expired(cache: DataFrame, now: datetime | Column) -> DataFrame:
+    """Entries that have run out, which ``live`` leaves behind."""
+    return cache.where(F.col("expires_at") <= (now if isinstance(now, Column) else F.lit(now)))
+
+
+def cache_clear(cache: DataFrame, model_id: str | None = None) -> DataFrame:
+    """Without the entries of a model, or of any."""
+    return cache.where(F.lit(False)) if model_id is None else cache.where(F.col("model_id") != model_id)
+
+
 def cache_split(rows: DataFrame, cache: DataFrame, model_id: str, text: str = "content") -> tuple[DataFrame, DataFrame]:
     """(hits with their embedding, misses) of an embedding cache keyed by (content hash, model)."""
     keyed = rows.withColumn("content_hash", F.sha2(text, 256))

@@ -8,9 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import vectors as V
+
 RRF_K = 60
 #: Query word -> synonyms.
-SYNONYMS = {"search": ["find", "lookup", "query"], "document": ["file", "text", "content"], "error": ["issue", "problem", "bug"], "config": ["configuration", "settings", "options"], "code": ["program", "script", "source"]}
+SYNONYMS = {
+    "python": ["py", "cpython"],
+    "search": ["find", "lookup", "query"],
+    "index": ["catalog", "register"],
+    "document": ["doc", "file", "page"],
+    "config": ["configuration", "settings"],
+}
 
 
 def rrf_score(rank: Column, k: int = RRF_K) -> Column:
@@ -85,15 +93,21 @@ def with_intent(query: Column, intent: Column) -> Column:
     return F.when(intent.isNull() | (intent == ""), query).otherwise(F.concat(intent, F.lit(": "), query))
 
 
-def expand_queries(spark: SparkSession, queries: DataFrame, factor: int = 3, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """(query_id, variant_idx, query): the query, then "query term" for its words' synonyms, in word and synonym order."""
+def expand_queries(spark: SparkSession, queries: DataFrame, factor: int = 3, synonyms: dict[str, list[str]] | None = None, embed=None) -> DataFrame:
+    """(query_id, variant_idx, query): the query, then "query term" for its words' synonyms, in word and synonym order.
+
+    ``embed`` (a Column of texts to a Column of vectors): the terms nearest to the query by cosine come first instead.
+    """
     rows = [(w, i, s) for w, every in (SYNONYMS if synonyms is None else synonyms).items() for i, s in enumerate(every)]
     table = spark.createDataFrame(rows, "word string, syn_pos int, synonym string")
     words = queries.select("query_id", "query", F.posexplode(F.split(F.lower("query"), r"\s+")).alias("word_pos", "word"))
     found = words.join(table, "word").where(~F.array_contains(F.split(F.lower("query"), r"\s+"), F.col("synonym")))
     first = Window.partitionBy("query_id", "synonym").orderBy("word_pos", "syn_pos")
     found = found.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    w = Window.partitionBy("query_id").orderBy("word_pos", "syn_pos")
+    if embed is not None:
+        near = F.round(V.cosine(embed(F.col("query")), embed(F.col("synonym"))), 9)
+        found = found.withColumn("near", near)
+    w = Window.partitionBy("query_id").orderBy(*([F.desc("near"), "synonym"] if embed is not None else ["word_pos", "syn_pos"]))
     found = found.withColumn("variant_idx", F.row_number().over(w)).where(F.col("variant_idx") <= factor)
     variants = found.select("query_id", "variant_idx", F.concat_ws(" ", "query", "synonym").alias("query"))
     return queries.select("query_id", F.lit(0).alias("variant_idx"), "query").unionByName(variants)
@@ -106,6 +120,12 @@ def unique_variants(variants: DataFrame, key: str = "query_id") -> DataFrame:
     return kept.withColumn("variant_idx", F.row_number().over(Window.partitionBy(key).orderBy("variant_idx")) - 1)
 
 
+def unique_batch(variants: DataFrame) -> DataFrame:
+    """(query, query_id, variant_idx) of a batch's distinct variants, with where each came first: the batch's order."""
+    first = variants.groupBy("query").agg(F.min(F.struct("query_id", "variant_idx")).alias("at"))
+    return first.select("query", F.col("at.query_id").alias("query_id"), F.col("at.variant_idx").alias("variant_idx"))
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

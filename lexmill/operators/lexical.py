@@ -2,14 +2,20 @@
 
 Shapes: documents (document_id, collection_id, path, title, content, ...), queries (query_id, query), postings (document_id,
 token, tf). Query terms meet the vocabulary first, by equality of prefixes of the lengths that the terms have, and only the
-matching tokens meet the postings: no token is compared with every term, and no side is broadcast by hint.
+matching tokens meet the postings: no token is compared with every term, and no side is broadcast by hint. By default terms and
+tokens meet by their Porter stems without marks; only distinct tokens and terms are stemmed, never texts.
+
+``build_index`` stores what ranking needs, so that a text is tokenised once and not for every search.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import porter
 from lexmill.functions import text as T
 
 K1, B, IDF_LEAST = 1.2, 0.75, 1e-6
@@ -32,26 +38,62 @@ def term_df(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Stored tables of a corpus: postings with the documents' lengths, sorted by token; its vocabulary with stems; one row of
+    statistics; what results show of a document."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    stats: DataFrame
+    facts: DataFrame
+
+
+FACTS = ["document_id", "collection_id", "path", "title"]
+
+
+def build_index(documents: DataFrame, save, tokenizer=T.tokens, key: str = "document_id", content: str = "content") -> Index:
+    """``save(df, name)`` writes a table and reads it again. Texts are tokenised once.
+
+    Tokens are ranges of partitions, so a search for some prefixes reads the row groups whose ranges hold them.
+    """
+    counted = documents.select(key, tokenizer(F.coalesce(F.col(content), F.lit(""))).alias("t"))
+    counted = save(counted.select(key, F.size("t").cast("long").alias("len"), "t"), "tokens")
+    each = counted.select(key, "len", F.explode("t").alias("token")).groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
+    post = save(each.repartitionByRange("token").sortWithinPartitions("token", key), "postings")
+    vocabulary = save(term_df(post).withColumn("stem", porter.stemmed("token")), "vocabulary")
+    stats = save(corpus_stats(counted), "stats")
+    facts = save(documents.select(*FACTS), "facts") if set(FACTS) <= set(documents.columns) else counted.select(key)
+    return Index(post, vocabulary, stats, facts)
+
+
 def query_terms(queries: DataFrame, tokenizer=T.tokens) -> DataFrame:
     """(query_id, pos, term, n_terms); punctuation separates terms, a repeated term counts again."""
     rows = queries.select("query_id", tokenizer(F.coalesce(F.col("query"), F.lit(""))).alias("t"))
     return rows.select("query_id", F.posexplode("t").alias("pos", "term"), F.size("t").alias("n_terms"))
 
 
-def matching_tokens(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, pos, n_terms, token) for tokens that begin with the term."""
+def matching_tokens(vocabulary: DataFrame, terms: DataFrame, stems: bool = False) -> DataFrame:
+    """(query_id, pos, n_terms, token) for tokens that begin with the term; with ``stems``, whose stem begins with the term's."""
+    form = "token"
+    if stems:
+        known = "stem" in vocabulary.columns
+        vocabulary = vocabulary.select("token", "stem") if known else vocabulary.select("token").distinct().withColumn("stem", porter.stemmed("token"))
+        own = terms.select("term").distinct().withColumn("stem", porter.stemmed("term"))
+        terms, form = terms.join(own, "term").select("query_id", "pos", F.col("stem").alias("term"), "n_terms"), "stem"
     wanted = terms.select("term", F.length("term").alias("size")).distinct()
     sizes = wanted.select("size").distinct().agg(F.array_sort(F.collect_set("size")).alias("sizes"))
-    heads = vocabulary.select("token").distinct().crossJoin(sizes)  # one row: the lengths that occur
-    heads = heads.select("token", F.explode(F.filter("sizes", lambda s: s <= F.length("token"))).alias("size"))
-    hit = heads.withColumn("term", F.expr("substring(token, 1, size)")).join(wanted, ["term", "size"]).select("term", "token")
+    heads = vocabulary.select("token", F.col(form).alias("form")).distinct().crossJoin(sizes)  # one row: the lengths that occur
+    heads = heads.select("token", "form", F.explode(F.filter("sizes", lambda s: s <= F.length("form"))).alias("size"))
+    hit = heads.withColumn("term", F.expr("substring(form, 1, size)")).join(wanted, ["term", "size"]).select("term", "token")
     return terms.join(hit, "term").select("query_id", "pos", "n_terms", "token")
 
 
-def phrase_matches(post: DataFrame, terms: DataFrame, key: str = "document_id") -> DataFrame:
-    """(query_id, pos, n_terms, document, tf): tf of all tokens that the prefix matches."""
-    hit = matching_tokens(post, terms)
-    return hit.join(post, "token").groupBy("query_id", "pos", "n_terms", key).agg(F.sum("tf").alias("tf"))
+def phrase_matches(post: DataFrame, terms: DataFrame, key: str = "document_id", vocabulary: DataFrame | None = None, stems: bool = False) -> DataFrame:
+    """(query_id, pos, n_terms, document, tf): tf of all tokens that the prefix matches; with len where the postings have it."""
+    hit = matching_tokens(post if vocabulary is None else vocabulary, terms, stems)
+    lengths = [F.max("len").alias("len")] if "len" in post.columns else []
+    return hit.join(post, "token").groupBy("query_id", "pos", "n_terms", key).agg(F.sum("tf").alias("tf"), *lengths)
 
 
 def conjunctive(matches: DataFrame, key: str = "document_id") -> DataFrame:
@@ -59,13 +101,19 @@ def conjunctive(matches: DataFrame, key: str = "document_id") -> DataFrame:
     return matches.groupBy("query_id", key, "n_terms").agg(F.count("*").alias("n")).where("n = n_terms").select("query_id", key)
 
 
-def bm25(documents: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, tokenizer=T.tokens, key: str = "document_id", content: str = "content", post: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
-    """(query_id, document, bm25) of all documents that match every term. Statistics are those of the whole corpus."""
-    post = postings(documents, tokenizer, key, content) if post is None else post
-    lengths = doc_lengths(documents, tokenizer, key, content) if lengths is None else lengths
-    m = phrase_matches(post, query_terms(queries, tokenizer), key)
+def bm25(documents: DataFrame | None, queries: DataFrame, k1: float = K1, b: float = B, tokenizer=T.tokens, key: str = "document_id", content: str = "content", index: Index | None = None, stems: bool = True) -> DataFrame:
+    """(query_id, document, bm25) of all documents that match every term. Statistics are those of the whole corpus.
+
+    ``stems``: terms match by stem and without marks; else as they are written.
+    """
+    if index is None:
+        post, lengths = postings(documents, tokenizer, key, content), doc_lengths(documents, tokenizer, key, content)
+        m, stats = phrase_matches(post, query_terms(queries, tokenizer), key, stems=stems).join(lengths, key), corpus_stats(lengths)
+    else:
+        m, stats = phrase_matches(index.postings, query_terms(queries, tokenizer), key, index.vocabulary, stems), index.stats
+    # document frequencies are counts over all matches of a term; then only documents that match every term are scored
     df = m.groupBy("query_id", "pos").agg(F.count("*").alias("df"))
-    rows = m.join(df, ["query_id", "pos"]).join(lengths, key).crossJoin(corpus_stats(lengths))  # one row
+    rows = m.join(df, ["query_id", "pos"]).crossJoin(stats)  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_LEAST))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     return rows.groupBy("query_id", key, "n_terms").agg(F.sum(part).alias("bm25"), F.count("*").alias("n")).where("n = n_terms").select("query_id", key, "bm25")
@@ -83,13 +131,17 @@ def ranked(rows: DataFrame, score: str, key: str = "document_id", limit: int = 1
     return rows.withColumn("rank", F.row_number().over(w)).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
-def bm25_search(documents: DataFrame, queries: DataFrame, limit: int = 10, offset: int = 0, collections: DataFrame | None = None, min_score: float | None = 0.0, **how) -> DataFrame:
-    """Top documents of each query with display score; ``min_score`` applies after the limit. ``collections``: only those."""
-    scored = bm25(documents, queries, **how)
-    facts = documents.select("document_id", "collection_id", "path", "title")
+def bm25_search(documents: DataFrame, queries: DataFrame, limit: int = 10, offset: int = 0, collections: DataFrame | None = None, min_score: float | None = 0.0, index: Index | None = None, **how) -> DataFrame:
+    """Top documents of each query with display score; ``min_score`` applies after the limit. ``collections``: only those.
+
+    With ``index`` nothing of the documents is read but what the index holds.
+    """
+    scored = bm25(documents, queries, index=index, **how)
+    facts = documents.select(*FACTS) if index is None else index.facts
     if collections is not None:
-        facts = facts.join(collections.select("collection_id").distinct(), "collection_id", "left_semi")
-    top = ranked(scored.join(facts.select("document_id"), "document_id", "left_semi"), "bm25", limit=limit, offset=offset)
+        facts = facts.join(collections.select("collection_id").distinct(), "collection_id", "left_semi").select(*FACTS)
+        scored = scored.join(facts.select("document_id"), "document_id", "left_semi")
+    top = ranked(scored, "bm25", limit=limit, offset=offset)
     out = top.join(facts, "document_id").withColumn("score", display_score(F.col("bm25")))
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
@@ -101,8 +153,15 @@ def default_collections(collections: DataFrame, names: list[str] | None = None,
     return collections.where(F.col("name").isin(names)) if names else collections.where("include_by_default")
 
 
-def highlights(chunks: DataFrame, results: DataFrame, terms: DataFrame, most: int = 3, around: int = 50) -> DataFrame:
-    """(query_id, document_id, sequence, highlight): for the first matching chunks the first term's surroundings."""
+def highlights(chunks: DataFrame, results: DataFrame, terms: DataFrame, most: int = 3, around: int = 50, documents: DataFrame | None = None) -> DataFrame:
+    """(query_id, document_id, sequence, highlight): for the first matching chunks the first term's surroundings.
+
+    ``documents``: for a result without chunks, the first 1000 characters of its content stand for a chunk. Results are few beside
+    chunks: only chunks of documents among the results go on, and texts are joined last.
+    """
+    if documents is not None:
+        bare = documents.join(results.select("document_id").distinct(), "document_id", "left_semi").join(chunks.select("document_id").distinct(), "document_id", "left_anti")
+        chunks = chunks.select("document_id", "sequence", "content").unionByName(bare.select("document_id", F.lit(0).alias("sequence"), F.substring("content", 1, 1000).alias("content")))
     t = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t"))
     rows = results.select("query_id", "document_id").join(t, "query_id").join(chunks, "document_id")
     low = F.lower("content")

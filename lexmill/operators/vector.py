@@ -16,23 +16,22 @@ QUERY_BLOCK = 4096
 
 
 def distances(embeddings: DataFrame, queries: DataFrame, metric: str = "l2") -> DataFrame:
-    """(query_id, embedding_id, document_id, distance) for every pair: a stated query set against all rows.
-
-    The query set is counted; beyond ``QUERY_BLOCK`` it goes in blocks, so what is sent to every task stays bounded.
-    """
+    """(query_id, embedding_id, document_id, distance) for every pair: a stated query set against all rows."""
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
-    n = queries.count()
-    q = queries.select("query_id", F.col("embedding").alias("q"))
     d = V.l2(F.col("embedding"), F.col("q")) if metric == "l2" else 1 - V.cosine(F.col("embedding"), F.col("q"))
-    rows = embeddings.select("embedding_id", "document_id", "embedding")
+    found = pairs(embeddings.select("embedding_id", "document_id", "embedding"), queries.select("query_id", F.col("embedding").alias("q")))
+    return found.select("query_id", "embedding_id", "document_id", d.alias("distance"))
+
+
+def pairs(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """All rows beside all queries of a stated set, which is counted and goes in blocks of ``QUERY_BLOCK``."""
+    n = queries.count()
     if n <= QUERY_BLOCK:
-        pairs = rows.join(F.broadcast(q))
-    else:
-        blocks = -(-n // QUERY_BLOCK)
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(q, "block")
-    return pairs.select("query_id", "embedding_id", "document_id", d.alias("distance"))
+        return rows.join(F.broadcast(queries))
+    blocks = -(-n // QUERY_BLOCK)
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(queries, "block").drop("block")
 
 
 def knn(embeddings: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", allowed: DataFrame | None = None, filter_mode: str = "post", min_score: float | None = 0.0) -> DataFrame:

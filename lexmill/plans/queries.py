@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions import porter
 from lexmill.functions import text as T
 from lexmill.functions import vectors as V
 from lexmill.operators import catalog, chunking, evaluation, fusion, lexical, snippets, vector
+from lexmill.plans import maintain
 from lexmill.plans import search as S
 from lexmill.plans import tables as D
 from lexmill.sources import files, sinks
@@ -39,8 +39,10 @@ TOK = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\
 post AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS len FROM documents),
 st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM dl)"""
-QT = r""", q0 AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 2) AS t FROM benchmark),
-qt AS (SELECT query_id, unnest(range(0, len(t))) AS pos, unnest(t) AS term, len(t) AS n_terms FROM q0)"""
+Q0 = r"""qw AS (SELECT item_id AS query_id, unnest(w) AS token, unnest(range(0, len(w))) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)),
+qn AS (SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, pos) AS nth FROM (SELECT query_id, token, count(*) AS n, min(pos) AS pos FROM qw GROUP BY ALL)),
+q0 AS (SELECT query_id, list(token ORDER BY nth) AS t FROM qn WHERE nth <= 2 GROUP BY 1)"""
+QT = f""", {Q0}, qt AS (SELECT query_id, unnest(range(0, len(t))) AS pos, unnest(t) AS term, len(t) AS n_terms FROM q0)"""
 SCORE = """, voc AS (SELECT DISTINCT token FROM post), hit AS (SELECT query_id, pos, n_terms, token FROM qt JOIN voc ON starts_with(token, term)),
 m AS (SELECT query_id, pos, n_terms, doc_id, sum(tf) AS tf FROM hit JOIN post USING (token) GROUP BY ALL),
 df AS (SELECT query_id, pos, count(*) AS df FROM m GROUP BY ALL),
@@ -50,8 +52,8 @@ BM25 = f"WITH {TOK}{QT}{SCORE}"
 RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, document_id)"
 LEX = BM25 + f", lex AS (SELECT query_id, document_id, bm25, 1 / (1 + abs(bm25)) AS score, rank FROM (SELECT *, {RANK} AS rank FROM sc) WHERE rank <= 10)"
 DOC = r"""doc AS (SELECT doc_id AS document_id, source AS collection_id, source || '/' || lang || '/' || doc_id || '.md' AS path, text AS content, doc_id || '.md' AS filename, sha256(text) AS checksum, octet_length(encode(text)) AS file_size,
-coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 0 AND length(x) < 100)[1], doc_id::VARCHAR) AS title FROM documents)"""
-EMB = "emb AS (SELECT vec_id AS embedding_id, vec_id // 2 AS document_id, vec_id % 2 AS sequence, embedding::DOUBLE[] AS embedding FROM embeddings), qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20)"
+coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: length(x) > 0 AND length(x) < 100)[1], doc_id::VARCHAR) AS title FROM documents)"""
+EMB = "emb AS (SELECT vec_id AS embedding_id, vec_id // 2 AS document_id, vec_id % 2 AS sequence, embedding::DOUBLE[] AS embedding FROM embeddings), qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0)"
 KNN = EMB + """, kn AS (SELECT query_id, embedding_id, document_id, distance, 1 - distance / 2 AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), embedding_id) AS rank
   FROM (SELECT query_id, embedding_id, document_id, list_distance(embedding, q) AS distance FROM emb, qv))"""
 COLL = "coll AS (SELECT DISTINCT source AS collection_id, regexp_extract(source, '([0-9]+)$', 1)::INT % 2 = 0 AS include_by_default FROM documents)"
@@ -65,6 +67,11 @@ UNION ALL SELECT 'old/' || path, checksum FROM doc WHERE document_id % 10 = 2)""
 # ---- lexical
 
 
+def _search(spark, d, **how):
+    """Words as they are written, which SQL can express; ``porter_bm25`` and ``full_pipeline`` search by stems."""
+    return lexical.bm25_search(None, D.queries(spark, d), index=D.index(spark, d), **{"stems": False} | how)
+
+
 @query(f"WITH {TOK} SELECT doc_id AS document_id, token, tf FROM post")
 def tokenize(spark, d):
     return lexical.postings(D.documents(spark, d))
@@ -88,47 +95,47 @@ def term_df(spark, d):
 
 @query(BM25 + " SELECT query_id, document_id FROM sc")
 def prefix_match_and(spark, d):
-    m = lexical.phrase_matches(lexical.postings(D.documents(spark, d)), lexical.query_terms(D.queries(spark, d)))
+    i = D.index(spark, d)
+    m = lexical.phrase_matches(i.postings, lexical.query_terms(D.queries(spark, d)), vocabulary=i.vocabulary)
     return lexical.conjunctive(m)
 
 
 @query(LEX + " SELECT query_id, document_id, round(bm25, 6) AS bm25, round(score, 6) AS score, rank FROM lex")
 def bm25_topk(spark, d):
-    top = lexical.bm25_search(D.documents(spark, d), D.queries(spark, d))
+    top = _search(spark, d)
     return top.select("query_id", "document_id", r6("bm25").alias("bm25"), r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(BM25 + f" SELECT query_id, document_id, round(bm25, 6) AS bm25, rank FROM (SELECT *, {RANK} AS rank FROM sc) WHERE rank > 5 AND rank <= 12")
 def bm25_offset(spark, d):
-    top = lexical.bm25_search(D.documents(spark, d), D.queries(spark, d), limit=7, offset=5)
+    top = _search(spark, d, limit=7, offset=5)
     return top.select("query_id", "document_id", r6("bm25").alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(LEX + " SELECT query_id, document_id, round(score, 6) AS score, rank FROM lex WHERE score >= 0.2")
 def bm25_min_score(spark, d):
-    top = lexical.bm25_search(D.documents(spark, d), D.queries(spark, d), min_score=0.2)
+    top = _search(spark, d, min_score=0.2)
     return top.select("query_id", "document_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(BM25 + f", {COLL} SELECT query_id, document_id, round(bm25, 6) AS bm25, rank FROM (SELECT sc.*, {RANK} AS rank FROM sc JOIN documents ON doc_id = document_id JOIN coll ON source = collection_id WHERE include_by_default) WHERE rank <= 10")
 def bm25_default_collections(spark, d):
     own = lexical.default_collections(D.collections(spark, d))
-    top = lexical.bm25_search(D.documents(spark, d), D.queries(spark, d), collections=own)
+    top = _search(spark, d, collections=own)
     return top.select("query_id", "document_id", r6("bm25").alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(BM25 + f" SELECT query_id, document_id, round(bm25, 6) AS bm25, rank FROM (SELECT sc.*, {RANK} AS rank FROM sc JOIN documents ON doc_id = document_id WHERE source IN ('src1', 'src3')) WHERE rank <= 10")
 def bm25_collection_filter(spark, d):
     own = lexical.default_collections(D.collections(spark, d), ["src1", "src3"])
-    top = lexical.bm25_search(D.documents(spark, d), D.queries(spark, d), collections=own)
+    top = _search(spark, d, collections=own)
     return top.select("query_id", "document_id", r6("bm25").alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH ch AS (SELECT doc_id, unnest(range(0, length(text), 900)) AS s, text FROM documents), documents2 AS (SELECT doc_id * 100000 + s // 900 AS doc_id, substring(text, s + 1, 1000) AS text FROM ch), {TOK.replace('FROM documents', 'FROM documents2')}{QT}{SCORE}
 SELECT query_id, document_id AS chunk_id, round(bm25, 6) AS bm25, rank FROM (SELECT *, {RANK} AS rank FROM sc) WHERE rank <= 10""")
 def bm25_chunks(spark, d):
-    chunks = chunking.chunk_strided(D.documents(spark, d)).withColumn("chunk_id", F.col("document_id") * 100000 + F.col("sequence"))
-    top = lexical.ranked(lexical.bm25(chunks, D.queries(spark, d), key="chunk_id"), "bm25", "chunk_id")
+    top = lexical.ranked(lexical.bm25(None, D.queries(spark, d), key="chunk_id", index=D.chunk_index(spark, d), stems=False), "bm25", "chunk_id")
     return top.select("query_id", "chunk_id", r6("bm25").alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -140,19 +147,18 @@ z AS (SELECT *, greatest(a - 51, 0) AS b, least(a - 1 + length(term) + 50, lengt
 SELECT query_id, document_id, sequence, (CASE WHEN b > 0 THEN '...' ELSE '' END) || trim(substring(content, b + 1, e - b), ' ') || (CASE WHEN e < length(content) THEN '...' ELSE '' END) AS highlight FROM z""")
 def highlights(spark, d):
     docs, q = D.documents(spark, d), D.queries(spark, d)
-    out = lexical.highlights(chunking.chunk_strided(docs), lexical.bm25_search(docs, q), lexical.query_terms(q))
+    out = lexical.highlights(chunking.chunk_strided(docs), _search(spark, d), lexical.query_terms(q))
     return out.withColumn("sequence", F.col("sequence").cast("long"))
 
 
 @query(LEX + f", {DOC}, {CTX} SELECT query_id, document_id, ctx.content AS context_description FROM lex JOIN doc USING (document_id) LEFT JOIN ctx ON path = target_id AND context_type = 'path'")
 def context_attach(spark, d):
-    docs = D.documents(spark, d)
-    return lexical.attach_contexts(lexical.bm25_search(docs, D.queries(spark, d)), D.contexts(spark, d)).select("query_id", "document_id", "context_description")
+    return lexical.attach_contexts(_search(spark, d), D.contexts(spark, d)).select("query_id", "document_id", "context_description")
 
 
 @query()
 def porter_bm25(spark, d):
-    top = lexical.bm25_search(D.documents(spark, d), D.queries(spark, d), tokenizer=porter.stemmed_tokens)
+    top = _search(spark, d, stems=True)
     return top.select("query_id", "document_id", r6("bm25").alias("bm25"), "rank")
 
 
@@ -209,7 +215,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_sco
 
 
 def _lists(spark, d):
-    lex = lexical.bm25_search(D.documents(spark, d), D.queries(spark, d))
+    lex = _search(spark, d)
     return lex, vector.knn(D.embeddings(spark, d), D.query_vectors(spark, d))
 
 
@@ -259,13 +265,14 @@ def linear_fusion(spark, d):
 
 def _worded(spark, d):
     """Queries that hold words with synonyms, and some that do not."""
-    words = F.array(*[F.lit(x) for x in ("search", "document", "error", "config", "code", "find", "other")])
+    words = F.array(*[F.lit(x) for x in ("search", "document", "python", "config", "index", "find", "other")])
     pick = lambda m: F.get(words, (F.col("query_id") % m).cast("int"))
     return D.queries(spark, d).select("query_id", F.concat_ws(" ", pick(7), pick(5), "query").alias("query"))
 
 
-SYN = "syn(word, syn_pos, synonym) AS (VALUES " + ", ".join(f"('{w}', {i}, '{s}')" for w, every in fusion.SYNONYMS.items() for i, s in enumerate(every)) + ")"
-WORDED = """wq AS (SELECT query_id, ['search','document','error','config','code','find','other'][query_id % 7 + 1] || ' ' || ['search','document','error','config','code'][query_id % 5 + 1] || ' ' || array_to_string(t, ' ') AS query FROM (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 1, 2) AS t FROM benchmark)),
+SYN = """syn(word, syn_pos, synonym) AS (VALUES ('python', 0, 'py'), ('python', 1, 'cpython'), ('search', 0, 'find'), ('search', 1, 'lookup'), ('search', 2, 'query'), ('index', 0, 'catalog'), ('index', 1, 'register'),
+('document', 0, 'doc'), ('document', 1, 'file'), ('document', 2, 'page'), ('config', 0, 'configuration'), ('config', 1, 'settings'))"""
+WORDED = Q0 + """, wq AS (SELECT query_id, ['search','document','python','config','index','find','other'][query_id % 7 + 1] || ' ' || ['search','document','python','config','index'][query_id % 5 + 1] || ' ' || array_to_string(t, ' ') AS query FROM q0),
 ws AS (SELECT query_id, query, string_split(query, ' ') AS w FROM wq), wp AS (SELECT query_id, query, w, unnest(range(0, len(w))) AS word_pos, unnest(w) AS word FROM ws),
 fs AS (SELECT query_id, query, word_pos, syn_pos, synonym, row_number() OVER (PARTITION BY query_id, synonym ORDER BY word_pos, syn_pos) AS nth FROM wp JOIN syn USING (word) WHERE NOT list_contains(w, synonym)),
 ex AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY word_pos, syn_pos) AS variant_idx, query || ' ' || synonym AS query FROM fs WHERE nth = 1),
@@ -277,9 +284,19 @@ def expand_synonyms(spark, d):
     return fusion.expand_queries(spark, _worded(spark, d)).withColumn("variant_idx", F.col("variant_idx").cast("long"))
 
 
-@query(f"WITH {SYN}, {WORDED} SELECT DISTINCT query FROM va")
+@query(f"WITH {SYN}, {WORDED} SELECT query, min((query_id, variant_idx))[1] AS query_id, min((query_id, variant_idx))[2] AS variant_idx FROM va GROUP BY query")
 def expand_batch_unique(spark, d):
-    return fusion.expand_queries(spark, _worded(spark, d)).select("query").distinct()
+    rows = fusion.unique_batch(fusion.expand_queries(spark, _worded(spark, d)))
+    return rows.withColumn("variant_idx", F.col("variant_idx").cast("long"))
+
+
+@query(f"""WITH {SYN}, {WORDED}, tx AS (SELECT DISTINCT query AS t FROM wq UNION SELECT synonym FROM syn), ev AS (SELECT t, list_transform(range(0, 64), lambda i: ('0x' || substring(sha256(t), (i % 32) * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1) AS v FROM tx),
+ne AS (SELECT query_id, query, synonym, list_cosine_similarity(a.v, b.v) AS near FROM fs JOIN ev a ON a.t = query JOIN ev b ON b.t = synonym WHERE nth = 1),
+rk AS (SELECT query_id, query || ' ' || synonym AS query, row_number() OVER (PARTITION BY query_id ORDER BY round(near, 9) DESC, synonym) AS variant_idx FROM ne)
+SELECT query_id, 0 AS variant_idx, query FROM wq UNION ALL SELECT query_id, variant_idx, query FROM rk WHERE variant_idx <= 3""")
+def expand_by_embedding(spark, d):
+    out = fusion.expand_queries(spark, _worded(spark, d), embed=lambda c: V.hash_embed(c, 64))
+    return out.withColumn("variant_idx", F.col("variant_idx").cast("long"))
 
 
 @query(r"""WITH x AS (SELECT item_id AS query_id, ['lex:', 'vec: ', 'HYDE:', 'expand:', ''][item_id % 5 + 1] || 'what: ' || item_id AS q FROM benchmark)
@@ -290,10 +307,10 @@ def prefix_routing(spark, d):
     return q.withColumn("r", fusion.route(F.col("query"))).select("query_id", "r.kind", "r.text")
 
 
-@query(f"WITH {KNN}, c AS (SELECT query_id, embedding_id, rank, 1 / (1 + exp(-list_cosine_similarity(emb.embedding, q2.embedding::DOUBLE[]))) AS s FROM kn JOIN emb USING (embedding_id) JOIN embeddings q2 ON q2.vec_id = (query_id + 1) % 20 WHERE rank <= 8) SELECT query_id, embedding_id, round(s, 6) AS reranker_score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, rank) AS new_rank FROM c) WHERE new_rank <= 5")
+@query(f"WITH {KNN}, c AS (SELECT query_id, embedding_id, rank, 1 / (1 + exp(-list_cosine_similarity(emb.embedding, q2.embedding::DOUBLE[]))) AS s FROM kn JOIN emb USING (embedding_id) JOIN embeddings q2 ON q2.vec_id = query_id + 1 WHERE rank <= 8) SELECT query_id, embedding_id, round(s, 6) AS reranker_score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, rank) AS new_rank FROM c) WHERE new_rank <= 5")
 def rerank_cosine_sigmoid(spark, d):
     emb = D.embeddings(spark, d)
-    other = D.query_vectors(spark, d).select(F.expr("(query_id + 19) % 20").alias("query_id"), F.col("embedding").alias("q"))
+    other = emb.select((F.col("embedding_id") - 1).alias("query_id"), F.col("embedding").alias("q"))
     rows = vector.knn(emb, D.query_vectors(spark, d)).join(emb.select("embedding_id", "embedding"), "embedding_id").join(other, "query_id")
     top = fusion.rerank(rows, fusion.sigmoid(V.cosine(F.col("embedding"), F.col("q"))), top_k=5, candidates=8)
     return top.select("query_id", "embedding_id", r6("reranker_score").alias("reranker_score"), F.col("new_rank").cast("long").alias("new_rank"))
@@ -301,7 +318,7 @@ def rerank_cosine_sigmoid(spark, d):
 
 @query(f"""{LEX}, lists AS (SELECT query_id, 0 AS list_idx, rank AS position, document_id, score FROM lex UNION ALL SELECT query_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY rank), document_id, score FROM lex WHERE document_id % 2 = 0 UNION ALL SELECT query_id, 2, row_number() OVER (PARTITION BY query_id ORDER BY rank), document_id, score FROM lex WHERE document_id % 3 = 0){RRF.format(w='1.0')} SELECT query_id, document_id, round(rrf_score, 8) AS rrf_score, rank FROM fr WHERE rank <= 5""")
 def multi_variant_fusion(spark, d):
-    lex = lexical.bm25_search(D.documents(spark, d), D.queries(spark, d))
+    lex = _search(spark, d)
     lists = fusion.as_list(lex, 0).unionByName(fusion.as_list(lex.where("document_id % 2 = 0"), 1)).unionByName(fusion.as_list(lex.where("document_id % 3 = 0"), 2))
     return fusion.rrf(lists, 5).select("query_id", "document_id", F.round("rrf_score", 8).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
 
@@ -313,13 +330,13 @@ def full_pipeline(spark, d):
     ids = emb.select(F.expr("max(embedding_id) div 20 + 1").alias("n"))  # one row
     vec = emb.select("embedding_id", "embedding")
     embed = lambda q: q.crossJoin(ids).withColumn("v", 20 * F.pmod(F.xxhash64("query"), F.col("n"))).join(vec.withColumnRenamed("embedding_id", "v"), "v").select("query_id", "embedding")
-    out = S.search(spark, docs, _worded(spark, d), embeddings=emb, contexts=D.contexts(spark, d), embed=embed)
+    out = S.search(spark, docs, _worded(spark, d), embeddings=emb, contexts=D.contexts(spark, d), embed=embed, index=D.index(spark, d))
     return out.select("query_id", "document_id", r6("score").alias("score"), "rank", "snippet", "context_description")
 
 
 # ---- evaluation
 
-JUDGE = "j AS (SELECT doc_id % 40 AS query_id, doc_id AS document_id FROM labels WHERE quality = 1 AND doc_id % 40 IN (SELECT item_id FROM benchmark))"
+JUDGE = "j AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS query_id, doc_id AS document_id FROM labels WHERE quality = 1 AND doc_id % (SELECT count(*) FROM benchmark) IN (SELECT item_id FROM benchmark))"
 METRICS = f"""{LEX}, {JUDGE}, e AS (SELECT query_id, rank, (j.document_id IS NOT NULL)::INT AS rel FROM lex LEFT JOIN j USING (query_id, document_id)), t AS (SELECT query_id, count(*) AS relevant FROM j GROUP BY 1),
 p AS (SELECT item_id AS query_id, {', '.join(f'coalesce(sum(rel) FILTER (rank <= {k}), 0) / {k}.0::DOUBLE AS precision_{k}, coalesce(sum(rel) FILTER (rank <= {k}) / any_value(relevant)::DOUBLE, 0) AS recall_{k}' for k in (1, 5, 10))}, coalesce(1.0::DOUBLE / min(rank) FILTER (rel = 1), 0) AS reciprocal_rank FROM benchmark LEFT JOIN e ON item_id = query_id LEFT JOIN t ON item_id = t.query_id GROUP BY 1)"""
 MNAMES = [f"{m}_{k}" for k in (1, 5, 10) for m in ("precision", "recall")]
@@ -327,19 +344,31 @@ MNAMES = [f"{m}_{k}" for k in (1, 5, 10) for m in ("precision", "recall")]
 
 @query(METRICS + f" SELECT query_id, {', '.join(f'round({m}, 6) AS {m}' for m in MNAMES)} FROM p")
 def precision_recall_at_k(spark, d):
-    rows = evaluation.per_query(lexical.bm25_search(D.documents(spark, d), D.queries(spark, d)), D.judgements(spark, d), D.queries(spark, d))
+    rows = evaluation.per_query(_search(spark, d), D.judgements(spark, d), D.queries(spark, d))
     return rows.select("query_id", *[r6(m).alias(m) for m in MNAMES])
 
 
 @query(METRICS + " SELECT query_id, round(reciprocal_rank, 6) AS reciprocal_rank FROM p")
 def reciprocal_rank(spark, d):
-    rows = evaluation.per_query(lexical.bm25_search(D.documents(spark, d), D.queries(spark, d)), D.judgements(spark, d), D.queries(spark, d))
+    rows = evaluation.per_query(_search(spark, d), D.judgements(spark, d), D.queries(spark, d))
     return rows.select("query_id", r6("reciprocal_rank").alias("reciprocal_rank"))
 
 
 @query(METRICS + f" SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in MNAMES)}, round(avg(reciprocal_rank), 6) AS mrr, count(*)::DOUBLE AS num_queries FROM p")
 def evaluate_all(spark, d):
-    row = evaluation.evaluate(lexical.bm25_search(D.documents(spark, d), D.queries(spark, d)), D.judgements(spark, d), D.queries(spark, d))
+    row = evaluation.evaluate(_search(spark, d), D.judgements(spark, d), D.queries(spark, d))
+    return row.select(*[r6(m).alias(m) for m in MNAMES], r6("mrr").alias("mrr"), "num_queries")
+
+
+@query(METRICS.replace(JUDGE, "j AS (SELECT item_id AS query_id, doc_id AS document_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))") + f" SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in MNAMES)}, round(avg(reciprocal_rank), 6) AS mrr, count(*)::DOUBLE AS num_queries FROM p")
+def bench_fixture(spark, d):
+    """A fixture whose relevant documents are those that hold the whole benchmark item."""
+    items, docs = D.table(spark, d, "benchmark"), D.documents(spark, d)
+    # a stated query set against all rows: the items, counted and in blocks
+    held = vector.pairs(docs.select("document_id", "content"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))).where(F.contains("content", F.col("q")))
+    relevant = held.groupBy("query_id").agg(F.collect_list("document_id").alias("relevant_docids"))
+    fixture = D.queries(spark, d).join(relevant, "query_id", "left").withColumn("relevant_docids", F.coalesce("relevant_docids", F.array().cast("array<bigint>")))
+    row = maintain.rank_fixture(fixture, D.index(spark, d), stems=False)
     return row.select(*[r6(m).alias(m) for m in MNAMES], r6("mrr").alias("mrr"), "num_queries")
 
 
@@ -383,7 +412,7 @@ s2 AS (SELECT query_id, i, s, list_sum(list_transform(t, lambda x: length(s) - l
 SELECT query_id, i AS sentence_idx, s AS sentence, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i) AS nth FROM s2) WHERE nth = 1""")
 def best_sentence(spark, d):
     docs, q = D.documents(spark, d), D.queries(spark, d)
-    top = lexical.bm25_search(docs, q, limit=1).join(docs.select("document_id", "content"), "document_id").join(q, "query_id")
+    top = _search(spark, d, limit=1).join(docs.select("document_id", "content"), "document_id").join(q, "query_id")
     best = snippets.best_sentence(top.select("query_id", "content", F.split("query", " ").alias("terms")), "query_id")
     return best.select("query_id", F.col("sentence_idx").cast("long").alias("sentence_idx"), "sentence", F.col("score").cast("long").alias("score"))
 
@@ -403,14 +432,14 @@ def code_blocks(spark, d):
     return rows.select("conv_id", "turn", "b.lang", F.sha2("b.body", 256).alias("body"))
 
 
-@query(f"WITH {FENCED} SELECT conv_id, turn, trim(regexp_replace(content, '(?s)```.*?```', '', 'g'), ' ') AS rest FROM fe")
+@query(rf"WITH {FENCED} SELECT conv_id, turn, regexp_replace(regexp_replace(content, '(?s)```.*?```', '', 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS rest FROM fe")
 def remove_code_blocks(spark, d):
     return _fenced(spark, d).select("conv_id", "turn", T.remove_code_blocks(C()).alias("rest"))
 
 
-@query(r"SELECT doc_id AS document_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(substring(text, 1, 60)), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '-') AS slug FROM documents")
+@query(r"SELECT doc_id AS document_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '-') AS slug FROM documents")
 def slugify(spark, d):
-    return _text(spark, d, T.slugify(F.substring(C(), 1, 60)), "slug")
+    return _text(spark, d, T.slugify(C()), "slug")
 
 
 @query("SELECT doc_id AS document_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS lines FROM documents")
@@ -418,9 +447,9 @@ def line_slice(spark, d):
     return _text(spark, d, T.line_slice(C(), 2, 3), "lines")
 
 
-@query("WITH l AS (SELECT doc_id, list_slice(string_split(text, chr(10)), 1, 3) AS x FROM documents) SELECT doc_id AS document_id, array_to_string(list_transform(x, lambda s, i: lpad(i::VARCHAR, 4, ' ') || ': ' || s), chr(10)) AS lines FROM l")
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) SELECT doc_id AS document_id, array_to_string(list_transform(x, lambda s, i: lpad(i::VARCHAR, 4, ' ') || ': ' || s), chr(10)) AS lines FROM l")
 def line_numbers(spark, d):
-    return _text(spark, d, T.line_numbers(T.line_slice(C(), 1, 3)), "lines")
+    return _text(spark, d, T.line_numbers(C()), "lines")
 
 
 @query(f"WITH {DOC} SELECT document_id, title FROM doc")
@@ -433,13 +462,15 @@ def markdown_title(spark, d):
     return D.headed(spark, d).select("document_id", T.markdown_title(C(), F.lit("x/y.md")).alias("title"))
 
 
-EXTS = "['.py', '.JS', '.rs', '.md', '', '.unknown', '.yml']"
+EXTS = [".py", ".JS", ".rs", ".md", "", ".unknown", ".yml", ".jsx", ".tsx", ".toml", ".html", ".css", ".h", ".hpp", ".r", ".sh", ".txt", ".mdx", ".xml", ".kt"]
+PICKED = "page_id % 20 + 1"
 
 
-@query(f"WITH p AS (SELECT page_id, 'a.b/f' || page_id || {EXTS}[page_id % 7 + 1] AS path FROM pages) SELECT page_id, ['python', 'javascript', 'rust', 'text', 'text', 'text', 'yaml'][page_id % 7 + 1] AS language, ['code', 'code', 'code', 'markdown', NULL, NULL, 'code'][page_id % 7 + 1] AS kind, 'f' || page_id AS stem FROM p")
+@query(f"""WITH p AS (SELECT page_id, ['python', 'javascript', 'rust', 'text', 'text', 'text', 'yaml', 'jsx', 'tsx', 'toml', 'text', 'text', 'c', 'cpp', 'r', 'bash', 'text', 'text', 'xml', 'kotlin'][{PICKED}] AS language,
+['code', 'code', 'code', 'markdown', NULL, NULL, 'code', 'code', 'code', 'code', NULL, NULL, 'code', 'code', 'code', 'code', 'text', 'markdown', 'code', 'code'][{PICKED}] AS kind FROM pages) SELECT page_id, language, kind, 'f' || page_id AS stem FROM p""")
 def code_language(spark, d):
-    ext = F.array(*[F.lit(x) for x in (".py", ".JS", ".rs", ".md", "", ".unknown", ".yml")])
-    p = D.table(spark, d, "pages").select("page_id", F.concat(F.lit("a.b/f"), F.col("page_id").cast("string"), F.get(ext, (F.col("page_id") % 7).cast("int"))).alias("path"))
+    ext = F.array(*[F.lit(x) for x in EXTS])
+    p = D.table(spark, d, "pages").select("page_id", F.concat(F.lit("a.b/f"), F.col("page_id").cast("string"), F.get(ext, (F.col("page_id") % len(EXTS)).cast("int"))).alias("path"))
     return p.select("page_id", T.code_language(F.col("path")).alias("language"), T.parser_kind(F.col("path")).alias("kind"), T.stem(F.col("path")).alias("stem"))
 
 
@@ -448,7 +479,7 @@ def checksum(spark, d):
     return D.documents(spark, d).select("document_id", "checksum", "file_size")
 
 
-@query()
+@query("""SELECT doc_id AS document_id, CASE WHEN octet_length(encode(text)) <= 100 THEN text ELSE substring(text, 1, list_max(list_filter(range(0, 86), lambda n: octet_length(encode(substring(text, 1, n))) <= 84))) || chr(10) || '... [truncated]' END AS cut FROM documents""")
 def truncate_bytes(spark, d):
     return _text(spark, d, T.truncate_bytes(C(), 100), "cut")
 
@@ -493,7 +524,7 @@ def chunk_auto(spark, d):
 @query()
 def smart_snippet(spark, d):
     docs, q = D.documents(spark, d), D.queries(spark, d)
-    top = lexical.bm25_search(docs, q).join(docs.select("document_id", "content"), "document_id").join(q, "query_id")
+    top = _search(spark, d).join(docs.select("document_id", "content"), "document_id").join(q, "query_id")
     return top.select("query_id", "document_id", snippets.snippets(C(), F.split("query", " ")).alias("snippet"))
 
 
@@ -546,6 +577,43 @@ def index_diff(spark, d):
     return catalog.index_diff(D.documents(spark, d), D.old_index(spark, d))
 
 
+@query(f"WITH {DOC}, l AS (SELECT string_split(path, '/') AS x FROM doc), e AS (SELECT unnest(range(1, len(x))) AS level, x FROM l) SELECT level, array_to_string(x[1:level], '/') AS folder, count(*) AS n_documents FROM e GROUP BY ALL")
+def path_tree(spark, d):
+    return catalog.path_tree(D.documents(spark, d)).withColumn("level", F.col("level").cast("long"))
+
+
+@query(f"WITH {COLL} SELECT collection_id, row_number() OVER (ORDER BY collection_id) AS position FROM coll WHERE include_by_default")
+def list_enabled(spark, d):
+    rows = catalog.list_collections(D.collections(spark, d), enabled=True)
+    return _in_order(spark, rows, "collection_id")
+
+
+@query(f"WITH {DOC} SELECT document_id, row_number() OVER (ORDER BY filename, document_id) AS position FROM doc WHERE collection_id = 'src2'")
+def list_documents(spark, d):
+    return _in_order(spark, catalog.list_documents(D.documents(spark, d), "src2"), "document_id")
+
+
+@query(f"WITH {DOC}, {CTX} SELECT context_id, row_number() OVER (ORDER BY context_type, target_id, context_id) AS position FROM ctx WHERE context_type = 'collection'")
+def list_contexts(spark, d):
+    return _in_order(spark, catalog.list_contexts(D.contexts(spark, d), "collection"), "context_id")
+
+
+def _in_order(spark, rows, key):
+    """The rows of a list with their places: partitions are in order, so places are the partition's first one plus the row's."""
+    at = rows.select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    at = at.withColumn("own", F.col("i") - F.shiftleft(F.col("p").cast("long"), 33))
+    n = at.groupBy("p").count()  # a row for each partition
+    before = n.alias("a").join(n.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
+    return at.join(before, "p").select(key, (F.col("before") + F.col("own") + 1).alias("position"))
+
+
+@query(f"WITH {DOC}, {OLD}, {DIFF} SELECT count(*) FILTER (status IN ('new', 'changed', 'unchanged') AND NOT f) AS processed, count(*) FILTER (status = 'new' AND NOT f) AS added, count(*) FILTER (status = 'changed' AND NOT f) AS updated, count(*) FILTER (status = 'unchanged' AND NOT f) AS skipped, count(*) FILTER (f) AS failed FROM (SELECT *, path LIKE '%3.md' AND NOT starts_with(path, 'old/') AS f FROM di)")
+def index_report(spark, d):
+    docs = D.documents(spark, d)
+    failed = docs.where("path like '%3.md'").select("path", F.lit("x").alias("error"))
+    return catalog.index_report(catalog.index_diff(docs, D.old_index(spark, d)), failed)
+
+
 @query(f"WITH {DOC}, {OLD}, {DIFF} SELECT status, count(*) AS n FROM di GROUP BY 1")
 def index_counters(spark, d):
     return catalog.index_diff(D.documents(spark, d), D.old_index(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
@@ -618,16 +686,56 @@ def cache_ttl(spark, d):
     return catalog.live(rows, F.col("now")).select("event_id", F.lit(True).alias("live"))
 
 
+@query("SELECT event_id FROM events WHERE event_id % 3 <> 0 AND epoch(ts) + event_id % 1000 <= (SELECT epoch(max(ts)) FROM events) - 500")
+def cache_expired(spark, d):
+    e = D.table(spark, d, "events")
+    now = e.agg(F.expr("timestamp_millis(cast(max(unix_millis(cast(ts as timestamp))) - 500000 as bigint))").alias("now"))
+    ends = F.when(F.col("event_id") % 3 != 0, F.expr("timestamp_millis(cast(unix_millis(cast(ts as timestamp)) + (event_id % 1000) * 1000 as bigint))"))
+    return catalog.expired(e.withColumn("expires_at", ends).crossJoin(now), F.col("now")).select("event_id")  # one row
+
+
+@query("WITH o AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 2 = 0), n AS (SELECT sha256(text) AS h, max(doc_id) AS r FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) SELECT 'm' AS model_name, coalesce(o.h, n.h) AS prompt_hash, coalesce(n.r, -1) AS response FROM o FULL JOIN n ON o.h = n.h")
+def cache_set(spark, d):
+    docs = D.table(spark, d, "documents").select("doc_id", F.lit("m").alias("model_name"), F.sha2("text", 256).alias("prompt_hash"))
+    old = docs.where("doc_id % 2 = 0").select("model_name", "prompt_hash", F.lit(-1).cast("long").alias("response")).distinct()
+    new = docs.where("doc_id % 3 = 0").groupBy("model_name", "prompt_hash").agg(F.max("doc_id").alias("response"))
+    return catalog.cache_set(old, new)
+
+
+@query("SELECT lang AS model_id, sha256(text) AS content_hash FROM documents WHERE lang <> 'en'")
+def cache_clear(spark, d):
+    rows = D.table(spark, d, "documents").select(F.col("lang").alias("model_id"), F.sha2("text", 256).alias("content_hash"))
+    return catalog.cache_clear(rows, "en")
+
+
+@query("""WITH c AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0), e AS (SELECT doc_id, sha256(text) AS h, ('0x' || substring(sha256(text), 1, 2))::INT / 255.0::DOUBLE * 2 - 1 AS a, list_transform(range(0, 32), lambda i: ('0x' || substring(sha256(text), i * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1) AS v FROM documents)
+SELECT doc_id AS document_id, CASE WHEN h IN (SELECT h FROM c) THEN 7.0 ELSE round(a / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) END::DOUBLE AS first FROM e""")
+def embed_with_cache(spark, d):
+    docs = D.documents(spark, d).select("document_id", "content")
+    cache = docs.where("document_id % 3 = 0").select(F.sha2("content", 256).alias("content_hash")).distinct().select("content_hash", F.lit("m").alias("model_id"), F.array(F.lit(7.0)).alias("embedding"))
+    rows, _ = maintain.embed_texts(docs, cache, "m", lambda x: vector.embed_texts(x, dimension=32))
+    return rows.select("document_id", r6(F.col("embedding")[0].cast("double")).alias("first"))
+
+
+@query()
+def embed_index(spark, d):
+    docs = D.documents(spark, d)
+    none = docs.select(F.sha2("content", 256).alias("content_hash"), F.lit("m").alias("model_id"), F.array(F.lit(0.0)).alias("embedding")).where("false")
+    rows, _ = maintain.embed_index(docs, none, "m")
+    return rows.select("embedding_id", "document_id", "sequence", r6(F.col("embedding")[0].cast("double")).alias("first"))
+
+
 @query("SELECT lang AS model_id, count(*) AS entries FROM documents GROUP BY 1")
 def cache_stats(spark, d):
     return catalog.cache_stats(D.table(spark, d, "documents").withColumnRenamed("lang", "model_id"))
 
 
-@query("WITH p AS (SELECT page_id, ['docs/', 'node_modules/', 'a/.git/', 'b/build/c/', 'x/'][page_id % 5 + 1] || page_id || ['.md', '.pyc', '.py'][page_id % 3 + 1] AS path FROM pages) SELECT page_id, path FROM p WHERE page_id % 5 NOT IN (1, 2, 3) AND page_id % 3 <> 1")
+@query("""WITH p AS (SELECT page_id, page_id % 12 AS a, page_id % 5 AS b, ['docs/', 'node_modules/', 'a/.git/', 'b/build/c/', 'x/', 'target/', 'lib.egg-info/', '.eggs/', 'env/', '.vscode/', 'environment/', 'a/.DS_Store/'][page_id % 12 + 1] || page_id || ['.md', '.pyc', '.py', '.swp', '~'][page_id % 5 + 1] AS path FROM pages)
+SELECT page_id, path FROM p WHERE a IN (0, 4, 5, 7, 10) AND b IN (0, 1, 2)""")
 def scan_ignore(spark, d):
-    dirs, ext = F.array(*[F.lit(x) for x in ("docs/", "node_modules/", "a/.git/", "b/build/c/", "x/")]), F.array(*[F.lit(x) for x in (".md", ".pyc", ".py")])
-    at = lambda a, n: F.get(a, (F.col("page_id") % n).cast("int"))
-    p = D.table(spark, d, "pages").select("page_id", F.concat(at(dirs, 5), F.col("page_id").cast("string"), at(ext, 3)).alias("path"))
+    dirs = ("docs/", "node_modules/", "a/.git/", "b/build/c/", "x/", "target/", "lib.egg-info/", ".eggs/", "env/", ".vscode/", "environment/", "a/.DS_Store/")
+    at = lambda values: F.get(F.array(*[F.lit(x) for x in values]), (F.col("page_id") % len(values)).cast("int"))
+    p = D.table(spark, d, "pages").select("page_id", F.concat(at(dirs), F.col("page_id").cast("string"), at((".md", ".pyc", ".py", ".swp", "~"))).alias("path"))
     return p.where(~files.ignored(F.col("path"), files.IGNORE))
 
 
@@ -640,13 +748,13 @@ def scan_stats(spark, d):
 
 @query(LEX + f""", {DOC} SELECT query_id, rank, rank || ',' || document_id || ',' || (CASE WHEN regexp_matches(title, '[",\\n\\r]') THEN '"' || replace(title, '"', '""') || '"' ELSE title END) || ',' || path || ',' || printf('%.4f', score) AS line FROM lex JOIN doc USING (document_id)""")
 def result_csv(spark, d):
-    rows = sinks.result_lines(lexical.bm25_search(D.documents(spark, d), D.queries(spark, d)), "csv")
+    rows = sinks.result_lines(_search(spark, d), "csv")
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(LEX + f", {DOC} SELECT query_id, rank, rank || '. **' || title || '** (`' || path || '`) - ' || printf('%.4f', score) AS line FROM lex JOIN doc USING (document_id)")
 def result_markdown(spark, d):
-    rows = sinks.result_lines(lexical.bm25_search(D.documents(spark, d), D.queries(spark, d)), "markdown")
+    rows = sinks.result_lines(_search(spark, d), "markdown")
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -24,6 +24,7 @@ class SearchOptions:
     metric: str = "l2"
     filter_mode: str = "post"
     dedup_lists: bool = False
+    stems: bool = True
 
     def __post_init__(self):
         for name, low, high in (("limit", 1, 100), ("candidate_limit", 1, 200), ("rrf_k", 1, 10**6), ("expansion_factor", 1, 10), ("max_highlights", 0, 100)):
@@ -31,10 +32,10 @@ class SearchOptions:
                 raise ValueError(f"{name} must lie between {low} and {high}")
 
 
-def legs(spark: SparkSession, documents: DataFrame, embeddings: DataFrame | None, queries: DataFrame, options: SearchOptions, collections: DataFrame | None = None, embed=None) -> tuple[DataFrame, DataFrame | None]:
+def legs(spark: SparkSession, documents: DataFrame, embeddings: DataFrame | None, queries: DataFrame, options: SearchOptions, collections: DataFrame | None = None, embed=None, index: lexical.Index | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(lexical, vector) results of queries (query_id, query), each (query_id, document_id, score, rank)."""
     most = max(options.limit, options.candidate_limit)
-    lex = lexical.bm25_search(documents, queries, most, 0, collections, options.min_score)
+    lex = lexical.bm25_search(documents, queries, most, 0, collections, options.min_score, index, stems=options.stems)
     if embeddings is None:
         return lex, None
     q = embed(queries) if embed else vector.embed_texts(queries, dimension=384, text="query")
@@ -42,12 +43,13 @@ def legs(spark: SparkSession, documents: DataFrame, embeddings: DataFrame | None
     return lex, vector.knn(embeddings, q.select("query_id", "embedding"), most, options.metric, allowed, options.filter_mode, options.min_score)
 
 
-def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, options: SearchOptions | None = None, embeddings: DataFrame | None = None, collections: DataFrame | None = None, contexts: DataFrame | None = None, embed=None, generator=None, reranker=None) -> DataFrame:
+def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, options: SearchOptions | None = None, embeddings: DataFrame | None = None, collections: DataFrame | None = None, contexts: DataFrame | None = None, embed=None, generator=None, reranker=None, index: lexical.Index | None = None) -> DataFrame:
     """Routes each query by its prefix, expands it, fuses both legs of every variant and then the variants, reranks the
     candidates, and attaches a snippet and contexts.
 
     queries: (query_id, query, optional intent). ``embed``: queries -> queries with embedding. ``generator``: a Column function from
     prompt to answer for ``hyde:`` queries. ``reranker``: a Column function of (query, text).
+    ``index``: the documents' stored index; without one their texts are tokenised for this search.
     """
     o = options or SearchOptions()
     q = queries if "intent" in queries.columns else queries.withColumn("intent", F.lit(None).cast("string"))
@@ -63,7 +65,7 @@ def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, option
         v = v.withColumn("query", F.when(F.col("kind") == "hyde", F.raise_error(F.lit("hyde: needs a generator"))).otherwise(F.col("query")))
     asked = v.select(F.col("vid").alias("query_id"), "query", "kind")
     lex_q, vec_q = asked.where("kind in ('hybrid', 'expand', 'lex')").drop("kind"), asked.where("kind in ('hybrid', 'expand', 'vec', 'hyde')").drop("kind")
-    lex, _ = legs(spark, documents, None, lex_q, o, collections)
+    lex, _ = legs(spark, documents, None, lex_q, o, collections, index=index)
     lists = fusion.as_list(lex, 0)
     if embeddings is not None:
         _, vec = legs(spark, documents, embeddings, vec_q, o, collections, embed)

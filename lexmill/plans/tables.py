@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators import chunking, lexical
+from lexmill.sources.stored import once
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,18 +30,37 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("embedding_id"), F.expr("vec_id div 2").alias("document_id"), F.expr("cast(vec_id % 2 as int)").alias("sequence"), "embedding")
 
 
+def index(spark: SparkSession, d: str) -> lexical.Index:
+    """The stored index of the documents, built by the first query of the application that asks for it."""
+    return once(spark, f"{d}/documents", lambda s: lexical.build_index(documents(spark, d), s.save))
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_strided(documents(spark, d)).withColumn("chunk_id", F.col("document_id") * 100000 + F.col("sequence"))
+
+
+def chunk_index(spark: SparkSession, d: str) -> lexical.Index:
+    return once(spark, f"{d}/chunks", lambda s: lexical.build_index(chunks(spark, d), s.save, key="chunk_id"))
+
+
 def queries(spark: SparkSession, d: str, n_terms: int = 2) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, n_terms), " ").alias("query"))
+    """Queries (query_id, query): the words that occur most often in a benchmark item's whole text, the first one of equals first."""
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode_outer(T.tokens(F.col("text"))).alias("pos", "token"))
+    each = words.groupBy("query_id", "token").agg(F.count("pos").alias("n"), F.min("pos").alias("pos"))
+    best = each.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "token"))), 1, n_terms).alias("t"))
+    return best.select("query_id", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("query"))
 
 
-def query_vectors(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
-    return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+def query_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The query set: every vector whose id is divisible by 20."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def judgements(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, document_id): the labelled good documents of a query's share of the corpus (ids equal modulo 40)."""
-    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 40).alias("query_id"))
-    return good.join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+    """(query_id, document_id): the labelled good documents of a query's share of the corpus (ids modulo the number of items)."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    good = table(spark, d, "labels").where("quality = 1").crossJoin(items.agg(F.count("*").alias("n")))  # one row
+    return good.select(F.col("doc_id").alias("document_id"), F.try_mod("doc_id", "n").alias("query_id")).join(items, "query_id", "left_semi")
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:

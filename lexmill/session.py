@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def get_spark(app: str = "lexmill", master: str | None = None, partitions: int = 8) -> SparkSession:
-    """A session for local work: UTC, AQE on, few shuffle partitions."""
+def get_spark(app: str = "lexmill", master: str | None = None, partitions: int = 8, memory: str | None = None) -> SparkSession:
+    """A session for local work: UTC, AQE on, few shuffle partitions. ``memory``: of the driver, before its JVM starts."""
     builder = SparkSession.builder.appName(app)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if master:
         builder = builder.master(master)
     return (
@@ -34,12 +36,14 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode, where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found

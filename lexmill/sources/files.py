@@ -10,7 +10,30 @@ from pyspark.sql.types import MapType, StringType
 from lexmill.functions import text as T
 
 #: Path parts and file names that a scan leaves out.
-IGNORE = [".git", ".svn", ".hg", "node_modules", "__pycache__", ".venv", "venv", "env", ".env", ".idea", ".vscode", "dist", "build", "target", ".pytest_cache", ".mypy_cache", ".tox", ".eggs", "*.pyc", "*.pyo", ".DS_Store", "Thumbs.db"]
+IGNORE = [
+    "node_modules",
+    ".git",
+    ".svn",
+    ".hg",
+    "__pycache__",
+    ".pytest_cache",
+    ".mypy_cache",
+    ".tox",
+    ".venv",
+    "venv",
+    "env",
+    ".env",
+    "dist",
+    "build",
+    "*.egg-info",
+    ".DS_Store",
+    "Thumbs.db",
+    "*.swp",
+    "*.swo",
+    "*~",
+    ".idea",
+    ".vscode",
+]
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:

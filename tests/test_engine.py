@@ -143,9 +143,37 @@ def test_snippets():
 
 def test_text_functions(spark):
     row = spark.createDataFrame([("  a \n b ", "Hello, World!  Foo", "x/y.TXT", "é" * 10)], "a string, b string, p string, u string").select(
-        T.normalize_text(F.col("a")).alias("n"), T.slugify(F.col("b")).alias("s"), T.stem(F.col("p")).alias("st"), T.suffix(F.col("p")).alias("x"), T.truncate_bytes(F.col("u"), 5).alias("u")
+        T.normalize_text(F.col("a")).alias("n"), T.slugify(F.col("b")).alias("s"), T.stem(F.col("p")).alias("st"), T.suffix(F.col("p")).alias("x"), T.truncate_bytes(F.col("u"), 19).alias("u")
     ).first()
-    assert tuple(row) == ("a b", "hello-world-foo", "y", ".txt", "éé\n... [truncated]")
+    assert tuple(row) == ("a b", "hello-world-foo", "y", ".txt", "é\n... [truncated]")
+
+
+def test_titles(spark):
+    rows = [("\t\n \u00a0 \nfirst\t\n", "a/x.txt"), ('x = """no"""\n"""\n  The title. \nmore"""', "a/y.py"), ("x = 1", "b/z.py"), ('"""one\ntwo"""', "b/q.tsx")]
+    got = spark.createDataFrame(rows, "t string, p string").select(T.text_title(F.col("t"), F.col("p")).alias("a"), T.code_title(F.col("t"), F.col("p")).alias("b"), T.code_language(F.col("p")).alias("c")).collect()
+    assert got[0]["a"] == "first" and [r["b"] for r in got[1:]] == ["The title.", "z", "q"] and got[3]["c"] == "tsx"
+    cut = spark.createDataFrame([("é" * 60,), ("x" * 100,), ("x" * 101,)], "u string").select(T.truncate_bytes(F.col("u"), 100).alias("u")).collect()
+    assert [len(r["u"].encode()) for r in cut] == [100, 100, 100] and cut[1]["u"] == "x" * 100
+
+
+def test_index_gives_the_same_results(spark, tmp_path):
+    from lexmill.sources.stored import Stored
+
+    rows = [(i, f"c{i % 2}", f"p/{i}.md", f"t{i}", f"the cat {'sat on the mat ' * (i % 4)} running {i}") for i in range(30)] + [(99, "c0", "p/99.md", "t", None)]
+    docs = spark.createDataFrame(rows, "document_id long, collection_id string, path string, title string, content string")
+    q = spark.createDataFrame([(0, "the ca"), (1, "mat"), (2, "nothing"), (3, ""), (4, "run 1")], "query_id long, query string")
+    index = lexical.build_index(docs, Stored(spark, "test").save)
+    some = spark.createDataFrame([("c1",)], "collection_id string")
+    for how in ({}, {"limit": 3, "offset": 2}, {"collections": some}):
+        one, two = (sorted(map(str, lexical.bm25_search(docs, q, index=i, **how).collect())) for i in (None, index))
+        assert one == two and len(one) > 5
+
+
+def test_upsert_takes_the_last_of_equal_keys(spark):
+    old = spark.createDataFrame([("k", "a", 1)], "id string, content string, updated_at long")
+    new = spark.createDataFrame([("k", "b", 5), ("k", "c", 5), ("k", "z", 4), ("n", "d", 1)], old.schema)
+    for part in (1, 4):
+        assert {tuple(r) for r in catalog.upsert(old, new.repartition(part), ["id"]).collect()} == {("k", "c", 5), ("n", "d", 1)}
 
 
 def test_scan_and_parse(spark, tmp_path):
@@ -230,3 +258,61 @@ def test_full_pipeline_asks_all_query_vectors(spark, monkeypatch):
     emb = {tuple(r["embedding"]): r["embedding_id"] for r in D.embeddings(spark, d).collect()}
     got = [emb[tuple(r["embedding"])] for r in asked.collect()]
     assert len(got) == 2000 and set(got) == {i for i in emb.values() if i % 20 == 0}
+
+
+def test_index_files_counts_failures(spark):
+    files_ = spark.createDataFrame([("a.md", "# A\nx", 5, 1.0), ("b.md", None, 3, 1.0), ("c.md", "same", 4, 1.0), ("d.zip", "z", 1, 1.0)], "path string, content string, file_size long, mtime double")
+    old = files.parse(spark.createDataFrame([("b.md", "old b", 5, 0.0), ("c.md", "same", 4, 0.0), ("e.md", "gone", 4, 0.0)], files_.schema))
+    from lexmill.plans import maintain
+
+    now, report = maintain.index_files(files_, old)
+    assert {r["path"]: r["content"] for r in now.collect()} == {"a.md": "# A\nx", "b.md": "old b", "c.md": "same"}
+    assert report.first().asDict() == {"processed": 2, "added": 1, "updated": 0, "skipped": 1, "failed": 1}
+
+
+def test_embed_through_the_cache(spark):
+    from lexmill.plans import maintain
+
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, None)], "document_id long, content string")
+    cache = spark.createDataFrame([("m", [5.0])], "model_id string, embedding array<double>").withColumn("content_hash", F.sha2(F.lit("y"), 256))
+    out, after = maintain.embed_texts(rows, cache, "m", lambda t: t.withColumn("embedding", F.array(F.lit(1.0))))
+    assert {r["document_id"]: r["embedding"] for r in out.where("document_id < 4").collect()} == {1: [1.0], 2: [5.0], 3: [1.0]}
+    assert after.where("content_hash is not null").count() == 2
+    assert catalog.cache_clear(after, "m").count() == 0 and catalog.cache_clear(after).count() == 0
+
+
+def test_bench_fixture(spark, docs, tmp_path):
+    from lexmill.plans import maintain
+
+    p = tmp_path / "f.json"
+    p.write_text(json.dumps({"queries": [{"query": "lex: beta", "relevant_docids": ["1", "2"]}, {"query": "lex: nothing", "relevant_docids": ["1"]}]}))
+    row = maintain.bench_fixture(spark, files.read_fixture(spark, str(p)), docs)
+    got = row.first().asDict()
+    assert got["num_queries"] == 2 and 0 < got["mrr"] <= 0.5 and 0 < got["recall_10"] <= 0.5
+
+
+def test_lists_and_tree(spark):
+    ctx = spark.createDataFrame([("3", "b", "path", "x"), ("1", "a", "path", "y"), ("2", "c", "global", "z")], "context_id string, target_id string, context_type string, content string")
+    assert [r["context_id"] for r in catalog.list_contexts(ctx).collect()] == ["2", "1", "3"]
+    assert [r["context_id"] for r in catalog.list_contexts(ctx, "path", "b").collect()] == ["3"]
+    assert catalog.remove_context(ctx, "3").count() == 2
+    with pytest.raises(ValueError):
+        catalog.list_contexts(ctx, "other")
+    paths = spark.createDataFrame([("a/b/c.md",), ("a/d.md",), ("top.md",)], "path string")
+    assert {(r["level"], r["folder"]): r["n_documents"] for r in catalog.path_tree(paths).collect()} == {(1, "a"): 2, (2, "a/b"): 1}
+
+
+def test_highlights_without_chunks(spark):
+    docs_ = spark.createDataFrame([(1, "word " * 10 + "needle here"), (2, "needle " + "x" * 2000)], "document_id long, content string")
+    chunks = chunking.chunk_strided(docs_.where("document_id = 1"))
+    found = spark.createDataFrame([(0, 1), (0, 2)], "query_id long, document_id long")
+    terms = lexical.query_terms(queries(spark, "needle"))
+    assert {r["document_id"] for r in lexical.highlights(chunks, found, terms).collect()} == {1}
+    assert {r["document_id"] for r in lexical.highlights(chunks, found, terms, documents=docs_).collect()} == {1, 2}
+
+
+def test_search_finds_word_forms(spark):
+    docs_ = spark.createDataFrame([(1, "he was running"), (2, "a café"), (3, "nothing")], "document_id long, content string")
+    got = lexical.bm25(docs_, queries(spark, "runs", "cafe", "runs cafe"))
+    assert {(r["query_id"], r["document_id"]) for r in got.collect()} == {(0, 1), (1, 2)}
+    assert lexical.bm25(docs_, queries(spark, "runs", "cafe"), stems=False).count() == 0
