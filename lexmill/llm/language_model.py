@@ -53,6 +53,8 @@ PHASES, STEP, RUN, STRETCH, PART = 4, 256, 16, 4 << 20, 4_000_000
 #: Size of a gradient step at first, which falls with the square root of the steps and by the parts of the pass; share of a step's
 #: weights in the average.
 RATE, AVERAGE = 0.004, 0.005
+#: Averages of weights that reach the driver at most.
+AVERAGES = 32
 #: Weight of the class's own distribution against what the class before says; of an id's mean continuation.
 BACKOFF = 4.0
 #: Weight of the passages of other texts; one place in this many ends a passage.
@@ -649,9 +651,14 @@ def _train(size: int, vocabulary, weights, rate: float):
     return run
 
 
-def averaged(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Weights averaged, each by the number of windows it was trained on."""
-    return sum(w * np.float32(n) for w, n in rows) / np.float32(sum(n for _, n in rows))
+def _averaged(batches):
+    """Weights averaged, each by the number of windows it was trained on: a row, or none if there are no windows."""
+    total, n = 0.0, 0
+    for r in _arrays(batches, w=np.float32, n=None):
+        if r["n"]:
+            total, n = total + r["w"].astype(np.float64) * r["n"], n + r["n"]
+    if n:
+        yield _row(w=(total / n).astype(np.float32), n=n)
 
 
 def scores(model: Attention, v: Vocabulary, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -756,9 +763,11 @@ def language_model_scores(spark: SparkSession, documents: DataFrame, ranks_path:
     vocabulary, flat = sc.broadcast(v), Attention(v.embedding, v.before).flat
     for r in range(PHASES):
         now = sc.broadcast(flat)
-        trained = ids.where(F.col("phase") == r).select("ids", "begin", "held").mapInArrow(_train(size, vocabulary, now, RATE / (1 + r)), "w binary, n long").collect()
-        if rows := [(np.frombuffer(x["w"], dtype=np.float32), x["n"]) for x in trained if x["n"]]:
-            flat = averaged(rows)
+        trained = ids.where(F.col("phase") == r).select("ids", "begin", "held").mapInArrow(_train(size, vocabulary, now, RATE / (1 + r)), "w binary, n long")
+        # however many partitions trained, the driver gets AVERAGES rows
+        rows = trained.repartition(AVERAGES).mapInArrow(_averaged, "w binary, n long").toArrow().to_batches()
+        for x in _averaged(rows):
+            flat = np.frombuffer(x.column("w")[0].as_py(), dtype=np.float32)
         now.unpersist()
 
     scored = ids.mapInArrow(_score(size, vocabulary, sc.broadcast(flat)), "bucket long, phase int, logp binary, size binary")
