@@ -59,8 +59,9 @@ def build_index(documents: DataFrame, save, tokenizer=T.tokens, key: str = "docu
     """
     counted = documents.select(key, tokenizer(F.coalesce(F.col(content), F.lit(""))).alias("t"))
     counted = save(counted.select(key, F.size("t").cast("long").alias("len"), "t"), "tokens")
-    each = counted.select(key, "len", F.explode("t").alias("token")).groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
-    post = save(each.repartitionByRange("token").sortWithinPartitions("token", key), "postings")
+    # one exchange: ranges of (token, document) split even the commonest token, and the aggregation keeps them
+    dealt = counted.select(key, "len", F.explode("t").alias("token")).repartitionByRange("token", key)
+    post = save(dealt.groupBy("token", key, "len").agg(F.count("*").alias("tf")).sortWithinPartitions("token", key), "postings")
     vocabulary = save(term_df(post).withColumn("stem", porter.stemmed("token")), "vocabulary")
     stats = save(corpus_stats(counted), "stats")
     facts = save(documents.select(*FACTS), "facts") if set(FACTS) <= set(documents.columns) else counted.select(key)
@@ -74,26 +75,30 @@ def query_terms(queries: DataFrame, tokenizer=T.tokens) -> DataFrame:
 
 
 def matching_tokens(vocabulary: DataFrame, terms: DataFrame, stems: bool = False) -> DataFrame:
-    """(query_id, pos, n_terms, token) for tokens that begin with the term; with ``stems``, whose stem begins with the term's."""
-    form = "token"
-    if stems:
-        known = "stem" in vocabulary.columns
-        vocabulary = vocabulary.select("token", "stem") if known else vocabulary.select("token").distinct().withColumn("stem", porter.stemmed("token"))
-        own = terms.select("term").distinct().withColumn("stem", porter.stemmed("term"))
-        terms, form = terms.join(own, "term").select("query_id", "pos", F.col("stem").alias("term"), "n_terms"), "stem"
-    wanted = terms.select("term", F.length("term").alias("size")).distinct()
-    sizes = wanted.select("size").distinct().agg(F.array_sort(F.collect_set("size")).alias("sizes"))
-    heads = vocabulary.select("token", F.col(form).alias("form")).distinct().crossJoin(sizes)  # one row: the lengths that occur
+    """(term, token) for tokens that begin with the term; with ``stems``, whose stem begins with the term's."""
+    stored = "stem" in vocabulary.columns  # an index's vocabulary, of distinct tokens
+    forms = vocabulary if stored else vocabulary.select("token").distinct()
+    if stems and not stored:
+        forms = forms.withColumn("stem", porter.stemmed("token"))
+    wanted = terms.select("term").distinct()
+    wanted = wanted.withColumn("head", porter.stemmed("term") if stems else F.col("term")).withColumn("size", F.length("head"))
+    sizes = wanted.agg(F.array_sort(F.collect_set("size")).alias("sizes"))
+    heads = forms.select("token", F.col("stem" if stems else "token").alias("form")).crossJoin(sizes)  # one row: the lengths that occur
     heads = heads.select("token", "form", F.explode(F.filter("sizes", lambda s: s <= F.length("form"))).alias("size"))
-    hit = heads.withColumn("term", F.expr("substring(form, 1, size)")).join(wanted, ["term", "size"]).select("term", "token")
-    return terms.join(hit, "term").select("query_id", "pos", "n_terms", "token")
+    return heads.withColumn("head", F.expr("substring(form, 1, size)")).join(wanted, ["head", "size"]).select("term", "token")
 
 
-def phrase_matches(post: DataFrame, terms: DataFrame, key: str = "document_id", vocabulary: DataFrame | None = None, stems: bool = False) -> DataFrame:
-    """(query_id, pos, n_terms, document, tf): tf of all tokens that the prefix matches; with len where the postings have it."""
+def term_matches(post: DataFrame, terms: DataFrame, key: str = "document_id", vocabulary: DataFrame | None = None, stems: bool = False) -> DataFrame:
+    """(term, document, tf) of every distinct term: tf of all tokens that the prefix matches; with len where the postings have it."""
     hit = matching_tokens(post if vocabulary is None else vocabulary, terms, stems)
     lengths = [F.max("len").alias("len")] if "len" in post.columns else []
-    return hit.join(post, "token").groupBy("query_id", "pos", "n_terms", key).agg(F.sum("tf").alias("tf"), *lengths)
+    return hit.join(post, "token").groupBy("term", key).agg(F.sum("tf").alias("tf"), *lengths)
+
+
+def phrase_matches(post: DataFrame, terms: DataFrame, key: str = "document_id", vocabulary: DataFrame | None = None, stems: bool = False) -> DataFrame:
+    """(query_id, pos, n_terms, document, tf): a row for each document that a query's term matches."""
+    found = term_matches(post, terms, key, vocabulary, stems)
+    return terms.join(found, "term").select("query_id", "pos", "n_terms", *found.columns[1:])
 
 
 def conjunctive(matches: DataFrame, key: str = "document_id") -> DataFrame:
@@ -104,19 +109,24 @@ def conjunctive(matches: DataFrame, key: str = "document_id") -> DataFrame:
 def bm25(documents: DataFrame | None, queries: DataFrame, k1: float = K1, b: float = B, tokenizer=T.tokens, key: str = "document_id", content: str = "content", index: Index | None = None, stems: bool = True) -> DataFrame:
     """(query_id, document, bm25) of all documents that match every term. Statistics are those of the whole corpus.
 
-    ``stems``: terms match by stem and without marks; else as they are written.
+    ``stems``: terms match by stem and without marks; else as they are written. A term is looked up and scored once, however many
+    queries have it.
     """
+    terms = query_terms(queries, tokenizer)
     if index is None:
         post, lengths = postings(documents, tokenizer, key, content), doc_lengths(documents, tokenizer, key, content)
-        m, stats = phrase_matches(post, query_terms(queries, tokenizer), key, stems=stems).join(lengths, key), corpus_stats(lengths)
+        m, stats = term_matches(post, terms, key, stems=stems).join(lengths, key), corpus_stats(lengths)
     else:
-        m, stats = phrase_matches(index.postings, query_terms(queries, tokenizer), key, index.vocabulary, stems), index.stats
-    # document frequencies are counts over all matches of a term; then only documents that match every term are scored
-    df = m.groupBy("query_id", "pos").agg(F.count("*").alias("df"))
-    rows = m.join(df, ["query_id", "pos"]).crossJoin(stats)  # one row
+        m, stats = term_matches(index.postings, terms, key, index.vocabulary, stems), index.stats
+    # every match counts; reading the same columns lets Spark compute the matches once for both sides
+    df = m.groupBy("term").agg(F.count_if(F.col("tf") + F.col("len") > 0).alias("df"))
+    rows = m.join(df, "term").crossJoin(stats)  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_LEAST))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return rows.groupBy("query_id", key, "n_terms").agg(F.sum(part).alias("bm25"), F.count("*").alias("n")).where("n = n_terms").select("query_id", key, "bm25")
+    asked = terms.groupBy("query_id", "n_terms", "term").agg(F.count("*").alias("times"))
+    rows = asked.join(rows.select("term", key, part.alias("part")), "term")
+    rows = rows.groupBy("query_id", key, "n_terms").agg(F.sum(F.col("times") * F.col("part")).alias("bm25"), F.sum("times").alias("n"))
+    return rows.where("n = n_terms").select("query_id", key, "bm25")
 
 
 def display_score(raw: Column) -> Column:
@@ -136,12 +146,16 @@ def bm25_search(documents: DataFrame, queries: DataFrame, limit: int = 10, offse
 
     With ``index`` nothing of the documents is read but what the index holds.
     """
-    scored = bm25(documents, queries, index=index, **how)
+    # queries of the same terms are one query until the top is known
+    tokenizer = how.get("tokenizer", T.tokens)
+    asked = queries.select("query_id", F.array_join(tokenizer(F.coalesce(F.col("query"), F.lit(""))), " ").alias("words"))
+    scored = bm25(documents, asked.select(F.col("words").alias("query_id"), F.col("words").alias("query")).distinct(), index=index, **how)
     facts = documents.select(*FACTS) if index is None else index.facts
     if collections is not None:
         facts = facts.join(collections.select("collection_id").distinct(), "collection_id", "left_semi").select(*FACTS)
         scored = scored.join(facts.select("document_id"), "document_id", "left_semi")
-    top = ranked(scored, "bm25", limit=limit, offset=offset)
+    top = ranked(scored, "bm25", limit=limit, offset=offset).withColumnRenamed("query_id", "words")
+    top = asked.join(top, "words").drop("words")
     out = top.join(facts, "document_id").withColumn("score", display_score(F.col("bm25")))
     return out if min_score is None else out.where(F.col("score") >= min_score)
 

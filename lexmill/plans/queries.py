@@ -372,6 +372,25 @@ def bench_fixture(spark, d):
     return row.select(*[r6(m).alias(m) for m in MNAMES], r6("mrr").alias("mrr"), "num_queries")
 
 
+@query("SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN text ELSE 'intent ' || item_id % 3 || ': ' || text END AS query FROM benchmark")
+def with_intent(spark, d):
+    rows = D.table(spark, d, "benchmark").withColumn("intent", F.when(F.col("item_id") % 3 > 0, F.concat(F.lit("intent "), (F.col("item_id") % 3).cast("string"))).otherwise(""))
+    return rows.select(F.col("item_id").alias("query_id"), fusion.with_intent(F.col("text"), F.col("intent")).alias("query"))
+
+
+@query("SELECT vec_id, round(exp(embedding[1]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE)), 6) AS p FROM embeddings")
+def yes_probability(spark, d):
+    e = D.table(spark, d, "embeddings")
+    return e.select("vec_id", r6(fusion.yes_probability(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"))).alias("p"))
+
+
+@query(f"WITH {DOC} SELECT document_id, sha256(CASE WHEN document_id % 3 = 0 THEN '' WHEN document_id % 3 = 1 THEN title || chr(10) || chr(10) ELSE title || chr(10) || chr(10) END || CASE WHEN document_id % 3 = 2 THEN 'lit up' ELSE content END) AS body FROM doc")
+def rerank_text(spark, d):
+    k = F.col("document_id") % 3
+    text = fusion.rerank_text(F.when(k > 0, F.col("title")), F.when(k < 2, F.col("content")), F.lit("lit up"))
+    return D.documents(spark, d).select("document_id", F.sha2(text, 256).alias("body"))
+
+
 # ---- text
 
 
@@ -462,6 +481,23 @@ def markdown_title(spark, d):
     return D.headed(spark, d).select("document_id", T.markdown_title(C(), F.lit("x/y.md")).alias("title"))
 
 
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'title: ' || role || turn END AS yaml, CASE WHEN turn % 2 = 0 THEN role || turn ELSE 'x' END AS title, sha256(text) AS body FROM conversations WHERE NOT starts_with(text, '---') AND NOT regexp_matches(text, '(?m)^#\\s+.')")
+def front_matter(spark, d):
+    rows = D.table(spark, d, "conversations").where(~F.col("text").startswith("---") & ~F.regexp_like("text", F.lit(r"(?m)^#\s+.")))
+    name = F.concat("role", F.col("turn").cast("string"))
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("---\ntitle: "), name, F.lit("\n---\n"), "text")).otherwise(F.col("text"))
+    parts = T.front_matter(text)
+    return rows.select("conv_id", "turn", parts["yaml"].alias("yaml"), T.markdown_title(text, F.lit("a/x.md")).alias("title"), F.sha2(parts["body"], 256).alias("body"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Page ' || page_id WHEN page_id % 3 = 1 THEN 'f' || page_id ELSE 'f' || page_id END AS title FROM pages")
+def code_title(spark, d):
+    k, i = F.col("page_id") % 3, F.col("page_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit('import x\n"""\n  Page '), i, F.lit(' \nmore\n"""\n'))).when(k == 1, F.lit('x = """inside"""')).otherwise(F.lit('"""other language"""'))
+    path = F.concat(F.lit("d/f"), i, F.when(k == 2, ".go").otherwise(".py"))
+    return D.table(spark, d, "pages").select("page_id", T.code_title(text, path).alias("title"))
+
+
 EXTS = [".py", ".JS", ".rs", ".md", "", ".unknown", ".yml", ".jsx", ".tsx", ".toml", ".html", ".css", ".h", ".hpp", ".r", ".sh", ".txt", ".mdx", ".xml", ".kt"]
 PICKED = "page_id % 20 + 1"
 
@@ -511,9 +547,20 @@ def chunk_strategy(spark, d):
     return _text(spark, d, chunking.strategy_column(C()), "strategy")
 
 
-@query()
+def _chunk_end(s):
+    """SQL for the unclamped end of a chunk that begins at ``s``: after the last break in the 100 characters past the size."""
+    ahead = f"substring(text, ({s}) + 1001, 100)"
+    last = lambda x: f"CASE WHEN contains({ahead}, {x}) THEN length({ahead}) - strpos(reverse({ahead}), {x}) ELSE -1 END"
+    return f"({s}) + 1000 + CASE WHEN ({s}) + 1000 < length(text) THEN greatest({last("' '")}, {last('chr(10)')}) + 1 ELSE 0 END"
+
+
+@query(rf"""WITH RECURSIVE c AS (SELECT doc_id, text, 0::BIGINT AS s, ({_chunk_end('0')})::BIGINT AS e FROM documents WHERE length(text) > 0
+UNION ALL SELECT doc_id, text, e - 100, {_chunk_end('e - 100')} FROM c WHERE e - 100 < length(text)),
+b AS (SELECT doc_id, s, e, regexp_replace(substring(text, s + 1, e - s), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS content FROM c)
+SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS sequence, content, s AS start_pos, e AS end_pos, length(content) // 4 AS token_count FROM b WHERE content <> ''""")
 def chunk_fixed(spark, d):
-    return chunking.chunk_documents(D.documents(spark, d), "fixed")
+    c = chunking.chunk_documents(D.documents(spark, d), "fixed")
+    return c.select("document_id", "content", *[F.col(x).cast("long").alias(x) for x in ("sequence", "start_pos", "end_pos", "token_count")])
 
 
 @query()
@@ -758,7 +805,31 @@ def result_markdown(spark, d):
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(LEX + f""", {DOC} SELECT query_id, rank, '<result rank="' || rank || '"><id>' || document_id || '</id><title>' || {ESC.format('title')} || '</title><path>' || {ESC.format('path')} || '</path><score>' || printf('%.4f', score) || '</score></result>' AS line FROM lex JOIN doc USING (document_id)""")
+def result_xml(spark, d):
+    rows = sinks.result_lines(_search(spark, d), "xml")
+    return rows.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(LEX + f", {DOC} SELECT query_id, rank, path AS line FROM lex JOIN doc USING (document_id)")
+def result_paths(spark, d):
+    rows = sinks.result_lines(_search(spark, d), "paths")
+    return rows.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(LEX + f", {DOC}, s AS (SELECT query_id, rank, path, score, substring(title, 1, 40) AS t FROM lex JOIN doc USING (document_id)) SELECT query_id, rank, lpad(rank::VARCHAR, 4, ' ') || '  ' || printf('%.4f', score) || '  ' || t || repeat(' ', 40 - length(t)) || '  ' || path AS line FROM s")
+def result_table(spark, d):
+    rows = sinks.result_lines(_search(spark, d), "table")
+    return rows.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT source AS collection_id, doc_id AS document_id, octet_length(encode(text)) AS file_size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT *, file_size <= 20000 AS kept, CASE WHEN file_size <= 20000 THEN file_size ELSE 0 END AS used FROM o WHERE i = 1
+UNION ALL SELECT o.*, used + o.file_size <= 20000, used + CASE WHEN used + o.file_size <= 20000 THEN o.file_size ELSE 0 END FROM f JOIN o ON o.collection_id = f.collection_id AND o.i = f.i + 1)
+SELECT collection_id, document_id, file_size FROM f WHERE kept""")
 def byte_budget_get(spark, d):
     return catalog.byte_budget(D.documents(spark, d), 20_000).select("collection_id", "document_id", "file_size")
 
