@@ -177,7 +177,7 @@ def knn_l2(spark, d):
     return _knn(vector.knn(D.embeddings(spark, d), D.query_vectors(spark, d)))
 
 
-@query(f"WITH {KNN.replace('list_distance(embedding, q)', '1 - list_cosine_similarity(embedding, q)')} SELECT {KCOLS} FROM kn WHERE rank <= 10 AND score >= 0")
+@query(f"WITH {KNN.replace('list_distance(embedding, q)', '1 - list_dot_product(embedding, q) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(q, q)) + 1e-8)')} SELECT {KCOLS} FROM kn WHERE rank <= 10 AND score >= 0")
 def knn_cosine(spark, d):
     return _knn(vector.knn(D.embeddings(spark, d), D.query_vectors(spark, d), metric="cosine"))
 
@@ -291,7 +291,7 @@ def expand_batch_unique(spark, d):
 
 
 @query(f"""WITH {SYN}, {WORDED}, tx AS (SELECT DISTINCT query AS t FROM wq UNION SELECT synonym FROM syn), ev AS (SELECT t, list_transform(range(0, 64), lambda i: ('0x' || substring(sha256(t), (i % 32) * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1) AS v FROM tx),
-ne AS (SELECT query_id, query, synonym, list_cosine_similarity(a.v, b.v) AS near FROM fs JOIN ev a ON a.t = query JOIN ev b ON b.t = synonym WHERE nth = 1),
+ne AS (SELECT query_id, query, synonym, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-8) AS near FROM fs JOIN ev a ON a.t = query JOIN ev b ON b.t = synonym WHERE nth = 1),
 rk AS (SELECT query_id, query || ' ' || synonym AS query, row_number() OVER (PARTITION BY query_id ORDER BY round(near, 9) DESC, synonym) AS variant_idx FROM ne)
 SELECT query_id, 0 AS variant_idx, query FROM wq UNION ALL SELECT query_id, variant_idx, query FROM rk WHERE variant_idx <= 3""")
 def expand_by_embedding(spark, d):
@@ -307,7 +307,7 @@ def prefix_routing(spark, d):
     return q.withColumn("r", fusion.route(F.col("query"))).select("query_id", "r.kind", "r.text")
 
 
-@query(f"WITH {KNN}, c AS (SELECT query_id, embedding_id, rank, 1 / (1 + exp(-list_cosine_similarity(emb.embedding, q2.embedding::DOUBLE[]))) AS s FROM kn JOIN emb USING (embedding_id) JOIN embeddings q2 ON q2.vec_id = query_id + 1 WHERE rank <= 8) SELECT query_id, embedding_id, round(s, 6) AS reranker_score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, rank) AS new_rank FROM c) WHERE new_rank <= 5")
+@query(f"WITH {KNN}, c AS (SELECT query_id, embedding_id, rank, 1 / (1 + exp(-list_dot_product(emb.embedding, q2.embedding::DOUBLE[]) / (sqrt(list_dot_product(emb.embedding, emb.embedding)) * sqrt(list_dot_product(q2.embedding::DOUBLE[], q2.embedding::DOUBLE[])) + 1e-8))) AS s FROM kn JOIN emb USING (embedding_id) JOIN embeddings q2 ON q2.vec_id = query_id + 1 WHERE rank <= 8) SELECT query_id, embedding_id, round(s, 6) AS reranker_score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, rank) AS new_rank FROM c) WHERE new_rank <= 5")
 def rerank_cosine_sigmoid(spark, d):
     emb = D.embeddings(spark, d)
     other = emb.select((F.col("embedding_id") - 1).alias("query_id"), F.col("embedding").alias("q"))
