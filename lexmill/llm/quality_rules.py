@@ -2,8 +2,8 @@
 
 Each rule is a number that is high for bad texts. A stratum is a language. The labelled good documents of a stratum are dealt into
 a fitting part (one in ``FITTING`` by a hash of the id) and a holdout. The fitting part proposes a ladder of ``LEVELS`` sets of
-cutoffs, one for each rule, from those that reject nothing of it to stricter ones, each set rejecting all that the sets before it
-reject. The holdout judges the sets in this order, by an exact binomial (Clopper-Pearson) upper bound of the share of good documents
+cutoffs, one for each rule, from far above its own highest values (``LOOSE``) down to them and on to stricter ones, each set
+rejecting all that the sets before it reject. The holdout judges the sets in this order, by an exact binomial (Clopper-Pearson) upper bound of the share of good documents
 that all rules together reject; the first set whose bound exceeds ``FALSE_REJECTION`` ends the sequence, and the last one that
 held is used. Testing in a fixed order costs no correction for the number of sets; over strata the confidence is Bonferroni-corrected.
 
@@ -30,8 +30,11 @@ from lexmill.llm.textvec import SPACE, grams, slices, words
 
 #: Share of good documents that all rules together may reject in a stratum, and the chance of being wrong about any of it.
 FALSE_REJECTION, MISTAKE = 0.02, 0.05
-#: Bins of a rule's values; one labelled document in this many proposes cutoffs; sets of cutoffs; share rejected by the strictest.
-GRID, FITTING, LEVELS, STRICTEST = 200, 4, 40, 0.1
+#: Bins of a rule's values; one labelled document in this many proposes cutoffs.
+GRID, FITTING = 200, 4
+#: Bins above the fitting part's highest, for the loosest levels; levels within its values; share rejected by the strictest of them.
+LOOSE, FITTED, STRICTEST = (100, 80, 60, 50, 40, 30, 25, 20, 16, 12, 10, 8, 6, 5, 4, 3, 2, 1), 40, 0.1
+LEVELS = len(LOOSE) + FITTED
 RULES = ["symbols", "dup_lines", "repeats", "capitals", "short_words"]
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -142,11 +145,12 @@ def tested(sizes: list[int]) -> int:
 def ladder(bins: np.ndarray) -> np.ndarray:
     """Cutoffs (as bins) of one rule by level, loosest first. ``bins``: good fitting documents by bin (``GRID`` + 1).
 
-    Level i rejects at most i / ``LEVELS`` * ``STRICTEST`` of them, and no document of bin 0.
+    After the loose levels, level i rejects at most i / ``FITTED`` * ``STRICTEST`` of them; no level rejects a document of bin 0.
     """
     from_bin = np.append(np.cumsum(bins[::-1])[::-1], 0)  # documents at or above each bin
-    allowed = np.arange(LEVELS) / LEVELS * STRICTEST * bins.sum()
-    return np.maximum(1, [int(np.flatnonzero(from_bin <= x)[0]) for x in allowed])
+    allowed = np.arange(FITTED) / FITTED * STRICTEST * bins.sum()
+    within = [int(np.flatnonzero(from_bin <= x)[0]) for x in allowed]
+    return np.maximum(1, [min(GRID + 1, within[0] + x) for x in LOOSE] + within)
 
 
 def last_safe(rejected: np.ndarray, n: int, mistake: float) -> int | None:

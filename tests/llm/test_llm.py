@@ -239,6 +239,20 @@ def test_language_model_plain_forward_and_gain():
             assert abs(math.log(every[t[j]]) - got[begin[k] + j]) < 1e-3
 
 
+def test_subwords_of_odd_texts():
+    """Any text comes back from its ids, whatever the texts beside it, and alone it has the same ids."""
+    rng, path = random.Random(11), tokenizer("byte_bpe_50k.tiktoken")
+    odd = ["".join(rng.choice([" ", "\n", "\t", "\r\n", "\x0b", "\u00a0", "\u3000", "\x85", "\u2028", "a", "B", "é", "🎉", "中", "'s", "12", "_", "\x00", "x" * 300]) for _ in range(rng.randrange(25))) for _ in range(400)]
+    odd += ["", "word\u00a0", "word\u3000", " word\u00a0 next\u3000", "\u00a0"]
+    sub = LM.Subwords(path)
+    ids, begin = sub.sequences(pa.array(odd))
+    for i in range(0, len(odd), 7):
+        mine = ids[begin[i] : begin[i + 1]].tolist()
+        assert mine[-1] == sub.end and sub.enc.decode(mine[:-1]) == odd[i]
+        alone, _ = LM.Subwords(path).sequences(pa.array([odd[i]]))
+        assert alone.tolist() == mine
+
+
 def test_language_model_size():
     cls = LM.classes_of(np.arange(5000.0))
     alone = np.bincount(cls, minlength=LM.CLASSES) == 1
