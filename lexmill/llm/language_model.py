@@ -106,6 +106,9 @@ class Subwords:
         lines[stop - 1] = 10
         ids = np.array(self.enc.encode_ordinary(lines.tobytes().decode()), dtype=np.int32)
         line = np.flatnonzero(ids == self.line)
+        if len(line) != len(size):  # a word ends in white space of another kind, which has run together with a line end
+            found = [self.encode_word(raw[a:b].tobytes()) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            return np.concatenate(found), np.array([len(x) for x in found])
         return np.delete(ids, line), np.diff(line, prepend=-1) - 1
 
     def ids(self, key: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -665,8 +668,8 @@ def scores(model: Attention, v: Vocabulary, ids: np.ndarray, begin: np.ndarray)
     """Natural log-probability of every id, from its window."""
     inputs = Inputs(v, ids, begin, np.ones(len(begin) - 1, dtype=bool))
     out = [np.zeros(0)]
-    for a in range(0, len(inputs) - 1, STEP):
-        x, c, y, cls, real = inputs.batch(np.array([a]), min(STEP, len(inputs) - 1 - a))
+    for a in range(0, len(inputs) - 1, 2 * STEP):
+        x, c, y, cls, real = inputs.batch(np.array([a]), min(2 * STEP, len(inputs) - 1 - a))
         p = model.score(x, c, np.where(real, cls, 0))
         out.append(p[real] + v.within(c[real], y[real], cls[real]))
     return np.concatenate(out)
