@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -28,7 +30,13 @@ def get_spark(app: str = "lexmill", master: str | None = None, partitions: int =
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed on them by other means."""
+    """Let Python workers import this package when it is not installed on them by other means.
+
+    Texts are long, so Arrow batches of the default number of rows are cut to ``BATCH_ROWS``: buffers on both sides of a worker's
+    pipe grow by doubling, and every core has some. A number that the session sets otherwise stays.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
