@@ -10,6 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmill.session import shared_dir, ship_code
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` is called so, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name)
+    return out
+
+
 class Scratch:
     """Parquet (or ORC) tables under ``spark.checkpoint.dir``.
 

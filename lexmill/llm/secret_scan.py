@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.scratch import Scratch
+from lexmill.llm.scratch import Scratch, unused
 
 #: The strong patterns; ``assign`` counts where the value (group 1) has 8 characters at least.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -136,12 +136,14 @@ def secret_scan(spark: SparkSession, documents: DataFrame) -> DataFrame:
 def redact(spark: SparkSession, documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with strong and linked secrets replaced; all columns stay."""
     scratch = Scratch(spark, "redact")
-    text = F.coalesce(F.col("d.text").cast("string"), F.lit(""))
-    docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.struct(*documents.columns).alias("d"))  # their own names stay inside
-    docs = scratch.save(docs.withColumns({"base": strong_spans(text), "weak": weak_spans(text)}), "documents")
-    rows = docs.join(_link(docs.where("size(weak) > 0").select("uid", "base", "weak")), "uid", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(_SPAN))))
-    text = F.col("d.text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    uid, base, weak, linked = unused(documents, "uid", "base", "weak", "linked")
+    docs = documents.withColumn(uid, F.monotonically_increasing_id())
+    docs = scratch.save(docs.withColumns({base: strong_spans(text), weak: weak_spans(text)}), "documents")
+    found = _link(docs.where(F.size(weak) > 0).select(F.col(uid).alias("uid"), F.col(base).alias("base"), F.col(weak).alias("weak")))
+    rows = docs.join(found.select(F.col("uid").alias(uid), F.col("linked").alias(linked)), uid, "left")
+    every = F.array_sort(F.concat(base, F.coalesce(linked, F.array().cast(_SPAN))))
+    text = F.col("text")
     # overlapping spans melt together: the text between what is covered so far and the next start is kept
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(
@@ -149,5 +151,4 @@ def redact(spark: SparkSession, documents: DataFrame, mark: str = "[SECRET]") ->
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
     )
     clean = F.aggregate(every, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    rows = rows.withColumn("d", F.col("d").withField("text", F.when(F.size(every) > 0, clean).otherwise(text)))
-    return rows.select(*[F.col("d")[c].alias(c) for c in documents.columns])
+    return rows.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(text)).select(*documents.columns)
