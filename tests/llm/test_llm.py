@@ -726,6 +726,28 @@ def test_pipeline(spark, docs, tmp_path):
             assert not o or 100 * o < 80 * (len(sets[a]) + len(sets[b]) - o)
 
 
+def test_pipeline_edges(spark, docs, tmp_path):
+    """Empty tables give an empty result; every filtering stage keeps all columns, whatever their names, and repeated rows."""
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, d)
+    assert out.count() == 0 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+    own = ["uid", "d", "base", "weak", "linked", "row", "good", "score", "kept", "shard", "h", "c", "n", "bucket", "phase"]
+    rows = docs.withColumns({c: F.lit(i) for i, c in enumerate(own)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, rows, d)
+        assert got.schema.names == rows.schema.names, name
+        first = got.select(*own).distinct().collect()
+        assert [tuple(r) for r in first] == [tuple(range(len(own)))], name
+    assert corpus_pipeline.secrets(spark, rows, d).count() == rows.count() == corpus_pipeline.quality(spark, rows, d).count()
+    twice = piece_digests(spark, rows.union(rows), tokenizer("piece_bpe_32k.model"))
+    assert twice.count() == 2 * rows.count() and twice.distinct().count() <= rows.count()
+
+
 def test_codecs_on_odd_characters():
     import numpy as np
     import sentencepiece
