@@ -15,7 +15,7 @@ from lexmill.llm.decontaminate import decontaminate
 from lexmill.llm.entries import tokenizer
 from lexmill.llm.jaccard_join import jaccard_join
 from lexmill.llm.piece_codec import piece_digests
-from lexmill.llm.scratch import Scratch
+from lexmill.llm.scratch import Scratch, unused
 from lexmill.llm.secret_scan import redact
 
 
@@ -26,11 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies. Rows are told apart by a number of their own, so doc_ids may repeat."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("d"))  # their own names stay inside
-    rows = Scratch(spark, "near-copies").save(numbered, "rows")
-    found = jaccard_join(spark, rows.select(F.col("row").alias("doc_id"), F.col("d.text").alias("text")))
-    stay = found.where("component_id = doc_id").select(F.col("doc_id").alias("row"))
-    return rows.join(stay, "row", "left_semi").select(*[F.col("d")[c].alias(c) for c in docs.columns])
+    (row,) = unused(docs, "row")
+    rows = Scratch(spark, "near-copies").save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard_join(spark, rows.select(F.col(row).alias("doc_id"), "text"))
+    stay = found.where("component_id = doc_id").select(F.col("doc_id").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
