@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmill.llm.chat_format import chat_format
 from lexmill.llm.cotraining import classify
 from lexmill.llm.decontaminate import contamination
+from lexmill.llm.importance import importance_resample
 from lexmill.llm.jaccard_join import jaccard_join
+from lexmill.llm.language_id import identify
 from lexmill.llm.language_model import language_model_scores
 from lexmill.llm.piece_codec import piece_digests
 from lexmill.llm.quality_rules import quality_rules
 from lexmill.llm.scratch import Scratch
 from lexmill.llm.secret_scan import secret_scan
 from lexmill.llm.sharding import shard
+from lexmill.llm.spelling import spelling_variants
 from lexmill.llm.token_orc import token_positions, write_token_orc
 
 
@@ -70,6 +73,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(spark, rows.unionByName(own), tokenizer("word_bpe_49k.json"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
