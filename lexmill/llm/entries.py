@@ -13,6 +13,7 @@ from lexmill.llm.importance import importance_resample
 from lexmill.llm.jaccard_join import jaccard_join
 from lexmill.llm.language_id import identify
 from lexmill.llm.language_model import language_model_scores
+from lexmill.llm.oracles import OP11_SQL, OP12_SQL
 from lexmill.llm.piece_codec import piece_digests
 from lexmill.llm.quality_rules import quality_rules
 from lexmill.llm.scratch import Scratch
@@ -89,7 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
-#: op1 by brute force: every pair of documents that share a shingle, links followed to their ends. The other operators run models,
+#: op1 by brute force: every pair of documents that share a shingle, links followed to their ends. The others but 11 and 12 run models,
 #: tokenizers, laws of their own or patterns that DuckDB's regular expressions lack; their tests compare them with brute force.
 OP1_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
@@ -102,4 +103,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(n_links,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op11_importance_resampling": OP11_SQL, "op12_spelling_variants": OP12_SQL}
