@@ -131,6 +131,17 @@ def _features(data: np.ndarray, off: np.ndarray, most: int) -> Iterator[tuple[np
         text_, crc_, size_ = text[keep], crc[keep], size[keep]
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """One binary value: numbers in as few bytes each, 1, 2 or 4, as the largest takes."""
+    top = int(x.max()) if len(x) else 0
+    return pa.array([x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()])
+
+
+def _unpacked(x: pa.Scalar, n: int) -> np.ndarray:
+    buffer = x.as_buffer()
+    return np.frombuffer(buffer, dtype=f"<u{max(1, buffer.size // max(1, n))}").astype(np.int64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in slices(batch.column(1)):
@@ -147,14 +158,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, most: int) -> Itera
             ends = np.searchsorted(keys, np.arange(n + 1) * buckets)
             one = pa.array([0, n], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(one, batch.column(0).slice(first, n)), pa.ListArray.from_arrays(one, pa.array(words)), pa.array([ends.astype("<i8").tobytes()]), pa.array([(keys % buckets).astype("<u4").tobytes()]), pa.array([counts.astype("<u4").tobytes()])],
+                [pa.ListArray.from_arrays(one, batch.column(0).slice(first, n)), pa.ListArray.from_arrays(one, pa.array(words)), pa.array([ends.astype("<i8").tobytes()]), _packed(keys % buckets), _packed(counts)],
                 ["ids", "words", "ends", "buckets", "counts"],
             )
 
 
 def count_matrix(texts: DataFrame, scratch: Scratch, name: str, buckets: int = 10000, most: int = 3) -> DataFrame:
     """The document-by-bucket matrix of ``texts`` (doc_id, text), stored in blocks of rows: ids, words of each, and CSR arrays
-    (where each row ends, buckets, counts; little-endian)."""
+    (where each row ends, buckets, counts; little-endian, in as few bytes each as a block's largest takes)."""
     kind = texts.schema[0].dataType.simpleString()
     rows = texts.mapInArrow(lambda batches: _blocks(batches, buckets, most), f"ids array<{kind}>, words array<long>, ends binary, buckets binary, counts binary")
     rows.write.mode("overwrite").option("compression", "zstd").parquet(scratch.path(name))
@@ -167,12 +178,13 @@ def column_sums(matrix: DataFrame, buckets: int = 10000) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for b, c in zip(batch.column(0), batch.column(1), strict=True):
-                total += np.bincount(np.frombuffer(b.as_buffer(), dtype="<u4"), weights=np.frombuffer(c.as_buffer(), dtype="<u4"), minlength=buckets).astype(np.int64)
+            for ends, b, c in zip(*batch.columns, strict=True):
+                n = int(np.frombuffer(ends.as_buffer(), dtype="<i8")[-1])
+                total += np.bincount(_unpacked(b, n), weights=_unpacked(c, n), minlength=buckets).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    found = matrix.select("buckets", "counts").mapInArrow(add, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = matrix.select("ends", "buckets", "counts").mapInArrow(add, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(buckets, dtype=np.int64)
     out[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -191,8 +203,9 @@ def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, words, ends, b, c in zip(*batch.columns, strict=True):
-                end, count = np.frombuffer(ends.as_buffer(), dtype="<i8"), np.frombuffer(c.as_buffer(), dtype="<u4").astype(np.int64)
-                n, w = (np.concatenate([[0], np.cumsum(x)]) for x in (count, count * gain[np.frombuffer(b.as_buffer(), dtype="<u4")]))
+                end = np.frombuffer(ends.as_buffer(), dtype="<i8")
+                count = _unpacked(c, int(end[-1]))
+                n, w = (np.concatenate([[0], np.cumsum(x)]) for x in (count, count * gain[_unpacked(b, int(end[-1]))]))
                 yield pa.RecordBatch.from_arrays([ids.values, words.values, pa.array(n[end[1:]] - n[end[:-1]]), pa.array(w[end[1:]] - w[end[:-1]])], ["doc_id", "n_words", "n_features", "weight"])
 
     return matrix.select("ids", "words", "ends", "buckets", "counts").mapInArrow(product, f"doc_id {kind}, n_words long, n_features long, weight long")
