@@ -5,7 +5,7 @@ token, tf). Query terms meet the vocabulary first, by equality of prefixes of th
 matching tokens meet the postings: no token is compared with every term, and no side is broadcast by hint. By default terms and
 tokens meet by their Porter stems without marks; only distinct tokens and terms are stemmed, never texts.
 
-``build_index`` stores what ranking needs, so that a text is tokenised once and not for every search.
+An ``IndexStore`` keeps what ranking needs, so that a text is tokenised once and not for every search.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import porter
 from lexmill.functions import text as T
+from lexmill.operators import posting_lists
 
 K1, B, IDF_LEAST = 1.2, 0.75, 1e-6
 
@@ -40,34 +41,42 @@ def term_df(post: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Stored tables of a corpus: postings with the documents' lengths, sorted by token; its vocabulary with stems; one row of
-    statistics; what results show of a document."""
+    """An open index: posting lists of each segment with its tombstones (or None), one row of statistics, what results show of a
+    document, and the name of the documents' id."""
 
-    postings: DataFrame
-    vocabulary: DataFrame
+    segments: list[tuple[DataFrame, DataFrame | None]]
     stats: DataFrame
     facts: DataFrame
+    key: str = "document_id"
+
+    def flat(self, matched=lambda rows: rows, *, names: tuple[str, ...] = ("token",)) -> DataFrame:
+        """(*names, key, tf, len): a row for each posting of what ``matched`` leaves of each segment's lists."""
+        out = None
+        for rows, dead in self.segments:
+            found = matched(rows.select("token", "stem", "docs")).select(*names, F.inline("docs"))
+            found = found if dead is None else found.join(dead, "key", "left_anti")
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.flat().select("token", F.col("key").alias(self.key), F.col("len").cast("long").alias("len"), F.col("tf").cast("long").alias("tf"))
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        """(token, df, cf, stem); without tombstones no posting is read for it."""
+        if all(dead is None for _, dead in self.segments):
+            every = None
+            for rows, _ in self.segments:
+                part = rows.select("token", "stem", "n", "cf")
+                every = part if every is None else every.unionByName(part)
+            return every.groupBy("token").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("stem").alias("stem"))
+        return self.flat(names=("token", "stem")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("stem").alias("stem"))
 
 
 FACTS = ["document_id", "collection_id", "path", "title"]
 
 
-def build_index(documents: DataFrame, save, tokenizer=T.tokens, key: str = "document_id", content: str = "content") -> Index:
-    """``save(df, name)`` writes a table and reads it again. Texts are tokenised once.
-
-    Tokens are ranges of partitions, so a search for some prefixes reads the row groups whose ranges hold them.
-    """
-    counted = documents.select(key, tokenizer(F.coalesce(F.col(content), F.lit(""))).alias("t"))
-    counted = save(counted.select(key, F.size("t").cast("long").alias("len"), "t"), "tokens")
-    # one exchange: ranges of (token, document) split even the commonest token, and the aggregation keeps them
-    dealt = counted.select(key, "len", F.explode("t").alias("token")).repartitionByRange("token", key)
-    post = save(dealt.groupBy("token", key, "len").agg(F.count("*").alias("tf")).sortWithinPartitions("token", key), "postings")
-    vocabulary = save(term_df(post).withColumn("stem", porter.stemmed("token")), "vocabulary")
-    stats = save(corpus_stats(counted), "stats")
-    facts = save(documents.select(*FACTS), "facts") if set(FACTS) <= set(documents.columns) else counted.select(key)
-    return Index(post, vocabulary, stats, facts)
-
-
 def query_terms(queries: DataFrame, tokenizer=T.tokens) -> DataFrame:
     """(query_id, pos, term, n_terms); punctuation separates terms, a repeated term counts again."""
     rows = queries.select("query_id", tokenizer(F.coalesce(F.col("query"), F.lit(""))).alias("t"))
@@ -76,28 +85,27 @@ def query_terms(queries: DataFrame, tokenizer=T.tokens) -> DataFrame:
 
 def matching_tokens(vocabulary: DataFrame, terms: DataFrame, stems: bool = False) -> DataFrame:
     """(term, token) for tokens that begin with the term; with ``stems``, whose stem begins with the term's."""
-    stored = "stem" in vocabulary.columns  # an index's vocabulary, of distinct tokens
-    forms = vocabulary if stored else vocabulary.select("token").distinct()
-    if stems and not stored:
+    forms = vocabulary if "stem" in vocabulary.columns else vocabulary.select("token").distinct()
+    if stems and "stem" not in forms.columns:
         forms = forms.withColumn("stem", porter.stemmed("token"))
-    wanted = terms.select("term").distinct()
-    wanted = wanted.withColumn("head", porter.stemmed("term") if stems else F.col("term")).withColumn("size", F.length("head"))
-    sizes = wanted.agg(F.array_sort(F.collect_set("size")).alias("sizes"))
-    heads = forms.select("token", F.col("stem" if stems else "token").alias("form")).crossJoin(sizes)  # one row: the lengths that occur
-    heads = heads.select("token", "form", F.explode(F.filter("sizes", lambda s: s <= F.length("form"))).alias("size"))
-    return heads.withColumn("head", F.expr("substring(form, 1, size)")).join(wanted, ["head", "size"]).select("term", "token")
+    return posting_lists.matches(forms, terms, stems).select("term", "token")
+
+
+def term_matches(post: DataFrame, terms: DataFrame, key: str = "document_id", stems: bool = False) -> DataFrame:
+    """(term, document, tf) of every distinct term: tf of all tokens that the prefix matches."""
+    return matching_tokens(post, terms, stems).join(post, "token").groupBy("term", key).agg(F.sum("tf").alias("tf"))
 
 
-def term_matches(post: DataFrame, terms: DataFrame, key: str = "document_id", vocabulary: DataFrame | None = None, stems: bool = False) -> DataFrame:
-    """(term, document, tf) of every distinct term: tf of all tokens that the prefix matches; with len where the postings have it."""
-    hit = matching_tokens(post if vocabulary is None else vocabulary, terms, stems)
-    lengths = [F.max("len").alias("len")] if "len" in post.columns else []
-    return hit.join(post, "token").groupBy("term", key).agg(F.sum("tf").alias("tf"), *lengths)
+def index_matches(index: Index, terms: DataFrame, stems: bool = False) -> DataFrame:
+    """(term, document, tf, len) from an index's lists: those outside the terms' ranges are not read, and postings leave their task
+    summed by term and document."""
+    found = index.flat(lambda rows: posting_lists.matches(rows, terms, stems), names=("term",))
+    return found.groupBy("term", F.col("key").alias(index.key)).agg(F.sum("tf").alias("tf"), F.max("len").alias("len"))
 
 
-def phrase_matches(post: DataFrame, terms: DataFrame, key: str = "document_id", vocabulary: DataFrame | None = None, stems: bool = False) -> DataFrame:
+def phrase_matches(post: DataFrame | Index, terms: DataFrame, key: str = "document_id", stems: bool = False) -> DataFrame:
     """(query_id, pos, n_terms, document, tf): a row for each document that a query's term matches."""
-    found = term_matches(post, terms, key, vocabulary, stems)
+    found = index_matches(post, terms, stems).drop("len") if isinstance(post, Index) else term_matches(post, terms, key, stems)
     return terms.join(found, "term").select("query_id", "pos", "n_terms", *found.columns[1:])
 
 
@@ -113,19 +121,21 @@ def bm25(documents: DataFrame | None, queries: DataFrame, k1: float = K1, b: flo
     queries have it.
     """
     terms = query_terms(queries, tokenizer)
+    local = posting_lists.few(terms)
+    terms = terms if local is None else local
+    small = (lambda rows: rows) if local is None else F.broadcast  # a few rows for each of a counted set of terms
     if index is None:
         post, lengths = postings(documents, tokenizer, key, content), doc_lengths(documents, tokenizer, key, content)
         m, stats = term_matches(post, terms, key, stems=stems).join(lengths, key), corpus_stats(lengths)
     else:
-        m, stats = term_matches(index.postings, terms, key, index.vocabulary, stems), index.stats
+        m, stats = index_matches(index, terms, stems), index.stats
     # every match counts; reading the same columns lets Spark compute the matches once for both sides
-    df = m.groupBy("term").agg(F.count_if(F.col("tf") + F.col("len") > 0).alias("df"))
-    rows = m.join(df, "term").crossJoin(stats)  # one row
+    df = m.groupBy("term").agg(F.count_if(F.col("tf") + F.col("len") > 0).alias("df")).crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_LEAST))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     asked = terms.groupBy("query_id", "n_terms", "term").agg(F.count("*").alias("times"))
-    rows = asked.join(rows.select("term", key, part.alias("part")), "term")
-    rows = rows.groupBy("query_id", key, "n_terms").agg(F.sum(F.col("times") * F.col("part")).alias("bm25"), F.sum("times").alias("n"))
+    asked = asked.join(df.select("term", "avgdl", idf.alias("idf")), "term")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    rows = m.join(small(asked), "term").groupBy("query_id", key, "n_terms").agg(F.sum(part).alias("bm25"), F.sum("times").alias("n"))
     return rows.where("n = n_terms").select("query_id", key, "bm25")
 
 
@@ -148,14 +158,15 @@ def bm25_search(documents: DataFrame, queries: DataFrame, limit: int = 10, offse
     """
     # queries of the same terms are one query until the top is known
     tokenizer = how.get("tokenizer", T.tokens)
-    asked = queries.select("query_id", F.array_join(tokenizer(F.coalesce(F.col("query"), F.lit(""))), " ").alias("words"))
-    scored = bm25(documents, asked.select(F.col("words").alias("query_id"), F.col("words").alias("query")).distinct(), index=index, **how)
+    asked = queries.select("query_id", F.array_join(tokenizer(F.coalesce(F.col("query"), F.lit(""))), " ").alias("query"))
+    asked = asked.withColumn("first", F.min("query_id").over(Window.partitionBy("query")))
+    scored = bm25(documents, asked.where("query_id = first").select("query_id", "query").distinct(), index=index, **how)
     facts = documents.select(*FACTS) if index is None else index.facts
     if collections is not None:
         facts = facts.join(collections.select("collection_id").distinct(), "collection_id", "left_semi").select(*FACTS)
         scored = scored.join(facts.select("document_id"), "document_id", "left_semi")
-    top = ranked(scored, "bm25", limit=limit, offset=offset).withColumnRenamed("query_id", "words")
-    top = asked.join(top, "words").drop("words")
+    top = ranked(scored, "bm25", limit=limit, offset=offset).withColumnRenamed("query_id", "first")
+    top = asked.select("query_id", "first").join(top, "first").drop("first")
     out = top.join(facts, "document_id").withColumn("score", display_score(F.col("bm25")))
     return out if min_score is None else out.where(F.col("score") >= min_score)
 

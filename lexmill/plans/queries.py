@@ -96,7 +96,7 @@ def term_df(spark, d):
 @query(BM25 + " SELECT query_id, document_id FROM sc")
 def prefix_match_and(spark, d):
     i = D.index(spark, d)
-    m = lexical.phrase_matches(i.postings, lexical.query_terms(D.queries(spark, d)), vocabulary=i.vocabulary)
+    m = lexical.phrase_matches(i, lexical.query_terms(D.queries(spark, d)))
     return lexical.conjunctive(m)
 
 

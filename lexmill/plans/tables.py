@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import chunking, lexical
+from lexmill.sources.index_store import IndexStore
 from lexmill.sources.stored import once
 
 
@@ -32,7 +33,13 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 def index(spark: SparkSession, d: str) -> lexical.Index:
     """The stored index of the documents, built by the first query of the application that asks for it."""
-    return once(spark, f"{d}/documents", lambda s: lexical.build_index(documents(spark, d), s.save))
+    return once(spark, f"{d}/documents", lambda s: _built(spark, s.base, documents(spark, d)))
+
+
+def _built(spark: SparkSession, path: str, rows: DataFrame, key: str = "document_id") -> lexical.Index:
+    store = IndexStore(spark, path, key)
+    store.write(rows)
+    return store.index()
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -40,11 +47,16 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_index(spark: SparkSession, d: str) -> lexical.Index:
-    return once(spark, f"{d}/chunks", lambda s: lexical.build_index(chunks(spark, d), s.save, key="chunk_id"))
+    return once(spark, f"{d}/chunks", lambda s: _built(spark, s.base, chunks(spark, d), "chunk_id"))
 
 
 def queries(spark: SparkSession, d: str, n_terms: int = 2) -> DataFrame:
-    """Queries (query_id, query): the words that occur most often in a benchmark item's whole text, the first one of equals first."""
+    """Queries (query_id, query): the words that occur most often in a benchmark item's whole text, the first one of equals first.
+    Stored by the first query of the application that asks for them."""
+    return once(spark, f"{d}/queries-{n_terms}", lambda s: s.save(_queries(spark, d, n_terms), "queries"))
+
+
+def _queries(spark: SparkSession, d: str, n_terms: int) -> DataFrame:
     words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode_outer(T.tokens(F.col("text"))).alias("pos", "token"))
     each = words.groupBy("query_id", "token").agg(F.count("pos").alias("n"), F.min("pos").alias("pos"))
     best = each.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "token"))), 1, n_terms).alias("t"))

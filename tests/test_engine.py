@@ -156,19 +156,6 @@ def test_titles(spark):
     assert [len(r["u"].encode()) for r in cut] == [100, 100, 100] and cut[1]["u"] == "x" * 100
 
 
-def test_index_gives_the_same_results(spark, tmp_path):
-    from lexmill.sources.stored import Stored
-
-    rows = [(i, f"c{i % 2}", f"p/{i}.md", f"t{i}", f"the cat {'sat on the mat ' * (i % 4)} running {i}") for i in range(30)] + [(99, "c0", "p/99.md", "t", None)]
-    docs = spark.createDataFrame(rows, "document_id long, collection_id string, path string, title string, content string")
-    q = spark.createDataFrame([(0, "the ca"), (1, "mat"), (2, "nothing"), (3, ""), (4, "run 1")], "query_id long, query string")
-    index = lexical.build_index(docs, Stored(spark, "test").save)
-    some = spark.createDataFrame([("c1",)], "collection_id string")
-    for how in ({}, {"limit": 3, "offset": 2}, {"collections": some}):
-        one, two = (sorted(map(str, lexical.bm25_search(docs, q, index=i, **how).collect())) for i in (None, index))
-        assert one == two and len(one) > 5
-
-
 def test_upsert_takes_the_last_of_equal_keys(spark):
     old = spark.createDataFrame([("k", "a", 1)], "id string, content string, updated_at long")
     new = spark.createDataFrame([("k", "b", 5), ("k", "c", 5), ("k", "z", 4), ("n", "d", 1)], old.schema)
