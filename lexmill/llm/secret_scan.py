@@ -37,6 +37,8 @@ KINDS = ["assign", "access", "hex", *WEAK]
 ROLE = {"assign": 2, "access": 1, "hex": 2, "ident": 1, "phrase": 2, "key40": 2, "endpoint": 4}
 #: Code points between the starts of parts of one credential.
 SCOPE = 200
+#: Code points of a piece of a text that is redacted: a span reads a piece or two, not the text from its beginning.
+CUT = 1024
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -49,16 +51,19 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _running(a: Column) -> Column:
-    """Sums of all earlier elements, in two levels so that the work is about linear."""
+def _add(x: Column, y: Column) -> Column:
+    return x + y
+
+
+def _running(a: Column, add: Callable[[Column, Column], Column] = _add) -> Column:
+    """Sums of all earlier elements, or what ``add`` makes of them from 0 on, in two levels so that the work is about linear."""
     step = 64
-    add = lambda x, y: x + y
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / step).cast("int")), lambda b: F.aggregate(F.slice(a, b * step + 1, F.lit(step)), F.lit(0), add))
-    heads = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    heads = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
 
     def sums(h: Column) -> Column:
         at = lambda i: F.floor(i / step).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.get(h, at(i)) + F.aggregate(F.slice(a, at(i) * step + 1, i % step), F.lit(0), add))
+        return F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: add(F.get(h, at(i)), F.aggregate(F.slice(a, at(i) * step + 1, i % step), F.lit(0), add)))
 
     return _let(heads, sums)
 
@@ -75,7 +80,7 @@ def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0)
 
     def found(p: Column) -> Column:
         both = F.zip_with(F.slice(p["gap"], F.lit(1), F.size(p["hit"])), p["hit"], lambda g, h: g + h)
-        end = F.zip_with(_let(both, _running), both, lambda b, g: b + g)
+        end = F.zip_with(_let(both, lambda x: _running(x)), both, lambda b, g: b + g)
         out = F.zip_with(end, p["hit"], lambda e, h: F.struct((e - h).cast("int").alias("start"), F.lit(number).alias("kind"), e.cast("int").alias("end")))
         if least:
             out = F.filter(F.zip_with(out, p["value"], lambda f, v: F.when(v >= least, f)), lambda f: f.isNotNull())
@@ -133,6 +138,14 @@ def secret_scan(spark: SparkSession, documents: DataFrame) -> DataFrame:
     )
 
 
+def _piece(cuts: Column, a: Column, b: Column) -> Column:
+    """Code points a to b, end exclusive, of a text that was cut into pieces of ``CUT``; only pieces that hold some are read."""
+    first, last = F.floor(a / CUT).cast("int"), F.floor(b / CUT).cast("int")
+    low = lambda i: F.when(i == 0, a - first * CUT).otherwise(0)
+    high = lambda i: F.when(i == last - first, b - last * CUT).otherwise(CUT)
+    return F.array_join(F.transform(F.slice(cuts, first + 1, last - first + 1), lambda x, i: F.substring(x, low(i) + 1, high(i) - low(i))), "")
+
+
 def redact(spark: SparkSession, documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with strong and linked secrets replaced; all columns stay."""
     scratch = Scratch(spark, "redact")
@@ -144,11 +157,14 @@ def redact(spark: SparkSession, documents: DataFrame, mark: str = "[SECRET]") ->
     rows = docs.join(found.select(F.col("uid").alias(uid), F.col("linked").alias(linked)), uid, "left")
     every = F.array_sort(F.concat(base, F.coalesce(linked, F.array().cast(_SPAN))))
     text = F.col("text")
-    # overlapping spans melt together: the text between what is covered so far and the next start is kept
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-    )
-    clean = F.aggregate(every, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    ends = lambda e: F.transform(e, lambda s: s["end"])
+    parts = _let(every, lambda e: F.struct(e.alias("spans"), ends(e).alias("ends"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)).alias("cuts")))
+
+    def clean_text(p: Column) -> Column:
+        """Overlapping spans melt together: text between what is covered so far and the next start is kept."""
+        covered = F.zip_with(p["spans"], _let(p["ends"], lambda e: _running(e, lambda x, y: F.greatest(x, y))), lambda s, at: F.struct(at.alias("at"), s["start"].alias("start")))
+        kept = F.transform(covered, lambda c: F.when(c["start"] >= c["at"], F.concat(_piece(p["cuts"], c["at"], c["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), _piece(p["cuts"], F.array_max(p["ends"]), F.char_length(text)))
+
+    clean = _let(parts, clean_text)
     return rows.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(text)).select(*documents.columns)

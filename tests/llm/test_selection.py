@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import importance as IR
 from lexmill.llm import language_id as LI
+from lexmill.llm import secret_scan as SS
 from lexmill.llm import spelling as SP
 from lexmill.llm.scratch import Scratch
 
@@ -226,3 +228,36 @@ def test_few_languages(spark):
     none = one.withColumn("lang", F.lit(None).cast("string"))
     assert {(r["lang_pred"], r["score"]) for r in LI.identify(spark, none).collect()} == {("und", 0.0)}
     assert LI.identify(spark, one.limit(0)).count() == 0
+
+
+def test_redact_is_brute_force(spark, monkeypatch):
+    """Overlapping, touching and repeated secrets, pieces shorter than secrets, characters beyond the basic plane."""
+    monkeypatch.setattr(SS, "CUT", 7)
+    rng = random.Random(9)
+    parts = ["AKIA" + "B" * 16, "token=" + "0123456789abcdef" * 3, "secret: AKIA" + "C" * 20, "plain 🎉 words", "é\n" * 9, "password=" + "x" * 30, "f" * 40]
+    texts = [rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(120)] + [None, "", "AKIA" + "B" * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x] for r in SS.secret_scan(spark, df).collect()}
+
+    def cleaned(text, found):
+        covered = sorted({i for a, b in found for i in range(a, b)})
+        starts, at, out = {i for i in covered}, 0, []
+        for a, b in sorted(found):
+            if a >= at:
+                out.append(text[at:a] + "[SECRET]")
+            at = max(at, b)
+        assert len("".join(out) + text[at:]) >= len(text) - len(starts)
+        return "".join(out) + text[at:]
+
+    got = {r["doc_id"]: r["text"] for r in SS.redact(spark, df).collect()}
+    assert got == {i: t if not spans[i] else cleaned(t, spans[i]) for i, t in enumerate(texts)}
+    assert sum(len(x) > 3 for x in spans.values()) > 30
+
+
+def test_redact_of_many_secrets_in_one_text(spark):
+    """The time follows the length of the text: it copies and scans no text for every secret."""
+    text = " ".join(f"word{i} token=abcdefgh{i:06d}" for i in range(100_000))
+    began = time.time()
+    (row,) = SS.redact(spark, spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["text"] == " ".join(f"word{i} [SECRET]" for i in range(100_000))
+    assert time.time() - began < 60
