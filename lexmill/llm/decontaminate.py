@@ -6,14 +6,18 @@ order of items, choose the first item that the terms' highest impacts can lift o
 item's block cannot, all cursors skip the block. A first screen asks the blocks of all passages of a stretch of text at once: terms
 so common that no item can reach the threshold by them alone are non-essential, and only passages for which the essential terms'
 block maxima can reach the threshold in some block get cursors. No item that reaches the threshold is missed. Hits are verified by
-the share of the item's question and of its answer (word 3-grams) that the passage has.
+the share of the item's question and of its answer (word 3-grams) that the passage has; a question or answer under three words must
+stand there as a phrase.
 
 Items are indexed whole. They are kept apart by length (powers of two); the passages for a length are windows of twice as many words,
 by half their length, so an item lies whole in one of them. Document frequencies and the mean length are those of all items. An
 index of ``SHARD_WORDS`` words of items is broadcast at a time; more items mean more passes, never a larger broadcast, and the same hits.
 
-Edge cases: null or empty texts and items match nothing; a question or answer under three words is replaced by the whole item; an
-item under ``FEW`` words can't be told from ordinary text and only matches a text of just these words; equal items are all reported;
+Words are runs of letters and digits of ASCII and of all characters beyond it, in lower case; in scripts that don't part words by
+spaces (SCRIPTS) every code point is a word.
+
+Edge cases: null or empty texts and items match nothing; a question or answer without a word is replaced by the whole item; an
+item under ``FEW`` words can't be told from ordinary text and only matches a text of just these words; equal texts are indexed once and all their ids reported, texts of one id each on its own;
 repeated rows are judged each on its own; extra columns are ignored; empty tables give no hits.
 """
 
@@ -30,7 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.textvec import grams, slices, words
+from lexmill.llm.scratch import Scratch
+from lexmill.llm.textvec import Words, buffer_of, grams, slices, words
 from lexmill.session import ship_code
 
 #: Share of the item's own score for retrieval; share of question and of answer 3-grams for a verified hit.
@@ -44,13 +49,15 @@ SPLIT = np.ones(256, dtype=bool)
 SPLIT[128:] = False
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     SPLIT[_a:_b] = False
+#: Scripts written without spaces between words, as RE2 names them.
+SCRIPTS = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"]
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def question_answer(text: str) -> tuple[str, str]:
     """An item's question and answer: after its last question mark, else its last sentence, else its second half."""
     q, mark, a = text.rpartition("?")
-    if mark and len(a.split()) >= 3:
+    if mark and any(map(str.isalnum, a)):
         return q + mark, a
     parts = _SENTENCE.split(text.strip())
     if len(parts) > 1 and len(parts[-1].split()) >= 3:
@@ -59,8 +66,16 @@ def question_answer(text: str) -> tuple[str, str]:
     return " ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])
 
 
+def _words(texts: pa.Array) -> Words:
+    texts = pc.utf8_lower(texts.cast(pa.large_string()))
+    data, _ = buffer_of(texts)
+    if len(data) and int(data.max()) >= 0xE0:  # what SCRIPTS are written in has three bytes at least
+        texts = pc.replace_substring_regex(texts, "([" + "".join(rf"\p{{{x}}}" for x in SCRIPTS) + "])", r" \1 ")
+    return words(texts, SPLIT)
+
+
 def _hashes(texts: list[str]) -> list[np.ndarray]:
-    w = words(pc.utf8_lower(pa.array(texts, pa.large_string())), SPLIT)
+    w = _words(pa.array(texts, pa.large_string()))
     return [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
@@ -68,8 +83,8 @@ def _order(item_id) -> tuple:
     return item_id is not None, item_id or 0
 
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    return np.unique(grams(SimpleNamespace(hash=h), 3)) if len(h) >= 3 else np.unique(h)
+def _grams(h: np.ndarray, k: int = 3) -> np.ndarray:
+    return np.unique(grams(SimpleNamespace(hash=h), k))
 
 
 @dataclass
@@ -103,8 +118,8 @@ class Group:
     block_max: np.ndarray
     essential: np.ndarray
     common: np.ndarray  # most that non-essential terms add, by block
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
+    question: list[tuple[int, np.ndarray]]  # words of a gram and grams
+    answer: list[tuple[int, np.ndarray]]
     step: int  # words of half a passage
 
 
@@ -154,7 +169,7 @@ def _group(step: int, items: list, stats: Statistics) -> Group:
     sides = []
     for _, t, h in items:
         qa = _hashes(list(question_answer(t)))
-        sides.append([_grams(x) for x in (qa if min(map(len, qa)) >= 3 else [h, h])])
+        sides.append([(k := min(3, len(x)), _grams(x, k)) for x in (qa if min(map(len, qa)) else [h, h])])
     block_at = np.searchsorted(key, np.arange(len(terms) + 1) * blocks)
     return Group([i for i, *_ in items], [h for *_, h in items], terms, at, item, impact, term_max, block_at, key % blocks, np.maximum.reduceat(impact, first), essential, common, [q for q, _ in sides], [a for _, a in sides], step)
 
@@ -228,7 +243,7 @@ def _screened(g: Group, half: np.ndarray, place: np.ndarray, term: np.ndarray) -
 
 def search(index: list[Group], texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
     """(row, item_id, score, question overlap, answer overlap) of verified hits, best passage of each text and item."""
-    w = words(pc.utf8_lower(texts.cast(pa.large_string())), SPLIT)
+    w = _words(texts)
     out: dict[tuple[int, int], tuple[float, float, float]] = {}
     if not len(w.hash):
         return []
@@ -244,12 +259,15 @@ def search(index: list[Group], texts: pa.Array) -> list[tuple[int, int, float, f
             a = int(w.first[d] + (p - base[d]) * g.step)
             b = min(a + 2 * g.step, int(w.first[d + 1]))
             t = np.unique(term[a:b])
-            have = None
+            have: dict[int, np.ndarray] = {}
             for j, score in wand(g, t[t >= 0], MATCH):
                 if len(g.hashes[j]) < FEW and not np.array_equal(w.hash[w.first[d] : w.first[d + 1]], g.hashes[j]):
                     continue
-                have = _grams(w.hash[a:b]) if have is None else have
-                share = [float(np.isin(x, have).mean()) for x in (g.question[j], g.answer[j])]
+                share = []
+                for k, x in (g.question[j], g.answer[j]):
+                    if k not in have:
+                        have[k] = _grams(w.hash[a:b], k)
+                    share.append(float(np.isin(x, have[k]).mean()))
                 if min(share) >= OVERLAP:
                     now = (score, *share)
                     out[d, g.item_id[j]] = max(out.get((d, g.item_id[j]), now), now)
@@ -268,9 +286,17 @@ def _item_terms(shards: int):
     return run
 
 
-def _indexes(spark: SparkSession, benchmark: DataFrame):
-    """Broadcasts of the index, ``SHARD_WORDS`` words of items at a time; statistics are those of all items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+def _items(spark: SparkSession, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id, text) of distinct texts, under numbers of their own, and (number, item_id) of all rows: however often a text comes,
+    an index holds it once."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    scratch = Scratch(spark, "items")
+    once = scratch.save(rows.select("text").distinct().select(F.monotonically_increasing_id().alias("item_id"), "text"), "distinct")
+    return once, once.select(F.col("item_id").alias("number"), "text").join(rows, "text").select("number", "item_id").distinct()
+
+
+def _indexes(spark: SparkSession, items: DataFrame):
+    """Broadcasts of the index, ``SHARD_WORDS`` words of items at a time; statistics are those of all distinct items."""
     rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not rows:
         return
@@ -309,11 +335,13 @@ def contamination(spark: SparkSession, documents: DataFrame, benchmark: DataFram
     ship_code(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
-    for index in _indexes(spark, benchmark):
+    out, (items, names) = None, _items(spark, benchmark)
+    for index in _indexes(spark, items):
         hits = docs.mapInArrow(_hits(index), schema)
         out = hits if out is None else out.unionByName(hits)
-    return spark.createDataFrame([], schema) if out is None else out
+    if out is None:
+        return spark.createDataFrame([], schema)
+    return out.withColumnRenamed("item_id", "number").join(names, "number").select(*[x.split()[0] for x in schema.split(", ")])
 
 
 def _clean(index):
@@ -330,6 +358,6 @@ def _clean(index):
 def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a test item; all columns stay."""
     ship_code(spark)
-    for index in _indexes(spark, benchmark):
+    for index in _indexes(spark, _items(spark, benchmark)[0]):
         documents = documents.mapInArrow(_clean(index), documents.schema)
     return documents
