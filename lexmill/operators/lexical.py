@@ -178,6 +178,26 @@ def default_collections(collections: DataFrame, names: list[str] | None = None,
     return collections.where(F.col("name").isin(names)) if names else collections.where("include_by_default")
 
 
+def holding(documents: DataFrame, texts: DataFrame, tokenizer=T.tokens) -> DataFrame:
+    """(query_id, document_id): documents whose content holds a whole text of ``texts`` (query_id, text).
+
+    The text's second to fourth token are whole tokens of any such document; documents with that gram are candidates, by equality, and
+    only they are searched. A text of under three tokens has no token that is surely whole: it is searched in all documents.
+    """
+    t = texts.select("query_id", "text", tokenizer(F.coalesce(F.col("text"), F.lit(""))).alias("t")).withColumn("size", F.least(F.lit(3), F.size("t") - 2))
+    asked = t.where("size > 0").select("query_id", "text", F.expr("array_join(slice(t, 2, size), ' ')").alias("gram"))
+    own = documents.select("document_id", tokenizer(F.coalesce(F.col("content"), F.lit(""))).alias("t"))
+    gram = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, F.lit(n)), " "))
+    sizes = [r["size"] for r in t.where("size > 0").select("size").distinct().collect()]  # three at most
+    grams = [F.when(F.size("t") >= n, gram(n)).otherwise(F.array().cast("array<string>")) for n in sizes]
+    bare = t.where("size <= 0 and text is not null").select("query_id", "text")
+    found = [] if not bare.limit(1).count() else [documents.join(bare, F.contains(F.col("content"), F.col("text"))).select("query_id", "document_id")]
+    if sizes:
+        near = own.select("document_id", F.explode(F.array_distinct(F.concat(*grams))).alias("gram")).join(asked, "gram").select("query_id", "text", "document_id")
+        found.append(near.join(documents.select("document_id", "content"), "document_id").where(F.contains(F.col("content"), F.col("text"))).select("query_id", "document_id"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1]) if found else t.select("query_id").where("false").join(documents.select("document_id").where("false"))
+
+
 def highlights(chunks: DataFrame, results: DataFrame, terms: DataFrame, most: int = 3, around: int = 50, documents: DataFrame | None = None) -> DataFrame:
     """(query_id, document_id, sequence, highlight): for the first matching chunks the first term's surroundings.
 

@@ -364,8 +364,7 @@ def evaluate_all(spark, d):
 def bench_fixture(spark, d):
     """A fixture whose relevant documents are those that hold the whole benchmark item."""
     items, docs = D.table(spark, d, "benchmark"), D.documents(spark, d)
-    # a stated query set against all rows: the items, counted and in blocks
-    held = vector.pairs(docs.select("document_id", "content"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))).where(F.contains("content", F.col("q")))
+    held = lexical.holding(docs, items.select(F.col("item_id").alias("query_id"), "text"))
     relevant = held.groupBy("query_id").agg(F.collect_list("document_id").alias("relevant_docids"))
     fixture = D.queries(spark, d).join(relevant, "query_id", "left").withColumn("relevant_docids", F.coalesce("relevant_docids", F.array().cast("array<bigint>")))
     row = maintain.rank_fixture(fixture, D.index(spark, d), stems=False)
