@@ -256,6 +256,28 @@ def concat_contexts(contexts: DataFrame) -> DataFrame:
     return contexts.groupBy("target_id").agg(text.alias("text"))
 
 
+def build_context(contexts: DataFrame, requests: DataFrame) -> DataFrame:
+    """(query_id, text) of requests (query_id, collection_ids, path_prefixes): all global contexts, then those of the collections in the
+    order asked, then those of paths below any of the prefixes, joined by blank lines; '' without any.
+
+    Contexts of a part stand by target and id. A path meets its prefixes by equality of heads of the lengths that prefixes have, once
+    however many of a request's prefixes hold it; an empty prefix holds every path. Null lists ask nothing.
+    """
+    kind = lambda k: contexts.where(F.col("context_type") == k).select("target_id", "context_id", "content")
+    part = lambda rows, p, place: rows.select("query_id", F.struct(F.lit(p).alias("part"), place.alias("place"), "target_id", "context_id", "content").alias("c"))
+    ids = requests.select("query_id").distinct()
+    asked = requests.select("query_id", F.posexplode("collection_ids").alias("place", "target_id"))
+    found = part(ids.crossJoin(kind("global")), 0, F.lit(0))  # every request has all of them
+    found = found.unionByName(part(asked.join(kind("collection"), "target_id"), 1, F.col("place")))
+    heads = requests.select("query_id", F.explode("path_prefixes").alias("head")).distinct().withColumn("size", F.length("head"))
+    sizes = heads.agg(F.array_sort(F.collect_set("size")).alias("sizes"))  # one row: the lengths that occur
+    paths = kind("path").crossJoin(sizes).withColumn("size", F.explode(F.filter("sizes", lambda s: s <= F.length("target_id"))))
+    below = paths.withColumn("head", F.expr("substring(target_id, 1, size)")).join(heads, ["head", "size"]).select("query_id", "target_id", "context_id", "content").distinct()
+    found = found.unionByName(part(below, 2, F.lit(0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["content"]), "\n\n")
+    return ids.join(found, "query_id", "left").groupBy("query_id").agg(text.alias("text"))
+
+
 def migrate_path_contexts(old: DataFrame, contexts: DataFrame) -> DataFrame:
     """The contexts with those of the legacy table (id, path, context, times) as path contexts."""
     rows = old.select(F.col("id").alias("context_id"), F.col("path").alias("target_id"), F.lit("path").alias("context_type"), F.col("context").alias("content"), "created_at", "updated_at")

@@ -139,8 +139,10 @@ def rerank(results: DataFrame, score: Column, top_k: int = 10, candidates: int |
 
 
 def rerank_text(title: Column, content: Column, highlight: Column) -> Column:
-    body = F.coalesce(content, highlight, F.lit(""))
-    return F.when(title.isNull() | (title == ""), body).otherwise(F.concat(title, F.lit("\n\n"), body))
+    """The content, or the highlight if it is null or empty, below the title; the title alone if there is neither."""
+    empty = lambda c: c.isNull() | (c == "")
+    body = F.when(~empty(content), content).otherwise(F.coalesce(highlight, F.lit("")))
+    return F.when(empty(title), body).when(body == "", title).otherwise(F.concat(title, F.lit("\n\n"), body))
 
 
 def yes_probability(yes: Column, no: Column) -> Column:
@@ -148,9 +150,14 @@ def yes_probability(yes: Column, no: Column) -> Column:
     return 1 / (1 + F.exp(no - yes))
 
 
-def create_reranker(model: str, scorers: dict):
-    """The scorer for a model's name: ``causal``, ``bi`` or ``cross`` from the caller's scorers."""
-    kind = "causal" if "qwen3-reranker" in model.lower() else "bi" if model.lower().endswith("gguf") else "cross" if model.startswith("sentence_transformers") else None
-    if kind is None or kind not in scorers:
-        raise ValueError(f"no reranker for {model}")
+def create_reranker(model: str, scorers: dict, model_type: str = "gguf"):
+    """The caller's scorer for a model: ``causal`` by its name, else ``bi`` or ``cross`` by ``model_type``."""
+    if "qwen3-reranker" in model.lower() or "qwen3_reranker" in model.lower():
+        kind = "causal"
+    else:
+        kind = {"gguf": "bi", "sentence_transformers": "cross"}.get(model_type)
+    if kind is None:
+        raise ValueError(f"unknown reranker type {model_type}")
+    if kind not in scorers:
+        raise ValueError(f"no {kind} scorer for {model}")
     return scorers[kind]

@@ -383,10 +383,13 @@ def yes_probability(spark, d):
     return e.select("vec_id", r6(fusion.yes_probability(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"))).alias("p"))
 
 
-@query(f"WITH {DOC} SELECT document_id, sha256(CASE WHEN document_id % 3 = 0 THEN '' WHEN document_id % 3 = 1 THEN title || chr(10) || chr(10) ELSE title || chr(10) || chr(10) END || CASE WHEN document_id % 3 = 2 THEN 'lit up' ELSE content END) AS body FROM doc")
+@query(f"""WITH {DOC}, x AS (SELECT document_id, [title, NULL, ''][document_id % 3 + 1] AS t, [content, NULL, '', content][document_id % 4 + 1] AS c, ['lit up', '', NULL][document_id % 5 % 3 + 1] AS h FROM doc),
+y AS (SELECT *, CASE WHEN coalesce(c, '') <> '' THEN c ELSE coalesce(h, '') END AS b FROM x) SELECT document_id, sha256(CASE WHEN coalesce(t, '') = '' THEN b WHEN b = '' THEN t ELSE t || chr(10) || chr(10) || b END) AS body FROM y""")
 def rerank_text(spark, d):
-    k = F.col("document_id") % 3
-    text = fusion.rerank_text(F.when(k > 0, F.col("title")), F.when(k < 2, F.col("content")), F.lit("lit up"))
+    """Titles, contents and highlights that are there, null and empty."""
+    pick = lambda n, *xs: F.get(F.array(*xs), n.cast("int"))
+    i, null, empty = F.col("document_id"), F.lit(None).cast("string"), F.lit("")
+    text = fusion.rerank_text(pick(i % 3, F.col("title"), null, empty), pick(i % 4, F.col("content"), null, empty, F.col("content")), pick(i % 5 % 3, F.lit("lit up"), empty, null))
     return D.documents(spark, d).select("document_id", F.sha2(text, 256).alias("body"))
 
 
@@ -708,6 +711,25 @@ def context_concat(spark, d):
     return catalog.concat_contexts(c.unionByName(again))
 
 
+@query(f"""WITH {DOC}, c AS (SELECT 'g' || document_id AS id, 'all' || document_id % 3 AS target, 'global' AS kind, 'everywhere ' || document_id AS content FROM doc WHERE document_id % 400 = 1
+UNION ALL SELECT DISTINCT 'c' || collection_id, collection_id, 'collection', 'of ' || collection_id FROM doc UNION ALL SELECT 'p' || document_id, path, 'path', 'of file ' || document_id FROM doc WHERE document_id % 7 = 0),
+r AS (SELECT item_id AS query_id, ['src' || item_id % 5, 'nowhere', 'src' || item_id % 3] AS cs, CASE item_id % 4 WHEN 0 THEN ['src' || item_id % 20 || '/en/', 'src' || item_id % 20] WHEN 1 THEN ['src' || item_id % 20 || '/de/', 'src1/fr/', 'none/'] WHEN 2 THEN [] END AS ps FROM benchmark),
+p AS (SELECT query_id, 0 AS part, 0 AS place, target, id, content FROM r, c WHERE kind = 'global' UNION ALL SELECT query_id, 1, place, target, id, content FROM (SELECT query_id, unnest(cs) AS wanted, unnest(range(len(cs))) AS place FROM r) JOIN c ON wanted = target AND kind = 'collection'
+UNION ALL SELECT query_id, 2, 0, target, id, content FROM r, c WHERE kind = 'path' AND len(list_filter(ps, lambda x: starts_with(target, x))) > 0)
+SELECT r.query_id, coalesce(string_agg(content, chr(10) || chr(10) ORDER BY part, place, target, id), '') AS text FROM r LEFT JOIN p ON p.query_id = r.query_id GROUP BY 1""")
+def context_build(spark, d):
+    """Contexts of nested paths, collections and all, for collections and path prefixes that repeat, overlap or have none."""
+    docs, n = D.documents(spark, d), F.col("item_id")
+    row = lambda i, t, k, c: [i.alias("context_id"), t.alias("target_id"), F.lit(k).alias("context_type"), c.alias("content")]
+    every = docs.where("document_id % 400 = 1").select(*row(F.concat(F.lit("g"), "document_id"), F.concat(F.lit("all"), F.col("document_id") % 3), "global", F.concat(F.lit("everywhere "), "document_id")))
+    of = D.collections(spark, d).select(*row(F.concat(F.lit("c"), "collection_id"), F.col("collection_id"), "collection", F.concat(F.lit("of "), "collection_id")))
+    own = docs.where("document_id % 7 = 0").select(*row(F.concat(F.lit("p"), "document_id"), F.col("path"), "path", F.concat(F.lit("of file "), "document_id")))
+    src = lambda m, end="": F.concat(F.lit("src"), n % m, F.lit(end))
+    prefixes = F.when(n % 4 == 0, F.array(src(20, "/en/"), src(20))).when(n % 4 == 1, F.array(src(20, "/de/"), F.lit("src1/fr/"), F.lit("none/"))).when(n % 4 == 2, F.array().cast("array<string>"))
+    asked = D.table(spark, d, "benchmark").select(n.alias("query_id"), F.array(src(5), F.lit("nowhere"), src(3)).alias("collection_ids"), prefixes.alias("path_prefixes"))
+    return catalog.build_context(every.unionByName(of).unionByName(own), asked)
+
+
 @query(f"WITH {DOC}, {CTX}, o AS (SELECT 'm' || document_id AS context_id, path AS target_id, 'path' AS context_type, 'old' AS content FROM doc WHERE document_id % 11 = 0) SELECT context_id, target_id, context_type, content FROM ctx UNION ALL SELECT * FROM o")
 def migrate_path_contexts(spark, d):
     t = F.timestamp_seconds(F.lit(0))

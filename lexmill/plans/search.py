@@ -43,13 +43,14 @@ def legs(spark: SparkSession, documents: DataFrame, embeddings: DataFrame | None
     return lex, vector.knn(embeddings, q.select("query_id", "embedding"), most, options.metric, allowed, options.filter_mode, options.min_score)
 
 
-def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, options: SearchOptions | None = None, embeddings: DataFrame | None = None, collections: DataFrame | None = None, contexts: DataFrame | None = None, embed=None, generator=None, reranker=None, index: lexical.Index | None = None) -> DataFrame:
+def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, options: SearchOptions | None = None, embeddings: DataFrame | None = None, collections: DataFrame | None = None, contexts: DataFrame | None = None, embed=None, generator=None, reranker=None, index: lexical.Index | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """Routes each query by its prefix, expands it, fuses both legs of every variant and then the variants, reranks the
     candidates, and attaches a snippet and contexts.
 
     queries: (query_id, query, optional intent). ``embed``: queries -> queries with embedding. ``generator``: a Column function from
     prompt to answer for ``hyde:`` queries. ``reranker``: a Column function of (query, text).
-    ``index``: the documents' stored index; without one their texts are tokenised for this search.
+    ``index``: the documents' stored index; without one their texts are tokenised for this search. ``chunks`` (document_id, sequence,
+    content): a candidate without content is reranked by its first highlight among them.
     """
     o = options or SearchOptions()
     q = queries if "intent" in queries.columns else queries.withColumn("intent", F.lit(None).cast("string"))
@@ -83,7 +84,12 @@ def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, option
     rows = rows.withColumn("score", F.when(F.col("variants") == 1, F.col("score")).otherwise(F.col("rrf_score")))
     rows = rows.join(documents.select("document_id", "title", "path", "collection_id", "content"), "document_id").join(q.select("query_id", "query"), "query_id")
     if reranker is not None:
-        rows = fusion.rerank(rows, fusion.sigmoid(reranker(F.col("query"), fusion.rerank_text(F.col("title"), F.col("content"), F.lit("")))), o.limit, o.candidate_limit)
+        lit = F.lit("")
+        if chunks is not None:
+            marked = lexical.highlights(chunks, rows, lexical.query_terms(q.select("query_id", "query")), most=1)
+            rows = rows.join(marked.select("query_id", "document_id", "highlight"), ["query_id", "document_id"], "left")
+            lit = F.col("highlight")
+        rows = fusion.rerank(rows, fusion.sigmoid(reranker(F.col("query"), fusion.rerank_text(F.col("title"), F.col("content"), lit))), o.limit, o.candidate_limit)
         rows = rows.withColumn("rank", F.col("new_rank"))
     rows = rows.where(F.col("rank") <= o.limit)
     rows = rows.withColumn("snippet", snippets.snippets(F.col("content"), F.split("query", r"\s+")))
