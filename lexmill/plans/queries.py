@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.functions import vectors as V
-from lexmill.operators import catalog, chunking, evaluation, fusion, lexical, snippets, vector
+from lexmill.operators import catalog, chunking, evaluation, fusion, lexical, scoring, snippets, vector
 from lexmill.plans import maintain
 from lexmill.plans import search as S
 from lexmill.plans import tables as D
@@ -377,6 +377,20 @@ def with_intent(spark, d):
     return rows.select(F.col("item_id").alias("query_id"), fusion.with_intent(F.col("text"), F.col("intent")).alias("query"))
 
 
+PROMPT = "'<Instruct>: Given a web search query, retrieve relevant passages that answer the query' || chr(10) || '<Query>: ' || query || chr(10) || '<Document>: ' || content"
+
+
+@query(LEX + f""", pr AS (SELECT query_id, document_id, {PROMPT} AS prompt FROM (SELECT query_id, document_id, array_to_string(t, ' ') AS query, text AS content FROM lex JOIN documents ON doc_id = document_id JOIN q0 USING (query_id))),
+tk AS (SELECT query_id, document_id, list_transform(string_split(prompt, ' ')[1:128], lambda x: length(x)) AS t FROM pr)
+SELECT query_id, document_id, round(1 / (1 + exp((len(t) % 5 - list_sum(t)::BIGINT % 7)::DOUBLE)), 6) AS p FROM tk""")
+def rerank_pairs(spark, d):
+    """Top results beside their queries through the causal scorer's contract, with logits from token lengths."""
+    docs, q = D.documents(spark, d), D.queries(spark, d)
+    rows = _search(spark, d).select("query_id", "document_id").join(docs.select("document_id", "content"), "document_id").join(q, "query_id")
+    scorer = scoring.pair_scores(lambda: scoring.CausalScorer(lambda text: [len(x) for x in text.split(" ")], lambda batch: [(len(x) % 5, sum(x) % 7) for x in batch]), most=128)
+    return rows.select("query_id", "document_id", r6(fusion.sigmoid(scorer(F.col("query"), C()))).alias("p"))
+
+
 @query("SELECT vec_id, round(exp(embedding[1]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE)), 6) AS p FROM embeddings")
 def yes_probability(spark, d):
     e = D.table(spark, d, "embeddings")
@@ -570,7 +584,18 @@ def chunk_auto(spark, d):
     return chunking.chunk_documents(D.headed(spark, d), "auto")
 
 
-@query()
+SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+
+
+@query(LEX.replace("WITH ", "WITH RECURSIVE ", 1) + rf""", sn AS (SELECT query_id, doc_id AS document_id, text, t, {SENTENCES.format("text")} AS p FROM lex JOIN documents ON doc_id = document_id JOIN q0 USING (query_id)),
+sl AS (SELECT query_id, document_id, text, p, list_transform(p, lambda x: length(x)) AS l, list_transform(p, lambda x: list_sum(list_transform(t, lambda y: length(x) - length(replace(lower(x), y, ''))))::BIGINT) AS s FROM sn),
+sx AS (SELECT query_id, document_id, list_position(s, list_max(s)) AS lo, list_position(s, list_max(s)) AS hi, l[list_position(s, list_max(s))] AS size, 0 AS step FROM sl WHERE len(p) > 1 AND list_max(s) > 0),
+gr AS (SELECT * FROM sx UNION ALL (SELECT query_id, document_id, lo2, CASE WHEN hi < len(l) AND size2 + l[hi + 1] + 1 <= 300 THEN hi + 1 ELSE hi END AS hi, size2 + CASE WHEN hi < len(l) AND size2 + l[hi + 1] + 1 <= 300 THEN l[hi + 1] + 1 ELSE 0 END, step + 1
+ FROM (SELECT gr.*, l, CASE WHEN lo > 1 AND size + l[lo - 1] + 1 <= 300 THEN lo - 1 ELSE lo END AS lo2, size + CASE WHEN lo > 1 AND size + l[lo - 1] + 1 <= 300 THEN l[lo - 1] + 1 ELSE 0 END AS size2 FROM gr JOIN sl USING (query_id, document_id))
+ WHERE lo2 < lo OR (hi < len(l) AND size2 + l[hi + 1] + 1 <= 300))),
+en AS (SELECT query_id, document_id, max(step) AS step FROM gr GROUP BY ALL), wi AS (SELECT * FROM gr JOIN en USING (query_id, document_id, step)),
+bo AS (SELECT sl.query_id, sl.document_id, lo, hi, len(p) AS n, CASE WHEN lo IS NULL THEN text ELSE array_to_string(p[lo:hi], ' ') END AS b FROM sl LEFT JOIN wi USING (query_id, document_id))
+SELECT query_id, document_id, (CASE WHEN lo > 1 THEN '...' ELSE '' END) || (CASE WHEN length(b) <= 300 THEN b ELSE substring(b, 1, 297) || '...' END) || (CASE WHEN hi < n THEN '...' ELSE '' END) AS snippet FROM bo""")
 def smart_snippet(spark, d):
     docs, q = D.documents(spark, d), D.queries(spark, d)
     top = _search(spark, d).join(docs.select("document_id", "content"), "document_id").join(q, "query_id")

@@ -92,7 +92,7 @@ def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, option
         rows = fusion.rerank(rows, fusion.sigmoid(reranker(F.col("query"), fusion.rerank_text(F.col("title"), F.col("content"), lit))), o.limit, o.candidate_limit)
         rows = rows.withColumn("rank", F.col("new_rank"))
     rows = rows.where(F.col("rank") <= o.limit)
-    rows = rows.withColumn("snippet", snippets.snippets(F.col("content"), F.split("query", r"\s+")))
+    rows = rows.withColumn("snippet", snippets.snippets(F.col("content"), F.split("query", r"\s+"), o.snippet_max_length))
     out = ["query_id", "document_id", "title", "path", "collection_id", "score", "bm25_score", "vector_score", "rank", "snippet", *(["content"] if o.include_content else [])]
     rows = rows.select(*out)
     return rows if contexts is None else lexical.attach_contexts(rows, contexts)

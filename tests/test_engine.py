@@ -133,14 +133,6 @@ def test_chunkers(spark):
         chunking.chunk_documents(df, "other")
 
 
-def test_snippets():
-    text = "First one here. The cat sat. Another line follows. End."
-    assert snippets.snippet(text, ["cat"], 30) == "First one here. The cat sat...."
-    assert snippets.snippet("short", ["x"]) == "short"
-    assert snippets.snippet("", ["x"]) == "" and snippets.snippet(None, []) == ""
-    assert len(snippets.snippet("word " * 200, ["zzz"], 100)) == 100
-
-
 def test_text_functions(spark):
     row = spark.createDataFrame([("  a \n b ", "Hello, World!  Foo", "x/y.TXT", "é" * 10)], "a string, b string, p string, u string").select(
         T.normalize_text(F.col("a")).alias("n"), T.slugify(F.col("b")).alias("s"), T.stem(F.col("p")).alias("st"), T.suffix(F.col("p")).alias("x"), T.truncate_bytes(F.col("u"), 19).alias("u")
