@@ -84,13 +84,40 @@ def doc_lengths(spark, d):
 
 @query(f"WITH {TOK} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT sum(len)::BIGINT FROM dl) AS n_tokens FROM st")
 def corpus_stats(spark, d):
-    s = lexical.corpus_stats(lexical.doc_lengths(D.documents(spark, d)))
-    return s.withColumn("avgdl", r6("avgdl"))
+    return D.index(spark, d).stats.withColumn("avgdl", r6("avgdl"))
 
 
 @query(f"WITH {TOK} SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY token")
 def term_df(spark, d):
-    return lexical.term_df(lexical.postings(D.documents(spark, d)))
+    return D.index(spark, d).vocabulary.select("token", "df", "cf")
+
+
+CHANGED = "documents2 AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN text || ' the of extra' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 4 OR doc_id % 10 = 1)"
+TOK2 = TOK.replace("FROM documents", "FROM documents2")
+
+
+@query(f"WITH {CHANGED}, {TOK2}{QT}{SCORE} SELECT query_id, document_id, round(bm25, 6) AS bm25, rank FROM (SELECT *, {RANK} AS rank FROM sc) WHERE rank <= 10")
+def index_updates(spark, d):
+    """A search of the durable index after documents were added, replaced and deleted: scores are those of an index built anew."""
+    top = lexical.bm25_search(None, D.queries(spark, d), index=D.changed_index(spark, d).index(), stems=False)
+    return top.select("query_id", "document_id", r6("bm25").alias("bm25"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {CHANGED}, {TOK2} SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY token")
+def index_vocabulary(spark, d):
+    return D.changed_index(spark, d).index().vocabulary.select("token", "df", "cf")
+
+
+@query(f"WITH {CHANGED}, {TOK2} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT sum(len)::BIGINT FROM dl) AS n_tokens FROM st")
+def index_statistics(spark, d):
+    return D.changed_index(spark, d).index().stats.select("n_docs", r6("avgdl").alias("avgdl"), "n_tokens")
+
+
+@query(f"WITH {CHANGED}, {TOK2} SELECT doc_id AS document_id, token, tf, len FROM post JOIN dl USING (doc_id)")
+def index_compacted(spark, d):
+    """All postings of the version that compaction publishes."""
+    store = D.changed_index(spark, d)
+    return store.index(store.compact()).postings.select("document_id", "token", "tf", "len")
 
 
 @query(BM25 + " SELECT query_id, document_id FROM sc")

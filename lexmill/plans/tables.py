@@ -42,6 +42,19 @@ def _built(spark: SparkSession, path: str, rows: DataFrame, key: str = "document
     return store.index()
 
 
+def changed_index(spark: SparkSession, d: str) -> IndexStore:
+    """A durable index of four fifths of the documents, to which the rest was added while some were replaced and others deleted."""
+
+    def make(s) -> IndexStore:
+        store, rows = IndexStore(spark, s.base), documents(spark, d)
+        store.write(rows.where("document_id % 5 < 4"))
+        more = F.when(F.col("document_id") % 10 == 1, F.concat("content", F.lit(" the of extra"))).otherwise(F.col("content"))
+        store.write(rows.where("document_id % 5 = 4 or document_id % 10 = 1").withColumn("content", more), rows.where("document_id % 7 = 0").select("document_id"))
+        return store
+
+    return once(spark, f"{d}/changed", make)
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_strided(documents(spark, d)).withColumn("chunk_id", F.col("document_id") * 100000 + F.col("sequence"))
 
