@@ -84,6 +84,35 @@ def set_enabled(old: DataFrame, name: str, enabled: bool) -> DataFrame:
     return update(old, F.col("name") == name, {"include_by_default": F.lit(enabled)})
 
 
+def change_paths(old: DataFrame, name: str, add: list[str] | None = None, remove: list[str] | None = None) -> DataFrame:
+    """A collection's ``paths`` (an array) with some added, once each and at the end, and others removed. One that isn't there raises."""
+    found = old.where(F.col("name") == name).select("paths").collect()
+    if not found:
+        raise ValueError(f"no collection {name}")
+    have = found[0]["paths"] or []
+    if lost := [p for p in remove or [] if p not in have]:
+        raise ValueError(f"{name} has no path {lost[0]}")
+    paths = [p for p in dict.fromkeys([*have, *(add or [])]) if p not in (remove or [])]
+    return update(old, F.col("name") == name, {"paths": F.array(*[F.lit(p) for p in paths]).cast("array<string>")})
+
+
+def show_collection(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """A collection's row with its numbers of documents, chunks and bytes; none of that name raises."""
+    row = tables["collections"].where(F.col("name") == name)
+    if row.isEmpty():
+        raise ValueError(f"no collection {name}")
+    docs = tables["documents"].join(row.select("collection_id"), "collection_id", "left_semi")
+    sizes = docs.agg(F.count("*").alias("n_documents"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("n_bytes"))
+    chunks = tables["chunks"].join(docs.select("document_id"), "document_id", "left_semi").agg(F.count("*").alias("n_chunks"))
+    return row.crossJoin(sizes).crossJoin(chunks)  # one row each
+
+
+def existing(rows: DataFrame, wanted: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, there) for every distinct wanted key."""
+    have = rows.select(key).distinct().withColumn("there", F.lit(True))
+    return wanted.select(key).distinct().join(have, key, "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
 def drop_collection(tables: dict[str, DataFrame], collection_id: str) -> dict[str, DataFrame]:
     """Cascade: the collection, its documents, and their chunks and embeddings."""
     gone = tables["documents"].where(F.col("collection_id") == collection_id).select("document_id")
@@ -244,6 +273,23 @@ def without_orphans(rows: DataFrame, documents: DataFrame, key: str = "document_
     return rows.join(documents.select(F.col("document_id").alias(key)).distinct(), key, "left_semi")
 
 
+def cleanup(tables: dict[str, DataFrame], now: datetime | Column) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the tables without orphaned chunks and embeddings and without expired cache entries, a row with how many of each go)."""
+    out, gone = dict(tables), []
+    for name in ("chunks", "embeddings"):
+        if name in tables:
+            out[name] = without_orphans(tables[name], tables["documents"])
+            gone.append((name, orphans(tables[name], tables["documents"])))
+    if "llm_cache" in tables:
+        out["llm_cache"] = live(tables["llm_cache"], now)
+        gone.append(("llm_cache", expired(tables["llm_cache"], now)))
+    report = None
+    for name, rows in gone:
+        one = rows.agg(F.count("*").alias(f"{name}_removed"))
+        report = one if report is None else report.crossJoin(one)  # one row each
+    return out, report
+
+
 def prune_contexts(contexts: DataFrame, documents: DataFrame) -> DataFrame:
     """Contexts without those of paths that no document has."""
     gone = contexts.where("context_type = 'path'").join(documents.select(F.col("path").alias("target_id")).distinct(), "target_id", "left_anti").select("context_id")

@@ -574,14 +574,14 @@ def chunk_strided(spark, d):
 
 @query("SELECT conv_id AS document_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence, sha256(trim('# ' || role || ' ' || turn || chr(10) || trim(text, ' '), ' ' || chr(10) || chr(9) || chr(13))) AS body FROM conversations")
 def chunk_markdown(spark, d):
-    c = chunking.split_headed(D.headed(spark, d))
+    c = chunking.chunk_documents(D.headed(spark, d), "markdown")
     return c.select("document_id", F.col("sequence").cast("long").alias("sequence"), F.sha2("content", 256).alias("body"))
 
 
 @query("SELECT conv_id AS document_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence, sha256(trim('def ' || role || ' ' || turn || chr(10) || trim(text, ' '), ' ' || chr(10) || chr(9) || chr(13))) AS body FROM conversations")
 def chunk_code(spark, d):
     docs = D.headed(spark, d).withColumn("content", F.regexp_replace("content", "(?m)^# ", "def "))
-    c = chunking.split_headed(docs, r"(?m)(?=^(?:def|class)\s)", r"^(def|class)\s")
+    c = chunking.chunk_documents(docs, "code")
     return c.select("document_id", F.col("sequence").cast("long").alias("sequence"), F.sha2("content", 256).alias("body"))
 
 
@@ -632,6 +632,21 @@ def smart_snippet(spark, d):
 # ---- catalog and maintenance
 
 
+@query(f"""{LEX}, {DOC}, res AS (SELECT query_id, rank, document_id, title, path FROM lex JOIN doc USING (document_id)), whole AS (SELECT query_id, string_agg('| ' || rank || ' | ' || document_id || ' | ' || replace(coalesce(title, ''), '|', '\\|') || ' | ' || path || ' |', chr(10) ORDER BY rank) AS x, string_agg(path, chr(10) ORDER BY rank) AS p FROM res GROUP BY 1)
+SELECT query_id, 'md' AS kind, '## Results' || chr(10) || chr(10) || '| rank | document_id | title | path |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || x AS document FROM whole UNION ALL SELECT query_id, 'files', p FROM whole""")
+def output_documents(spark, d):
+    rows = _search(spark, d).select("query_id", "rank", "document_id", "title", "path")
+    one = lambda k: sinks.result_documents(rows, k, ["rank", "document_id", "title", "path"], title="Results").select("query_id", F.lit(k).alias("kind"), "document")
+    return one("md").unionByName(one("files"))
+
+
+@query("WITH kept AS (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) SELECT (SELECT count(*) FROM conversations WHERE conv_id NOT IN (FROM kept)) AS chunks_removed, (SELECT count(*) FROM embeddings WHERE vec_id // 2 NOT IN (FROM kept)) AS embeddings_removed, (SELECT count(*) FROM events WHERE ts <= TIMESTAMP '2024-01-01 12:00:00') AS llm_cache_removed")
+def cleanup_report(spark, d):
+    """One call over documents of which a third are gone, conversations as chunks, events as cache entries that run out at their time."""
+    tables = {"documents": D.documents(spark, d).where("document_id % 3 > 0"), "chunks": D.table(spark, d, "conversations").withColumnRenamed("conv_id", "document_id"), "embeddings": D.embeddings(spark, d), "llm_cache": D.table(spark, d, "events").withColumnRenamed("ts", "expires_at")}
+    return catalog.cleanup(tables, F.to_timestamp(F.lit("2024-01-01 12:00:00")))[1]
+
+
 @query(f"WITH {DOC}, {COLL} SELECT 'n_collections' AS metric, count(*) AS value FROM coll UNION ALL SELECT 'n_documents', count(*) FROM doc UNION ALL SELECT 'n_embeddings', count(*) FROM embeddings UNION ALL SELECT 'total_bytes', sum(file_size)::BIGINT FROM doc")
 def index_status(spark, d):
     return catalog.status({"collections": D.collections(spark, d), "documents": D.documents(spark, d), "embeddings": D.embeddings(spark, d)})

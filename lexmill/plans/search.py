@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import catalog, fusion, lexical, snippets, vector
+from lexmill.sources import files
 
 
 @dataclass(frozen=True)
@@ -25,9 +26,12 @@ class SearchOptions:
     filter_mode: str = "post"
     dedup_lists: bool = False
     stems: bool = True
+    k1: float = lexical.K1
+    b: float = lexical.B
+    rerank_top_k: int = 100
 
     def __post_init__(self):
-        for name, low, high in (("limit", 1, 100), ("candidate_limit", 1, 200), ("rrf_k", 1, 10**6), ("expansion_factor", 1, 10), ("max_highlights", 0, 100)):
+        for name, low, high in (("limit", 1, 100), ("offset", 0, 10**6), ("candidate_limit", 1, 200), ("k1", 0.1, 3.0), ("b", 0.1, 1.0), ("rerank_top_k", 1, 100), ("rrf_k", 1, 10**6), ("expansion_factor", 1, 10), ("max_highlights", 0, 100)):
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must lie between {low} and {high}")
 
@@ -35,7 +39,7 @@ class SearchOptions:
 def legs(spark: SparkSession, documents: DataFrame, embeddings: DataFrame | None, queries: DataFrame, options: SearchOptions, collections: DataFrame | None = None, embed=None, index: lexical.Index | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(lexical, vector) results of queries (query_id, query), each (query_id, document_id, score, rank)."""
     most = max(options.limit, options.candidate_limit)
-    lex = lexical.bm25_search(documents, queries, most, 0, collections, options.min_score, index, stems=options.stems)
+    lex = lexical.bm25_search(documents, queries, most, 0, collections, options.min_score, index, stems=options.stems, k1=options.k1, b=options.b)
     if embeddings is None:
         return lex, None
     q = embed(queries) if embed else vector.embed_texts(queries, dimension=384, text="query")
@@ -89,7 +93,7 @@ def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, option
             marked = lexical.highlights(chunks, rows, lexical.query_terms(q.select("query_id", "query")), most=1)
             rows = rows.join(marked.select("query_id", "document_id", "highlight"), ["query_id", "document_id"], "left")
             lit = F.col("highlight")
-        rows = fusion.rerank(rows, fusion.sigmoid(reranker(F.col("query"), fusion.rerank_text(F.col("title"), F.col("content"), lit))), o.limit, o.candidate_limit)
+        rows = fusion.rerank(rows, fusion.sigmoid(reranker(F.col("query"), fusion.rerank_text(F.col("title"), F.col("content"), lit))), min(o.limit, o.rerank_top_k), o.candidate_limit)
         rows = rows.withColumn("rank", F.col("new_rank"))
     rows = rows.where(F.col("rank") <= o.limit)
     rows = rows.withColumn("snippet", snippets.snippets(F.col("content"), F.split("query", r"\s+"), o.snippet_max_length))
@@ -106,8 +110,12 @@ def call_query(spark: SparkSession, documents: DataFrame, text: str, **how) -> D
 
 
 def call_get(spark: SparkSession, documents: DataFrame, wanted: str, first: int = 1, n: int | None = None, numbers: bool = False) -> DataFrame:
+    """The lines of a document by id, path or file name, else of the file at that place (path, content), if there is one; else none."""
     hit = catalog.lookup(documents, spark.createDataFrame([(wanted,)], "wanted string"))
-    return catalog.get_lines(documents.join(hit.select("document_id"), "document_id", "left_semi"), first, n, numbers)
+    found = documents.join(hit.select("document_id"), "document_id", "left_semi")
+    if hit.isEmpty() and files.is_file(spark, wanted):
+        found = files.read_text(spark, wanted)
+    return catalog.get_lines(found, first, n, numbers)
 
 
 def call_multi_get(documents: DataFrame, pattern: str, max_bytes: int = 100 * 1024) -> DataFrame:

@@ -108,3 +108,18 @@ def read_fixture(spark: SparkSession, path: str) -> DataFrame:
     own = F.col("q.collections") if "collections" in have else F.lit(None).cast("array<string>")
     return rows.select(F.col("query_id").cast("long").alias("query_id"), F.col("q.query").alias("query"), F.col("q.relevant_docids").alias("relevant_docids"), own.alias("collections"))
 
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file systems have a file of that name."""
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.exists(place) and fs.getFileStatus(place).isFile())
+    except Exception:  # not a path of any file system
+        return False
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of one file."""
+    return spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("content"))
