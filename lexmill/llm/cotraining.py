@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.decontaminate import SPLIT
 from lexmill.llm.scratch import Scratch
-from lexmill.llm.textvec import SPACE, slices, words
+from lexmill.llm.textvec import SPACE, slices, tidy, words
 from lexmill.session import ship_code
 
 #: Labelled documents that the models are fitted on at most.
@@ -311,16 +311,16 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, scratch: S
     found = docs.join(F.broadcast(ids), "doc_id")
     row = F.struct(F.xxhash64("text").alias("h"), *found.columns)
     one = found.groupBy("doc_id").agg(F.min(row).alias("r")).select("r.*").select(*found.columns)
-    sampled = Labelled(one.mapInArrow(_sampled, "doc_id long, good int, cells array<int>, shape array<float>, meta array<int>").toArrow().sort_by("doc_id"))
+    sampled = Labelled(one.mapInArrow(tidy(_sampled), "doc_id long, good int, cells array<int>, shape array<float>, meta array<int>").toArrow().sort_by("doc_id"))
     if not sampled.both:
         return Model(), None
     first = spark.sparkContext.broadcast(sampled.model)
-    features = scratch.save(docs.join(F.broadcast(ids), "doc_id", "left").mapInArrow(_store(first), STORED), "features")
+    features = scratch.save(docs.join(F.broadcast(ids), "doc_id", "left").mapInArrow(tidy(_store(first)), STORED), "features")
 
     def sums(model: Model, directions) -> dict:
         now = spark.sparkContext.broadcast((model, directions))
         out: dict = {}
-        summed = features.mapInArrow(_sums(now), "view int, label int, at int, x double").groupBy("view", "label", "at").agg(F.sum("x").alias("x"))
+        summed = features.mapInArrow(tidy(_sums(now)), "view int, label int, at int, x double").groupBy("view", "label", "at").agg(F.sum("x").alias("x"))
         for r in summed.orderBy("view", "label", "at").collect():  # a few numbers for each weight
             out.setdefault((r["view"], r["label"]), []).append(r["x"])
         now.unpersist()
@@ -350,7 +350,7 @@ def classify(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> Da
     model, features = fit(spark, documents, labels, Scratch(spark, "classifier"))
     if features is None:
         return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.5).alias("score"), F.lit(True).alias("kept"))
-    return features.mapInArrow(_scores(spark.sparkContext.broadcast(model)), "doc_id long, score double, kept boolean")
+    return features.mapInArrow(tidy(_scores(spark.sparkContext.broadcast(model))), "doc_id long, score double, kept boolean")
 
 
 def _kept(model, places: list[int]):
@@ -374,4 +374,4 @@ def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> D
     if features is None:
         return documents
     places = [documents.columns.index(c) for c in ("doc_id", "text", "lang", "source", "n_chars")]
-    return documents.mapInArrow(_kept(spark.sparkContext.broadcast(model), places), documents.schema)
+    return documents.mapInArrow(tidy(_kept(spark.sparkContext.broadcast(model), places)), documents.schema)

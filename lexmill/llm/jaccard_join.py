@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.graph import components
 from lexmill.llm.scratch import Scratch
-from lexmill.llm.textvec import mix, shingle_sets, slices, words
+from lexmill.llm.textvec import mix, shingle_sets, slices, tidy, words
 
 #: Cells of the frequency sketch (bytes of one broadcast), tokens counted at once, least count that is noted.
 SKETCH_BITS, SKETCH_TOKENS, SKETCH_LEAST = 22, 2_000_000, 3
@@ -76,7 +76,7 @@ def _count_local(k: int):
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     """log2 of the counts of frequent tokens by cell: 2**SKETCH_BITS bytes whatever the input."""
-    counts = docs.mapInArrow(_count_local(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(tidy(_count_local(k)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     found = counts.select("cell", F.floor(F.log2(F.col("n"))).cast("byte").alias("level")).toArrow()
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     out[found.column("cell").to_numpy()] = np.minimum(found.column("level").to_numpy(), 63)
@@ -410,7 +410,7 @@ def jaccard_join(spark: SparkSession, documents: DataFrame, percent: int = 80, k
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sc = spark.sparkContext
 
-    feats = scratch.save(docs.mapInArrow(_features(k), "doc_id long, c long, n long, keys array<long>, bits binary"), "features")
+    feats = scratch.save(docs.mapInArrow(tidy(_features(k)), "doc_id long, c long, n long, keys array<long>, bits binary"), "features")
     cls = feats.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"), F.count("*").alias("w"), F.min("n").alias("n"), F.max("bits").alias("bits"))
     cls = scratch.save(cls, "classes")
 
@@ -430,8 +430,8 @@ def jaccard_join(spark: SparkSession, documents: DataFrame, percent: int = 80, k
     prefixes = cls.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), F.lit(0)).cast("long")).first()[0]
     pieces = max(2 * parts, -(-prefixes // PART_TOKENS))
     order = sc.broadcast(_sketch(docs, k))
-    dealt = docs.mapInArrow(_token_blocks(k, percent, order, pieces), "part long, t binary, c binary").repartition(max(parts, pieces // 2), "part").sortWithinPartitions("part")
-    hits = scratch.save(dealt.mapInArrow(_shared_tokens, "token long, c long"), "hits").join(members, "c")
+    dealt = docs.mapInArrow(tidy(_token_blocks(k, percent, order, pieces)), "part long, t binary, c binary").repartition(max(parts, pieces // 2), "part").sortWithinPartitions("part")
+    hits = scratch.save(dealt.mapInArrow(tidy(_shared_tokens), "token long, c long"), "hits").join(members, "c")
     order.unpersist()
     matrix = hits.groupBy("token", "label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     q = hits.select("token", "c", "n", F.col("label").alias("own"))
@@ -443,12 +443,12 @@ def jaccard_join(spark: SparkSession, documents: DataFrame, percent: int = 80, k
     opened = members.join(asked, ["label", "block"], "left").where("m > 1 or asked").select("c", "label", "block", F.lit(0).cast("long").alias("query"))
     roles = opened.union(queries.select("c", "label", "block", F.lit(1).cast("long").alias("query")))
     by_group = lambda df: df.repartition(parts, "label", "block").sortWithinPartitions("label", "block", "query")
-    screened = by_group(roles.join(cls.select("c", "n", "bits"), "c")).mapInArrow(_screened(percent), "c long, label long, block long, query long")
+    screened = by_group(roles.join(cls.select("c", "n", "bits"), "c")).mapInArrow(tidy(_screened(percent)), "c long, label long, block long, query long")
     roles = scratch.save(screened, "roles").join(cls.select("c", "w"), "c")
 
     wanted = sc.broadcast(_filter(roles.select("c").distinct()))
-    sets = docs.mapInArrow(_needed_sets(k, wanted), "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))
-    found = scratch.save(by_group(roles.join(sets, "c")).mapInArrow(_open_groups(percent), "c long, other long, links long"), "links")
+    sets = docs.mapInArrow(tidy(_needed_sets(k, wanted)), "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))
+    found = scratch.save(by_group(roles.join(sets, "c")).mapInArrow(tidy(_open_groups(percent)), "c long, other long, links long"), "links")
     wanted.unpersist()
 
     roots = components(found.select(F.col("c").alias("u"), F.col("other").alias("v")), scratch)
@@ -479,7 +479,7 @@ def _set_bits(batches):
 
 def _filter(classes: DataFrame) -> np.ndarray:
     """A bitmap of fixed size over the classes."""
-    found = classes.mapInArrow(_set_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = classes.mapInArrow(tidy(_set_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint8)

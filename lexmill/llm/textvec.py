@@ -7,7 +7,9 @@ runs per word or per byte.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,6 +78,19 @@ def slices(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, pa.Array]
         yield a, texts.slice(a, b - a)
 
 
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task, which gives what Arrow and C keep of freed memory back to the system when its partition ends: a worker process goes on
+    to other tasks and would hold the most that any of them took."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 @dataclass
 class Words:
     """All words of some texts: byte spans, hashes, and the first word of each text (one more at the end)."""
