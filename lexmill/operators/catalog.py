@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.sources.stored import Stored
 
 CONTEXT_TYPES = ("path", "collection", "global")
 SCHEMAS = {
@@ -150,22 +151,45 @@ def multi_get(documents: DataFrame, pattern: str, max_bytes: int = 100 * 1024) -
     return documents.where(hit).withColumn("content", T.truncate_bytes(F.col("content"), max_bytes))
 
 
+#: Candidates of a group that one task folds.
+FOLD = 100_000
+
+
 def byte_budget(documents: DataFrame, budget: int, group: str = "collection_id", order: str = "document_id") -> DataFrame:
     """Documents of each group in order while they fit the budget; one that does not fit is skipped and does not count.
 
-    The sum is not monotone, so it is a fold; only keys and sizes reach it.
+    The sum is not monotone, so what is taken is a fold over a group's keys and sizes. A group of more than ``FOLD`` candidates is first
+    cut down in rounds, none of which has it in one task: sums over sorted ranges find the run that fits, the run is taken, and what is
+    larger than the remainder goes, like the document that ended the run. A null size is 0; a null group or key is in no result.
     """
     fields = {f.name: f.dataType.simpleString() for f in documents.schema}
+    size = F.coalesce(F.col("file_size").cast("long"), F.lit(0))
+    rows = documents.select(F.col(group).alias("g"), F.col(order).alias("o"), size.alias("size"), F.lit(int(budget)).cast("long").alias("left")).where("size <= left")
+    stored, taken, n = Stored(documents.sparkSession, "budget"), [], 0
+    while not (hot := rows.groupBy("g").count().where(F.col("count") > FOLD)).isEmpty():
+        big = rows.join(hot.select("g"), "g", "left_semi")
+        placed = stored.save(big.repartitionByRange("g", "o").sortWithinPartitions("g", "o").withColumn("at", F.monotonically_increasing_id()), f"placed-{n}").withColumn("part", F.shiftright("at", 33))
+        sums = placed.groupBy("g", "part").agg(F.sum("size").alias("own"))  # a row for each range that a group is in
+        before = sums.select("g", "part", (F.sum("own").over(Window.partitionBy("g").orderBy("part")) - F.col("own")).alias("before"))
+        run = placed.join(before, ["g", "part"]).withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("g", "part").orderBy("at")))
+        ends = run.groupBy("g").agg(F.min(F.when(F.col("upto") > F.col("left"), F.col("at"))).alias("stop"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))), F.lit(0)).alias("used"))
+        run = stored.save(run.join(ends, "g").withColumn("fits", F.col("stop").isNull() | (F.col("at") < F.col("stop"))), f"run-{n}")
+        taken.append(run.where("fits").select("g", "o"))
+        rest = run.where("not fits").select("g", "o", "size", (F.col("left") - F.col("used")).alias("left")).where("size <= left")
+        rows = stored.save(rows.join(hot.select("g"), "g", "left_anti").unionByName(rest), f"rest-{n}")
+        n += 1
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, keep = 0, []
-        for n in (pdf := pdf.sort_values(order))["file_size"]:
-            keep.append(used + n <= budget)
-            used += n if keep[-1] else 0
-        return pdf[keep][[group, order]]
-
-    kept = documents.select(group, order, "file_size").groupBy(group).applyInPandas(fold, f"{group} {fields[group]}, {order} {fields[order]}")
-    return documents.join(kept, [group, order], "left_semi")
+        left, keep = int(pdf["left"].iloc[0]), []
+        for x in (pdf := pdf.sort_values("o", kind="stable"))["size"]:
+            keep.append(x <= left)
+            left -= x if keep[-1] else 0
+        return pdf[keep][["g", "o"]]
+
+    kept = rows.groupBy("g").applyInPandas(fold, f"g {fields[group]}, o {fields[order]}")
+    for one in taken:
+        kept = kept.unionByName(one)
+    return documents.join(kept.select(F.col("g").alias(group), F.col("o").alias(order)), [group, order], "left_semi")
 
 
 def list_prefix(documents: DataFrame, prefix: str = "") -> DataFrame:

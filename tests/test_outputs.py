@@ -96,3 +96,21 @@ def test_limits_of_options():
     for bad in ({"k1": 3.5}, {"k1": 0.0}, {"b": 1.5}, {"b": 0.0}, {"rerank_top_k": 0}, {"rerank_top_k": 101}, {"offset": -1}):
         with pytest.raises(ValueError, match=next(iter(bad))):
             S.SearchOptions(**bad)
+
+
+@pytest.mark.parametrize("few", [100_000, 4])
+def test_byte_budget_is_the_fold(spark, monkeypatch, few):
+    """Large groups in rounds over ranges, small ones folded: documents that fit, in order, whatever lies between."""
+    import random
+
+    monkeypatch.setattr(catalog, "FOLD", few)
+    rng = random.Random(7)
+    rows = [(i, f"g{min(4, int(rng.expovariate(0.8)))}", rng.choice([None, 0, 1, 7, 30, 90, 99, 100, 101, 5000])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "document_id long, collection_id string, file_size long").repartition(5)
+    want, left = set(), {}
+    for i, g, n in rows:
+        if (n or 0) <= left.setdefault(g, 1000):
+            left[g] -= n or 0
+            want.add(i)
+    assert {r["document_id"] for r in catalog.byte_budget(docs, 1000).collect()} == want
+    assert catalog.byte_budget(docs.limit(0), 1000).count() == 0 and {r["file_size"] for r in catalog.byte_budget(docs, 0).collect()} <= {None, 0}
