@@ -21,6 +21,10 @@ from lexmill.operators import lexical, posting_lists
 from lexmill.session import ship_code
 
 
+#: Bytes for each core below which documents are dealt out before they are tokenised.
+SMALL = 16 << 20
+
+
 class Conflict(RuntimeError):
     """Another writer has published the version that this one was to become."""
 
@@ -122,6 +126,9 @@ class IndexStore:
     def _segment(self, documents: DataFrame) -> Segment:
         """One pass over texts, one exchange of counted tokens. A null id and an id that comes twice raise."""
         path = f"{self.path}/segments/{uuid.uuid4().hex}"
+        cores = self.spark.sparkContext.defaultParallelism
+        if int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL:
+            documents = documents.repartition(cores)  # a small file is often one row group, which one task would tokenise
         runs = self._save(posting_lists.counted(documents, self.tokenizer, self.key, self.content), f"{path}/runs")
         self._save(posting_lists.lists(runs), f"{path}/lists")
         own = runs.where("token is null").select(F.col("key").alias(self.key), F.col("len").cast("long").alias("len"))  # a row for each document
