@@ -27,8 +27,8 @@ EPSILON = 1e-8
 
 
 def packed(rows: DataFrame, names: list[str], most: int) -> DataFrame:
-    """Rows of blocks of up to ``most`` vectors: the columns ``names`` as arrays, ``v`` the column ``embedding`` as little-endian floats,
-    ``dim``. Null vectors are left out; other lengths than the block's first raise."""
+    """Rows of blocks of up to ``most`` vectors: the columns ``names`` as arrays, ``v`` the column ``embedding`` as little-endian floats
+    or doubles, ``dim``. Null vectors are left out; other lengths than the block's first raise."""
     kinds = [f"{n} array<{rows.schema[n].dataType.simpleString()}>" for n in names]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,9 +41,10 @@ def packed(rows: DataFrame, names: list[str], most: int) -> DataFrame:
             dims = pc.unique(pc.list_value_length(v)).to_pylist()
             if len(dims) > 1:
                 raise ValueError(f"dimension mismatch: {sorted(dims)}")
-            flat = pc.list_flatten(v).cast(pa.float32()).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(v).to_numpy(zero_copy_only=False)
+            flat = flat.astype("<f8" if flat.dtype == np.float64 else "<f4")
             one = pa.array([0, len(t)], pa.int32())
-            return pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(one, column(t, c)) for c in names), pa.array([flat.astype("<f4").tobytes()]), pa.array(dims, pa.int32())], [*names, "v", "dim"])
+            return pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(one, column(t, c)) for c in names), pa.array([flat.tobytes()]), pa.array(dims, pa.int32())], [*names, "v", "dim"])
 
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(batch.schema.get_field_index("embedding"))))
@@ -61,6 +62,11 @@ def packed(rows: DataFrame, names: list[str], most: int) -> DataFrame:
     return rows.select(*names, "embedding").mapInArrow(pack, ", ".join([*kinds, "v binary", "dim int"]))
 
 
+def _matrix(packed_: pa.Scalar, n: int, dim: int) -> np.ndarray:
+    buffer = packed_.as_buffer()
+    return np.frombuffer(buffer, dtype=f"<f{buffer.size // max(1, n * dim)}").reshape(n, dim).astype(np.float64)
+
+
 def _measured(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """Distances of equally many vectors, pair by pair, in doubles."""
     if metric == "l2":
@@ -103,7 +109,7 @@ def candidates(embeddings: DataFrame, queries: DataFrame, k: int, metric: str =
             for ids, docs, v, dim, names, qv, q_dim in zip(*(batch.column(c) for c in ("embedding_id", "document_id", "v", "dim", "query_id", "q", "q_dim")), strict=True):
                 if dim.as_py() != q_dim.as_py():
                     raise ValueError(f"dimension mismatch: expected {q_dim}, got {dim}")
-                x, q = (np.frombuffer(b.as_buffer(), dtype="<f4").reshape(-1, dim.as_py()).astype(np.float64) for b in (v, qv))
+                x, q = (_matrix(b, len(names_.values), dim.as_py()) for b, names_ in ((v, ids), (qv, names)))
                 order = np.argsort(pc.array_sort_indices(ids.values).to_numpy())
                 step = max(1, CELLS // len(x))
                 for a in range(0, len(q), step):

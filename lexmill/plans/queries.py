@@ -843,13 +843,19 @@ def cache_clear(spark, d):
     return catalog.cache_clear(rows, "en")
 
 
+def _weighted():
+    """All elements of a vector, each times its place."""
+    places = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(places, F.lit(0.0), lambda a, x: a + x), 5).alias("weighted")
+
+
 @query("""WITH c AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0), e AS (SELECT doc_id, sha256(text) AS h, ('0x' || substring(sha256(text), 1, 2))::INT / 255.0::DOUBLE * 2 - 1 AS a, list_transform(range(0, 32), lambda i: ('0x' || substring(sha256(text), i * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1) AS v FROM documents)
-SELECT doc_id AS document_id, CASE WHEN h IN (SELECT h FROM c) THEN 7.0 ELSE round(a / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) END::DOUBLE AS first FROM e""")
+SELECT doc_id AS document_id, CASE WHEN h IN (SELECT h FROM c) THEN 7.0 ELSE round(a / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) END::DOUBLE AS first, CASE WHEN h IN (SELECT h FROM c) THEN 7.0 ELSE round(list_sum(list_transform(range(1, 33), lambda i: i * v[i])) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) END::DOUBLE AS weighted FROM e""")
 def embed_with_cache(spark, d):
     docs = D.documents(spark, d).select("document_id", "content")
     cache = docs.where("document_id % 3 = 0").select(F.sha2("content", 256).alias("content_hash")).distinct().select("content_hash", F.lit("m").alias("model_id"), F.array(F.lit(7.0)).alias("embedding"))
     rows, _ = maintain.embed_texts(docs, cache, "m", lambda x: vector.embed_texts(x, dimension=32))
-    return rows.select("document_id", r6(F.col("embedding")[0].cast("double")).alias("first"))
+    return rows.select("document_id", r6(F.col("embedding")[0].cast("double")).alias("first"), _weighted())
 
 
 @query()
@@ -857,7 +863,7 @@ def embed_index(spark, d):
     docs = D.documents(spark, d)
     none = docs.select(F.sha2("content", 256).alias("content_hash"), F.lit("m").alias("model_id"), F.array(F.lit(0.0)).alias("embedding")).where("false")
     rows, _ = maintain.embed_index(docs, none, "m")
-    return rows.select("embedding_id", "document_id", "sequence", r6(F.col("embedding")[0].cast("double")).alias("first"))
+    return rows.select("embedding_id", "document_id", "sequence", r6(F.col("embedding")[0].cast("double")).alias("first"), _weighted())
 
 
 @query("SELECT lang AS model_id, count(*) AS entries FROM documents GROUP BY 1")

@@ -44,9 +44,11 @@ class IndexStore:
 
     def __init__(self, spark: SparkSession, path: str, key: str = "document_id", tokenizer=T.tokens, content: str = "content"):
         ship_code(spark)
-        self.spark, self.path, self.key, self.tokenizer, self.content = spark, path.rstrip("/"), key, tokenizer, content
+        self.spark, self.key, self.tokenizer, self.content = spark, key, tokenizer, content
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._hadoop, self._conf, self._java = jvm.org.apache.hadoop.fs, conf, spark.sparkContext._gateway
+        place = self._hadoop.Path(path)
+        self.path = place.getFileSystem(conf).makeQualified(place).toString().rstrip("/")
 
     # files
 

@@ -151,7 +151,7 @@ def test_one_of_two_writers_fails_and_a_failed_write_changes_nothing(spark, aske
 
 
 def test_an_index_of_nothing(spark, tmp_path):
-    store = IndexStore(spark, f"file://{tmp_path}/i")
+    store = IndexStore(spark, f"{tmp_path}/i")  # without a scheme
     with pytest.raises(ValueError, match="no documents"):
         store.index()
     store.write(made(spark, [1, 2]))
@@ -161,3 +161,7 @@ def test_an_index_of_nothing(spark, tmp_path):
     store.write(made(spark, [1]).limit(0))
     store.write(made(spark, [4]))
     assert [r["document_id"] for r in store.index().facts.collect()] == [4]
+    for text in ("", "...", None):
+        nothing = spark.createDataFrame([(0, text)], "query_id long, query string")
+        assert lexical.bm25_search(None, nothing, index=store.index()).count() == 0
+    assert lexical.bm25_search(None, nothing.limit(0), index=store.index()).count() == 0

@@ -66,6 +66,12 @@ def test_precision_of_near_equal_vectors(spark):
     assert got == brute(rows, q, 5, "l2") == {(0, i, i, i + 1) for i in range(5)}
 
 
+def test_doubles_stay_doubles(spark):
+    rows = spark.createDataFrame([(i, i, [1.0 + i * 1e-9, 2.0]) for i in range(9)], "embedding_id long, document_id long, embedding array<double>").repartition(2)
+    q = spark.createDataFrame([(0, [1.0 + 8e-9, 2.0])], "query_id long, embedding array<double>")
+    assert [r["embedding_id"] for r in vector.knn(rows, q, 3).orderBy("rank").collect()] == [8, 7, 6]
+
+
 def test_holding(spark):
     texts = ["one two three four five six", "three four five", "two three", "a  b, c", "x", "", None, "THREE four"]
     items = [(0, "two three four five"), (1, "wo three fou"), (2, "thr"), (3, "e t"), (4, "b, c"), (5, None), (6, "five six seven eight"), (7, "  b, c"), (8, "ne two three four five si")]
