@@ -31,19 +31,23 @@ def fixed(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple
         start = end - overlap
 
 
-def sections(text: str, rx: re.Pattern, keep_preamble: bool = False) -> Iterator[tuple[str, int, int]]:
-    """Parts that begin at matches of ``rx``; large ones cut by ``fixed``, with places relative to the part."""
+def sections(text: str, rx: re.Pattern, keep_preamble: bool = False, section: int | None = SECTION) -> Iterator[tuple[str, int, int]]:
+    """Parts that begin at matches of ``rx``; those over ``section`` characters cut by ``fixed``, with places relative to the part.
+    With no ``section`` parts stay whole."""
     starts = [m.start() for m in rx.finditer(text)]
     if not starts:
-        yield from fixed(text, SECTION, OVERLAP)
+        if section is not None:
+            yield from fixed(text, section, OVERLAP)
+        elif body := text.strip():
+            yield body, 0, len(text)
         return
     if keep_preamble and starts[0]:
         starts.insert(0, 0)
     for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
         if not (body := text[a:b].strip()):
             continue
-        if len(body) > SECTION:
-            yield from fixed(body, SECTION, OVERLAP)
+        if section is not None and len(body) > section:
+            yield from fixed(body, section, OVERLAP)
         else:
             yield body, a, b
 
@@ -54,14 +58,14 @@ def strategy_of(text: str) -> str:
     return "code" if _DEF.search(text) else "fixed"
 
 
-def chunk_text(text: str | None, strategy: str = "auto", size: int = SIZE, overlap: int = OVERLAP, language: str = "python", keep_preamble: bool = False) -> list[tuple[str, int, int]]:
+def chunk_text(text: str | None, strategy: str = "auto", size: int = SIZE, overlap: int = OVERLAP, language: str = "python", keep_preamble: bool = False, section: int | None = SECTION) -> list[tuple[str, int, int]]:
     text = text or ""
     if strategy == "auto":
         strategy, size = strategy_of(text), SECTION
     if strategy == "markdown":
-        return list(sections(text, _HEADING, keep_preamble))
+        return list(sections(text, _HEADING, keep_preamble, section))
     if strategy == "code" and language == "python":
-        return list(sections(text, _DEF, keep_preamble))
+        return list(sections(text, _DEF, keep_preamble, section))
     if strategy in ("fixed", "code"):
         return list(fixed(text, SECTION if strategy == "code" else size, overlap))
     raise ValueError(f"unknown chunk strategy {strategy}")
