@@ -284,8 +284,9 @@ def index_apply(files: DataFrame, existing: DataFrame, force: bool = False) -> D
 
 
 def refresh_postings(old: DataFrame, diff: DataFrame, documents: DataFrame, postings) -> DataFrame:
-    """Postings (path, token, tf) after a diff: only new and changed documents are tokenised."""
-    touched = diff.where("status <> 'unchanged'").select("path")
+    """Postings (path, ...) after a diff: only new and changed documents are tokenised. Touched paths are few beside postings and texts,
+    so they are hashed, and neither postings nor texts are sorted for the joins."""
+    touched = diff.where("status <> 'unchanged'").select("path").hint("shuffle_hash")
     return old.join(touched, "path", "left_anti").unionByName(postings(documents.join(touched, "path", "left_semi")))
 
 
