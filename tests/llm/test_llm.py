@@ -174,6 +174,24 @@ def test_attention_gradient_and_mass():
         assert abs(slope - g[i]) < 2e-3 + 0.05 * abs(slope)
 
 
+def test_attention_looks_up_present_weights():
+    """What scoring looks up by id is what the embeddings give, also after a step; a gradient is the same without its loss."""
+    model, rng = small_model()
+    m = model()
+    x, c, y = rng.integers(0, 51, (2, 4, LM.BLOCK)), rng.integers(0, LM.CLASSES + 1, 96), rng.integers(-1, LM.CLASSES, 96)
+    for _ in range(2):
+        m.flat += rng.normal(0, 0.2, len(m.flat)).astype(np.float32)
+        assert np.allclose(np.concatenate(m.looked_up(), axis=1), m.wide[:, : LM.WIDTH] @ m.p["a"], atol=1e-5)
+        assert np.allclose(m.score(x, c, np.maximum(y, 0)), model(m.flat).score(x, c, np.maximum(y, 0)), atol=1e-5)
+        assert np.array_equal(m.gradient(x, c, y)[0], m.gradient(x, c, y, with_loss=False)[0])
+
+
+def test_logits_stay_between_the_limits():
+    z = np.array([[-1e9, 1e9], [0, 59]], dtype=np.float32)
+    same = z.copy()[1:]
+    assert LM._bounded(z).tolist() == [[-60, 60], [0, 59]] and LM._bounded(same) is same and same.tolist() == [[0, 59]]
+
+
 def learned(ids, begin, train, size):
     """Vocabulary and model from one row of ids, by the operator's own functions."""
     row = [pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(LM._small(size)), begin, ~train)], names=["ids", "begin", "held"])]
